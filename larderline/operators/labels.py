@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larderline.functions import first_label, matches_any
-from larderline.operators.spread import broadcast_if_small, same_keys
+from larderline.operators.spread import same_keys
 from larderline.session import staged
 
 # {flag: {text column: keywords}}; a flag is set when any of its columns matches.
@@ -34,12 +34,12 @@ def add_flags(df: DataFrame, rules: FlagRules, **match_options) -> DataFrame:
 def add_flags_by_text(df: DataFrame, rules: FlagRules, **match_options) -> DataFrame:
     """:func:`add_flags`, testing each distinct text once and looking the flags up.
 
-    Pays off when few texts recur over many rows. The list of texts is written to the shared
-    folder and counted; it is broadcast only when small enough, else joined by shuffle.
+    Pays off when few texts recur over many rows. The list of texts is staged, so its size is
+    known: Spark broadcasts it when that is small enough and joins by shuffle otherwise.
     """
     texts = list(dict.fromkeys(c for tests in rules.values() for c in tests))
-    seen = staged(add_flags(df.select(*texts).distinct(), rules, **match_options))
-    lookup = broadcast_if_small(seen.withColumnsRenamed({c: c + "_t" for c in texts}))
+    seen = staged(add_flags(df.select(*texts).distinct(), rules, **match_options), "texts")
+    lookup = seen.withColumnsRenamed({c: c + "_t" for c in texts})
     return df.join(lookup, same_keys(texts, "_t"), "left").drop(*[c + "_t" for c in texts])
 
 

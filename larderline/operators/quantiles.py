@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from larderline.functions import present
 from larderline.operators.spread import (
     DEFAULT_CHUNKS,
-    broadcast_if_small,
     chunk_of,
     cut_points,
     global_row_number,
@@ -59,7 +58,8 @@ def exact_quantiles(
     wanted = per_chunk.where(holds).select(
         *[F.col(k).alias(k + "_w") for k in [*by, "_chunk"]], "_before", "_total"
     )
-    wanted = broadcast_if_small(staged(wanted, "ranks"))
+    # A few rows per group, from a file of known size: Spark broadcasts it or does not.
+    wanted = staged(wanted, "ranks")
 
     inside = Window.partitionBy(*by, "_chunk").orderBy("_v")
     ranked = (
@@ -148,8 +148,6 @@ def _with_fences(
         (F.col("q1") - reach).alias("_low_fence"),
         (F.col("q3") + reach).alias("_high_fence"),
     )
-    if method != "grouped":
-        fences = broadcast_if_small(fences)
     return df.join(fences, same_keys(by, "_f")).drop(*[k + "_f" for k in by])
 
 

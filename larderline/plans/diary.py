@@ -78,9 +78,12 @@ def with_person(diary: DataFrame, attributes: DataFrame, cols: Diary = DIARY) ->
 
 
 def diet_flags(
-    df: DataFrame, rules: FlagRules = DIET_RULES, by_text: bool = False, **match_options
+    df: DataFrame, rules: FlagRules = DIET_RULES, by_text: bool = True, **match_options
 ) -> DataFrame:
-    """Meat, fish and dairy/egg flags per diary row."""
+    """Meat, fish and dairy/egg flags per diary row.
+
+    Food names recur all over a diary, so by default each distinct name is tested once.
+    """
     flag = add_flags_by_text if by_text else add_flags
     return flag(df, rules, **match_options)
 
@@ -109,25 +112,26 @@ def person_diets(
     return left_join(per_person, attributes, cols.person, null_safe=True)
 
 
+def with_diet(diary: DataFrame, diets: DataFrame, cols: Diary = DIARY) -> DataFrame:
+    """Diary rows with the diet class of their person."""
+    return write_back(diary, diets.select(cols.person, cols.diet), cols.person, null_safe=True)
+
+
 def classify(
-    df: DataFrame,
+    rows: DataFrame,
+    diary: DataFrame | None = None,
     cols: Diary = DIARY,
     rules: FlagRules = DIET_RULES,
-    by_text: bool = False,
-    rows_for_class: DataFrame | None = None,
+    by_text: bool = True,
 ) -> DataFrame:
-    """The diary with each person's diet class on every row.
+    """``diary`` with each person's diet class on every row.
 
-    The class of a person depends on which foods occur, not how often, so it may be taken
-    from ``rows_for_class``, the diary before de-duplication: that reads three columns and
-    saves de-duplicating twice.
+    The class depends on which foods a person has, not on how often, so ``rows`` may be the
+    diary as read and ``diary`` the de-duplicated one: finding the classes then reads three
+    columns and does not de-duplicate a second time.
     """
-    labelled = row_diet(diet_flags(df, rules, by_text))
-    evidence = labelled
-    if rows_for_class is not None:
-        evidence = row_diet(diet_flags(rows_for_class, rules, by_text))
-    diets = person_diets(evidence, cols=cols)
-    return write_back(labelled, diets, cols.person, null_safe=True)
+    diets = person_diets(row_diet(diet_flags(rows, rules, by_text)), cols=cols)
+    return with_diet(rows if diary is None else diary, diets, cols)
 
 
 def reported_and_actual(diets: DataFrame, cols: Diary = DIARY) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larderline.functions import pair_products
 from larderline.operators.aggregates import summarise_numeric
-from larderline.operators.joins import left_join, left_join_complete, restrict_to
+from larderline.operators.joins import join_chain, left_join, left_join_complete, restrict_to
 from larderline.operators.missing import drop_incomplete
 from larderline.operators.projection import cast_numbers, discard, drop_matching, keep, rename
 from larderline.plans import fixed_values as fixed
@@ -52,9 +52,7 @@ def top_groups(classified: DataFrame) -> DataFrame:
 def with_matches(diary: DataFrame, matches: DataFrame, cols: Diary = DIARY) -> DataFrame:
     """Diary rows whose sub-group has composition averages, with those."""
     required = [DENSITY, *fixed.MATCH_NUMBERS]
-    return left_join_complete(
-        diary, matches, cols.sub, required, null_safe=True, check_size=True
-    )
+    return left_join_complete(diary, matches, cols.sub, required, null_safe=True)
 
 
 def enrich(
@@ -67,23 +65,21 @@ def enrich(
 ) -> DataFrame:
     """Diary rows of the top sub-groups with contents, coefficients and digestible amounts.
 
-    ``top`` has at most ``top_rows`` rows. The ranking behind it and the food tables are cut
-    down to those codes and staged first, so the diary is joined to three tiny tables (whose
-    rows are counted before they are broadcast) and is itself run through once.
+    Contents, coefficients and amounts all hang on the sub-group code, so they are joined to
+    each other first, for the ``top_rows`` codes only, and staged as one small table of codes
+    with complete contents. The diary then meets a single join, whose other side Spark knows
+    to be a few kilobytes; one required column is enough to drop the unmatched rows.
     """
     codes = staged(keep(top, [cols.sub]), "top-groups")
-    wide = staged(
-        left_join(codes, restrict_to(contents, codes, [cols.sub], top_rows), cols.sub, True),
-        "contents",
-    )
+    known_contents = restrict_to(contents, codes, [cols.sub], top_rows)
+    wide = left_join(codes, known_contents, cols.sub, null_safe=True)
+    wide = staged(drop_incomplete(wide, REQUIRED_CONTENT), "contents")
     known = staged(restrict_to(coefficients, codes, [cols.sub], top_rows), "coefficients")
-    amounts = staged(
-        digestible_amounts(wide, discard(known, ["Digest_food"]), cols), "amounts"
+    amounts = digestible_amounts(wide, discard(known, ["Digest_food"]), cols)
+    lookup = join_chain(wide, [(known, cols.sub), (amounts, cols.sub)], null_safe=True)
+    rows = left_join_complete(
+        diary, staged(lookup, "food-facts"), cols.sub, REQUIRED_CONTENT[:1], null_safe=True
     )
-    lookup = {"null_safe": True, "check_size": True}
-    rows = left_join_complete(diary, wide, cols.sub, REQUIRED_CONTENT, **lookup)
-    rows = left_join(rows, known, cols.sub, **lookup)
-    rows = left_join(rows, amounts, cols.sub, **lookup)
     return rows.withColumn("Digest_total_protein", F.col("Protein_Dig") * F.col(cols.protein))
 
 

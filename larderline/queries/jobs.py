@@ -14,6 +14,7 @@ from larderline.plans.diary import (
     person_diets,
     reported_and_actual,
     row_diet,
+    with_diet,
     with_person,
 )
 from larderline.plans.intake import (
@@ -116,7 +117,7 @@ def main_groups_by_median_protein(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ordered, ["median"])
 
 
-def _labelled(spark: SparkSession, sf: str, by_text: bool = False) -> DataFrame:
+def _labelled(spark: SparkSession, sf: str, by_text: bool = True) -> DataFrame:
     return row_diet(diet_flags(standin.diary(spark, sf), by_text=by_text))
 
 
@@ -125,7 +126,7 @@ def _labelled(spark: SparkSession, sf: str, by_text: bool = False) -> DataFrame:
     f"with {standin.CLASSIFIED_SQL} select seriali, DayNo, FoodNumber, FoodName, Diet from labelled",
 )
 def diet_row_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return _labelled(spark, sf).select("seriali", "DayNo", "FoodNumber", "FoodName", "Diet")
+    return _labelled(spark, sf, by_text=False).select("seriali", "DayNo", "FoodNumber", "FoodName", "Diet")
 
 
 @query(
@@ -133,7 +134,7 @@ def diet_row_labels(spark: SparkSession, sf: str) -> DataFrame:
     f"with {standin.CLASSIFIED_SQL} select seriali, DayNo, FoodNumber, FoodName, Diet from labelled",
 )
 def diet_row_labels_by_text(spark: SparkSession, sf: str) -> DataFrame:
-    labelled = _labelled(spark, sf, by_text=True)
+    labelled = _labelled(spark, sf)
     return labelled.select("seriali", "DayNo", "FoodNumber", "FoodName", "Diet")
 
 
@@ -164,7 +165,8 @@ def reported_and_actual_diets(spark: SparkSession, sf: str) -> DataFrame:
                Diet, Overall_Diet from classified""",
 )
 def classified_diary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = standin.classified(spark, sf).select(
+    labelled = _labelled(spark, sf)
+    rows = with_diet(labelled, person_diets(labelled)).select(
         "seriali", "DayNo", "FoodNumber", "SubFoodGroupCode", "Proteing", "Diet", "Overall_Diet"
     )
     return rounded(rows, ["Proteing"])

@@ -25,6 +25,7 @@ from larderline.plans.enrichment import (
     with_matches,
 )
 from larderline.queries.registry import table
+from larderline.session import staged
 
 MEASURES = [
     "TotalGrams",
@@ -219,7 +220,7 @@ CLASSIFIED_SQL = f"""{DIARY_SQL},
 
 def classified(spark: SparkSession, sf: str) -> DataFrame:
     raw = raw_diary(spark, sf)
-    return classify(deduplicate(raw), rows_for_class=raw)
+    return classify(raw, deduplicate(raw))
 
 
 def composition_file(spark: SparkSession, sf: str) -> DataFrame:
@@ -351,10 +352,10 @@ def matched(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
-    diary_rows = classified(spark, sf)
+    rows = staged(diary(spark, sf), "diary")
     contents = composition(composition_file(spark, sf), matches(spark, sf))
     coefficients = digestibility(digest_file(spark, sf))
-    return enrich(diary_rows, top_groups(diary_rows), contents, coefficients)
+    return enrich(classify(rows), top_groups(rows), contents, coefficients)
 
 
 def food_list(spark: SparkSession, sf: str) -> DataFrame:
