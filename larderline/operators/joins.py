@@ -116,9 +116,10 @@ def left_join_skewed(
 ) -> DataFrame:
     """:func:`left_join` that splits keys holding a large share of the left rows.
 
-    Rows of a hot key get a salt from a hash of the whole row, so a retried task gives the
-    same salt again; the matching right rows, and only those, are repeated once per salt.
-    Missing keys are spread the same way (unless null-safe they match nothing at all).
+    Rows of a hot key get a salt from a hash of the whole row and the number of the task's
+    partition: a retried task gives the same salts again, and copies of one row in different
+    partitions still part. The matching right rows, and only those, are repeated once per
+    salt. Missing keys are spread the same way (unless null-safe they match nothing at all).
     """
     hot = hot_keys(left, on, share)
     named = [k for k in hot if k is not None]
@@ -131,7 +132,7 @@ def left_join_skewed(
         missing_hot = c.isNull() if (None in hot or not null_safe) else F.lit(False)
         return missing_hot | F.coalesce(c.isin(named) if named else F.lit(False), F.lit(False))
 
-    salt = F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64(*hashable, F.spark_partition_id()), F.lit(salts)).cast("int")
     spread_left = left.withColumn("_salt", F.when(is_hot(F.col(on)), salt).otherwise(F.lit(0)))
     last_salt = F.when(is_hot(F.col(f"_key_{on}")), F.lit(salts - 1)).otherwise(F.lit(0))
     spread_right = right.withColumnRenamed(on, f"_key_{on}").withColumn(

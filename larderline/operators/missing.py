@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larderline.functions import present
-from larderline.operators.spread import DEFAULT_CHUNKS, chunk_of, cut_points, position
+from larderline.operators.spread import chunk_count, chunk_of, cut_points, position
 
 
 def keep_present(df: DataFrame, column: str) -> DataFrame:
@@ -56,7 +56,7 @@ def carry_forward(
     order_by: Sequence[str],
     partition_by: Sequence[str] = (),
     leading: str = "keep",
-    chunks: int = DEFAULT_CHUNKS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Fill missing values of ``column`` with the last value before them in ``order_by``.
 
@@ -65,13 +65,15 @@ def carry_forward(
 
     No task ever sees a whole partition: the last value of each chunk is found by a partial
     aggregate, carried across chunks (one row per partition and chunk), and put in front of
-    the next chunk as a seed row. The data itself is shuffled once, by partition and chunk.
+    the next chunk as a seed row. The data itself is shuffled once, by partition and chunk;
+    it is read three times (twice for few columns), so hand in a scan or a staged table.
     """
     if leading not in ("keep", "drop"):
         raise ValueError("leading must be 'keep' or 'drop'")
     where = position(df, order_by[0])
     df = df.withColumn(column, present(df, column))
-    rows = df.withColumn("_chunk", chunk_of(where, cut_points(df, where, chunks)))
+    cuts = cut_points(df, where, chunk_count(df, chunks))
+    rows = df.withColumn("_chunk", chunk_of(where, cuts))
 
     keys = [*partition_by, "_chunk"]
     newest = F.max(F.when(F.col(column).isNotNull(), F.struct(*order_by, F.col(column).alias("_v"))))

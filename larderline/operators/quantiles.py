@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larderline.functions import present
 from larderline.operators.spread import (
-    DEFAULT_CHUNKS,
+    chunk_count,
     chunk_of,
     cut_points,
     global_row_number,
@@ -26,7 +26,7 @@ def exact_quantiles(
     by: Sequence[str],
     measure: str,
     probs: Mapping[str, float],
-    chunks: int = DEFAULT_CHUNKS,
+    chunks: int | None = None,
     stage: bool = True,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, exact, without gathering any group.
@@ -40,7 +40,7 @@ def exact_quantiles(
     """
     by = list(by)
     values = _values(df, by, measure, "_v", stage)
-    cuts = cut_points(values, F.col("_v"), chunks)
+    cuts = cut_points(values, F.col("_v"), chunk_count(values, chunks))
     values = values.withColumn("_chunk", chunk_of(F.col("_v"), cuts))
 
     group = Window.partitionBy(*by)  # at most len(cuts) + 1 rows each
@@ -110,7 +110,7 @@ def quantiles(
     measure: str,
     probs: Mapping[str, float],
     method: str = "exact",
-    chunks: int = DEFAULT_CHUNKS,
+    chunks: int | None = None,
     stage: bool = True,
 ) -> DataFrame:
     """``exact`` (any size), ``grouped`` (exact, groups known to be small) or ``approximate``."""
@@ -134,7 +134,7 @@ def within_limits(df: DataFrame, measure: str, limits: tuple[float, float] | Non
 
 
 def _with_fences(
-    df: DataFrame, by: Sequence[str], measure: str, method: str, chunks: int
+    df: DataFrame, by: Sequence[str], measure: str, method: str, chunks: int | None
 ) -> DataFrame:
     if not by:
         raise ValueError("box statistics need at least one category column")
@@ -157,7 +157,7 @@ def box_stats(
     measure: str,
     limits: tuple[float, float] | None = None,
     method: str = "exact",
-    chunks: int = DEFAULT_CHUNKS,
+    chunks: int | None = None,
     stage: bool = True,
 ) -> DataFrame:
     """Data of a box plot: quartiles, whiskers (extremes within 1.5 box lengths), counts.
@@ -185,7 +185,7 @@ def outliers(
     measure: str,
     limits: tuple[float, float] | None = None,
     method: str = "exact",
-    chunks: int = DEFAULT_CHUNKS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """The rows a box plot draws as single points, with all their columns.
 
@@ -202,7 +202,7 @@ def category_order(
     category: str,
     measure: str,
     method: str = "exact",
-    chunks: int = DEFAULT_CHUNKS,
+    chunks: int | None = None,
     stage: bool = True,
 ) -> DataFrame:
     """Categories numbered by ascending median of the measure, ties by name."""

@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 
 from larderline.functions import present
 
-DEFAULT_CHUNKS = 64
+FEWEST_CHUNKS, MOST_CHUNKS = 64, 1024
+SAMPLED_PER_CHUNK = 40
+MOST_BRANCHES = 128
 # A table may be broadcast when it was counted, or proven, to have at most this many rows.
 BROADCAST_ROWS = 100_000
 
@@ -42,33 +44,58 @@ def same_keys(keys: Sequence[str], suffix: str) -> Column | None:
     return out
 
 
+def chunk_count(df: DataFrame, chunks: int | None = None) -> int:
+    """Given number of chunks, or one that follows the session's shuffle width."""
+    if chunks is not None:
+        return chunks
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(width, FEWEST_CHUNKS), MOST_CHUNKS)
+
+
 def position(df: DataFrame, name: str) -> Column:
-    """A double that never decreases when the column grows; NULL and NaN give NULL."""
+    """What the cuts of a column are compared with; never decreases as the column grows.
+
+    Text stands for itself, numbers and times become doubles. NULL and NaN give NULL.
+    """
     kind = df.schema[name].dataType
     c = F.col(name)
+    if isinstance(kind, T.StringType):
+        return c
     if isinstance(kind, T.NumericType):
         return present(df, name).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(kind, T.StringType):
-        # The first six bytes as one number: text is ordered by its bytes.
-        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    raise TypeError(f"cannot cut {name}: {kind.simpleString()} has no numeric position")
+    raise TypeError(f"cannot cut {name}: no order known for {kind.simpleString()}")
 
 
-def cut_points(df: DataFrame, where: Column, chunks: int) -> list[float]:
-    """At most ``chunks - 1`` values that split the rows into roughly even parts."""
+def cut_points(df: DataFrame, where: Column, chunks: int) -> list:
+    """At most ``chunks - 1`` values that split the rows into roughly even parts.
+
+    Only these values reach the driver (for text, a sample of a few values per chunk). They
+    decide how even the chunks are, never what the result is.
+    """
     if chunks < 2:
         return []
+    at = df.select(where.alias("_pos"))
+    if isinstance(at.schema["_pos"].dataType, T.StringType):
+        return _text_cuts(at.where(F.col("_pos").isNotNull()), chunks)
     probs = [i / chunks for i in range(1, chunks)]
-    found = df.select(where.alias("_pos")).approxQuantile("_pos", probs, 1 / (4 * chunks))
-    return sorted(set(found))
+    return sorted(set(at.approxQuantile("_pos", probs, 1 / (4 * chunks))))
+
 
+def _text_cuts(at: DataFrame, chunks: int) -> list[str]:
+    rows = at.count()
+    wanted = SAMPLED_PER_CHUNK * chunks
+    if rows > wanted:
+        at = at.sample(fraction=wanted / rows, seed=17)
+    # Python orders text by code point, which is also the order of its UTF-8 bytes.
+    seen = sorted(r["_pos"] for r in at.limit(2 * wanted).collect())
+    return sorted({seen[len(seen) * i // chunks] for i in range(1, chunks)}) if seen else []
 
-def chunk_of(where: Column, cuts: Sequence[float]) -> Column:
+
+def chunk_of(where: Column, cuts: Sequence) -> Column:
     """Number of cuts below the value, found by bisection; NULL goes to chunk 0."""
 
     def search(lo: int, hi: int) -> Column:
@@ -77,7 +104,20 @@ def chunk_of(where: Column, cuts: Sequence[float]) -> Column:
         mid = (lo + hi) // 2
         return F.when(where <= F.lit(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
 
-    return F.when(where.isNull(), F.lit(0)).otherwise(search(0, len(cuts)))
+    if len(cuts) <= MOST_BRANCHES:
+        found = search(0, len(cuts))
+    else:
+        # The same bisection as a fold: compiled branches would outgrow one method.
+        table = F.array(*[F.lit(c) for c in cuts])
+        steps = [2**i for i in range(len(cuts).bit_length() - 1, -1, -1)]
+
+        def step(below: Column, width: Column) -> Column:
+            reach = below + width
+            fits = (reach <= len(cuts)) & (F.get(table, reach - 1) < where)
+            return F.when(fits, reach).otherwise(below)
+
+        found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+    return F.when(where.isNull(), F.lit(0)).otherwise(found)
 
 
 def global_row_number(
@@ -86,19 +126,20 @@ def global_row_number(
     ties: Sequence[str],
     out: str = "position",
     descending: bool = False,
-    chunks: int = DEFAULT_CHUNKS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Row number over the whole table by ``measure`` then ``ties``, missing measures last.
 
     Equal to ``row_number() over (order by ...)`` without its single task: numbers are
-    given inside chunks and shifted by the row counts of the chunks before them.
+    given inside chunks and shifted by the row counts of the chunks before them. ``df`` is
+    read three times; hand in a scan or a staged table.
     """
     where = position(df, measure)
+    cuts = cut_points(df, where, chunk_count(df, chunks))
+    chunk = chunk_of(where, cuts)
     if descending:
-        where = -where
-    cuts = cut_points(df, where, chunks)
-    chunk = F.when(where.isNull(), F.lit(len(cuts) + 1)).otherwise(chunk_of(where, cuts))
-    df = df.withColumn("_chunk", chunk)
+        chunk = F.lit(len(cuts)) - chunk
+    df = df.withColumn("_chunk", F.when(where.isNull(), F.lit(len(cuts) + 1)).otherwise(chunk))
     order = F.col(measure).desc_nulls_last() if descending else F.col(measure).asc_nulls_last()
     inside = Window.partitionBy("_chunk").orderBy(order, *ties)
     counts = df.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_rows"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from larderline.operators.aggregates import class_means, mean_and_sd, named_sums
 from larderline.operators.cohorts import CohortRule, assign_cohorts, cohort_means
@@ -25,10 +26,24 @@ for _name, _content, _ in fixed.DIGESTIBLE:
     DAY_TOTALS[f"sum_dig_{_name}"] = f"Digest_{_name}"
 
 
+# Columns that say how much 100 g of a food hold.
+PER_100_GRAMS = [c for n, content, _ in fixed.DIGESTIBLE for c in (content, f"Digest_{n}")]
+
+
 def day_totals(
-    enriched: DataFrame, cols: Diary = DIARY, totals: dict[str, str] | None = None
+    enriched: DataFrame,
+    cols: Diary = DIARY,
+    totals: dict[str, str] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Totals per person and day, with the class; built once, used by every cohort."""
+    """Totals per person and day, with the class; built once, used by every cohort.
+
+    Contents per 100 g are added up as they are, food by food, as the published figures are.
+    With ``weight`` (the grams column) they are scaled to the amount eaten first.
+    """
+    if weight is not None:
+        scale = F.col(weight) / 100
+        enriched = enriched.withColumns({c: F.col(c) * scale for c in PER_100_GRAMS})
     return named_sums(enriched, [*cols.person_day, cols.diet], totals or DAY_TOTALS)
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larderline.operators.aggregates import group_count
+from larderline.operators.joins import left_join
 from larderline.operators.missing import distinct_values
 from larderline.operators.quantiles import box_stats, category_order
 from larderline.plans import fixed_values as fixed
 from larderline.plans.diary import (
+    deduplicate,
     diet_flags,
     ingest,
     person_diets,
@@ -17,6 +20,7 @@ from larderline.plans.diary import (
     with_diet,
     with_person,
 )
+from larderline.plans.enrichment import top_groups
 from larderline.plans.intake import (
     DAY_TOTALS,
     class_report,
@@ -57,8 +61,6 @@ def diary_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
         from raw_diary group by all""",
 )
 def diary_summed(spark: SparkSession, sf: str) -> DataFrame:
-    from larderline.plans.diary import deduplicate
-
     return rounded(deduplicate(standin.raw_diary(spark, sf), how="sum"), standin.MEASURES)
 
 
@@ -121,6 +123,11 @@ def _labelled(spark: SparkSession, sf: str, by_text: bool = True) -> DataFrame:
     return row_diet(diet_flags(standin.diary(spark, sf), by_text=by_text))
 
 
+def _evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled rows of the diary as read: enough to tell what a person eats."""
+    return row_diet(diet_flags(standin.raw_diary(spark, sf)))
+
+
 @query(
     "diet_row_labels",
     f"with {standin.CLASSIFIED_SQL} select seriali, DayNo, FoodNumber, FoodName, Diet from labelled",
@@ -145,7 +152,7 @@ def diet_row_labels_by_text(spark: SparkSession, sf: str) -> DataFrame:
         from diets t left join person p on t.seriali = p.seriali""",
 )
 def diets_of_people(spark: SparkSession, sf: str) -> DataFrame:
-    return person_diets(_labelled(spark, sf), standin.people(spark, sf, "Veg"))
+    return person_diets(_evidence(spark, sf), standin.people(spark, sf, "Veg"))
 
 
 @query(
@@ -155,7 +162,7 @@ def diets_of_people(spark: SparkSession, sf: str) -> DataFrame:
         from diets t left join person p on t.seriali = p.seriali group by all""",
 )
 def reported_and_actual_diets(spark: SparkSession, sf: str) -> DataFrame:
-    return reported_and_actual(person_diets(_labelled(spark, sf), standin.people(spark, sf, "Veg")))
+    return reported_and_actual(person_diets(_evidence(spark, sf), standin.people(spark, sf, "Veg")))
 
 
 @query(
@@ -166,7 +173,7 @@ def reported_and_actual_diets(spark: SparkSession, sf: str) -> DataFrame:
 )
 def classified_diary(spark: SparkSession, sf: str) -> DataFrame:
     labelled = _labelled(spark, sf)
-    rows = with_diet(labelled, person_diets(labelled)).select(
+    rows = with_diet(labelled, person_diets(_evidence(spark, sf))).select(
         "seriali", "DayNo", "FoodNumber", "SubFoodGroupCode", "Proteing", "Diet", "Overall_Diet"
     )
     return rounded(rows, ["Proteing"])
@@ -213,10 +220,7 @@ MATCHED = ["Protein_g100g", *fixed.MATCH_NUMBERS]
         from top_groups t left join matches m on t.SubFoodGroupCode = m.SubFoodGroupCode""",
 )
 def top_groups_with_matches(spark: SparkSession, sf: str) -> DataFrame:
-    from larderline.operators.joins import left_join
-    from larderline.plans.enrichment import top_groups
-
-    top = top_groups(standin.classified(spark, sf)).select(*standin.GROUPS)
+    top = top_groups(standin.diary(spark, sf)).select(*standin.GROUPS)
     joined = left_join(top, standin.matches(spark, sf), "SubFoodGroupCode", null_safe=True)
     return rounded(joined, MATCHED)
 
@@ -228,8 +232,6 @@ def top_groups_with_matches(spark: SparkSession, sf: str) -> DataFrame:
        from part group by all""",
 )
 def match_rows_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    from larderline.operators.aggregates import group_count
-
     keys = ["MainFoodGroupCode", "SubFoodGroupCode"]
     return group_count(standin.match_file(spark, sf), keys)
 
@@ -253,6 +255,26 @@ def person_day_intake(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_totals(spark, sf), list(DAY_TOTALS))
 
 
+_WEIGHED = ["sum_energy", "sum_LYSg", "sum_dig_LYS", "sum_HISTg", "sum_dig_HIST"]
+
+
+@query(
+    "person_day_intake_by_weight",
+    f"""with {standin.ENRICHED_SQL}
+        select {_PERSON_DAY}, Overall_Diet, round(coalesce(sum(Energykcal), 0) + 1e-7, 4)
+                 as sum_energy,
+               round(coalesce(sum(LYSg * TotalGrams / 100), 0) + 1e-7, 4) as "sum_LYSg",
+               round(coalesce(sum(Digest_LYS * TotalGrams / 100), 0) + 1e-7, 4) as "sum_dig_LYS",
+               round(coalesce(sum(HISTNg * TotalGrams / 100), 0) + 1e-7, 4) as "sum_HISTg",
+               round(coalesce(sum(Digest_HIST * TotalGrams / 100), 0) + 1e-7, 4) as "sum_dig_HIST"
+        from enriched group by all""",
+)
+def person_day_intake_by_weight(spark: SparkSession, sf: str) -> DataFrame:
+    totals = day_totals(standin.enriched(spark, sf), weight="TotalGrams")
+    days = totals.select("seriali", "DayNo", "AgeR", "Sex", "Overall_Diet", *_WEIGHED)
+    return rounded(days, _WEIGHED)
+
+
 @query(
     "raw_person_day_totals",
     f"""with {standin.RAW_SQL}
@@ -374,7 +396,7 @@ DEMOGRAPHICS_SQL = f"""{standin.CLASSIFIED_SQL}, {standin.PERSON_SQL},
 
 def _demographics(spark: SparkSession, sf: str) -> DataFrame:
     attributes = standin.people(spark, sf, "Sex", "AgeR", "Weight", "region")
-    return demographics(person_diets(_labelled(spark, sf)), attributes)
+    return demographics(person_diets(_evidence(spark, sf)), attributes)
 
 
 @query(

@@ -18,8 +18,16 @@ from larderline.plans.diary import (
     with_person,
 )
 from larderline.plans.enrichment import CONTENT, composition, digestibility, enrich, food_matches
-from larderline.plans.intake import DAY_TOTALS, day_totals, energy_spread, raw_day_totals
+from larderline.plans.intake import (
+    DAY_TOTALS,
+    day_totals,
+    demographics,
+    energy_spread,
+    raw_day_totals,
+)
 from larderline.plans.products import nutrition_products, product_labels, product_means
+from larderline.session import scratch_path
+from larderline.sources import read_csv, write_csv
 
 COLUMNS = (
     "seriali SurveyYear DayNo AgeR Sex Country FoodName FoodNumber SubFoodGroupCode "
@@ -182,6 +190,8 @@ def test_enrichment(spark, raw):
     assert set(DAY_TOTALS) <= set(totals.columns) and len(DAY_TOTALS) == 27
     soup = totals.where("seriali = '101' and DayNo = '2'").first()
     assert (soup.sum_TRPg, soup.sum_dig_TRP, soup.sum_energy) == (4.0, 0.0, 0.0)
+    weighted = day_totals(enriched, weight="TotalGrams").where("seriali = '101' and DayNo = '2'")
+    assert weighted.first().sum_TRPg == 8.0  # 200 g at 4 per 100 g
     assert rows(energy_spread(totals)) == [
         ("adult male", 850.0, pytest.approx(50 * 2**0.5)),
     ]
@@ -195,3 +205,12 @@ def test_repeated_coefficients_fan_out(spark, raw):
     once = enrich(diary, top, contents, coefs).count()
     # Both the coefficients and the amounts made from them are then matched twice.
     assert enrich(diary, top, contents, coefs.union(coefs)).count() == 4 * once
+
+
+def test_classified_diary_and_demographics_as_files(spark, raw, people):
+    diary = classify(raw, deduplicate(raw)).select("seriali", "FoodName", "Overall_Diet")
+    who = demographics(person_diets(row_diet(diet_flags(raw))), people)
+    for frame in (diary, who):
+        path = scratch_path(spark, "report")
+        write_csv(frame, path)
+        assert rows(read_csv(spark, path, frame.schema)) == rows(frame)

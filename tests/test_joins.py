@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from larderline.operators.joins import (
     hot_keys,
@@ -86,6 +87,15 @@ def test_skewed_join_equals_plain_join(spark, null_safe):
     assert rows(salted) == rows(plain)
 
 
+def test_copies_of_one_row_are_spread(spark):
+    left = spark.range(0, 4000, 1, 8).selectExpr("'hot' as k", "1 as i")
+    right = spark.createDataFrame([("hot", 5)], "k string, v int")
+    joined = left_join_skewed(left, right, "k", salts=8)
+    assert joined.agg({"v": "sum"}).first()[0] == 5 * 4000
+    salts = left.select(F.pmod(F.xxhash64("k", "i", F.spark_partition_id()), F.lit(8)))
+    assert salts.distinct().count() > 1
+
+
 def test_restrict_keeps_missing_groups_too(fact, dim):
     kept = restrict_to(fact, dim.where("w <> 'y'"), ["k"], 10)
     assert rows(kept.select("i"), "i") == [(1,), (3,)]

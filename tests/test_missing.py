@@ -121,3 +121,20 @@ def test_global_row_number(spark, descending):
     sign = -1 if descending else 1
     order = sorted(data, key=lambda r: (r[1] is None, sign * (r[1] or 0), r[0]))
     assert [got[i] for i, _ in order] == list(range(1, 501))
+
+
+@pytest.mark.parametrize("count", [3, 128, 129, 700])
+def test_bisection_by_branches_and_by_fold_agree(spark, count):
+    cuts = [float(i * 3) for i in range(count)]
+    df = spark.range(-5, count * 3 + 5).select(F.col("id").cast("double").alias("x"))
+    got = df.select("x", chunk_of(F.col("x"), cuts).alias("c")).collect()
+    assert all(r.c == sum(cut < r.x for cut in cuts) for r in got)
+
+
+def test_text_with_a_common_prefix_is_cut_evenly(spark):
+    df = spark.range(5000).select(F.format_string("Customer#%09d", "id").alias("k"))
+    cuts = cut_points(df, position(df, "k"), 10)
+    sizes = df.groupBy(chunk_of(F.col("k"), cuts).alias("c")).count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) < 1200
+    numbered = global_row_number(df, "k", [], chunks=7)
+    assert numbered.where("cast(substring(k, 10) as int) + 1 <> position").count() == 0
