@@ -45,7 +45,8 @@ def top_n_per_class(
 ) -> DataFrame:
     """The n largest rows of every class in one pass; each task keeps n per class."""
     inside = Window.partitionBy(*classes).orderBy(*_order(df, measure, keys, digits))
-    return df.withColumn(out, F.row_number().over(inside)).where(F.col(out) <= n)
+    top = df.withColumn(out, F.row_number().over(inside)).where(F.col(out) <= n)
+    return top.withColumn(out, F.col(out).cast("bigint"))
 
 
 def reorder_top(
@@ -58,4 +59,4 @@ def reorder_top(
 ) -> DataFrame:
     """Number the rows of a top-N report (n per class, so few) by another measure."""
     inside = Window.partitionBy(*classes).orderBy(*_order(top, show_by, keys, digits))
-    return top.withColumn(out, F.row_number().over(inside))
+    return top.withColumn(out, F.row_number().over(inside).cast("bigint"))

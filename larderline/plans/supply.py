@@ -71,7 +71,7 @@ def chart_data(
     medians = quantiles(top, by, measure, {"order_median": 0.5}, "grouped")
     in_order = [F.round("order_median", digits).asc_nulls_last(), F.col(category)]
     place = Window.partitionBy(*by[:-1]).orderBy(*in_order)
-    places = medians.withColumn("place", F.row_number().over(place))
+    places = medians.withColumn("place", F.row_number().over(place).cast("bigint"))
     boxes = box_stats(top, by, measure, limits, "grouped").withColumnsRenamed(
         {k: k + "_b" for k in by}
     )

@@ -264,7 +264,8 @@ def value_outliers(spark: SparkSession, sf: str) -> DataFrame:
 def quantity_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     probs = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
     lines = table(spark, sf, "lineitem")
-    found = exact_quantiles(lines, ["l_returnflag", "l_linestatus"], "l_quantity", probs)
+    by = ["l_returnflag", "l_linestatus"]
+    found = exact_quantiles(lines, by, "l_quantity", probs, stage=False)
     return rounded(found, list(probs))
 
 

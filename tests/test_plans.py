@@ -5,6 +5,7 @@ import io
 import os
 
 import pytest
+from compare import differences, duck
 from pyspark.sql import functions as F
 
 from larderline.operators.aggregates import summarise_numeric
@@ -17,6 +18,21 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="benchmark tables not present")
 
 
+@contextlib.contextmanager
+def conf(spark, settings):
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def plan(df) -> str:
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
@@ -61,16 +77,40 @@ def test_null_safe_join_stays_an_equi_join(spark):
     orders, people = table(spark, SF, "orders"), table(spark, SF, "customer")
     keys = {"o_custkey": "c_custkey"}
     assert "BroadcastHashJoin" in plan(left_join(orders, people, keys, null_safe=True))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
+    with conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
         assert "SortMergeJoin" in plan(left_join(orders, people, keys, null_safe=True))
         # Without a size bound nothing is forced; with a proven one it is.
         top = top_n(people, "c_acctbal", 20, ["c_custkey"]).select(
             F.col("c_custkey").alias("o_custkey")
         )
         assert "BroadcastHashJoin" in plan(restrict_to(orders, top, ["o_custkey"], 20))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+BIG_JOINS = [
+    "label_rejoin",
+    "left_join_skewed",
+    "topn_per_class",
+    "box_stats",
+    "person_diets",
+    "classified_diary",
+    "enriched_diary",
+    "intake_by_cohort",
+]
+
+
+@pytest.mark.parametrize("name", BIG_JOINS)
+def test_same_result_when_nothing_is_small(spark, name):
+    """As on tables too large to broadcast: shuffled joins, hot partitions split."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+    }
+    q = REGISTRY[name]
+    with conf(spark, settings):
+        assert differences(q.run(spark, SF), duck(SF).execute(q.sql)) == []
 
 
 def test_hot_person_is_split_at_run_time(spark):
@@ -82,10 +122,7 @@ def test_hot_person_is_split_at_run_time(spark):
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.shuffle.partitions": "8",
     }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
+    with conf(spark, settings):
         n = F.col("id")
         left = spark.range(0, 60_000, 1, 8).select(
             F.when(n % 3 == 0, 7).otherwise(n).alias("k"), F.uuid().alias("pad")
@@ -97,6 +134,3 @@ def test_hot_person_is_split_at_run_time(spark):
         totals.collect()
         executed = totals._jdf.queryExecution().executedPlan().toString()
         assert "skew=true" in executed
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
