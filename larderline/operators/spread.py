@@ -55,14 +55,14 @@ def chunk_count(df: DataFrame, chunks: int | None = None) -> int:
 def position(df: DataFrame, name: str) -> Column:
     """What the cuts of a column are compared with; never decreases as the column grows.
 
-    Text stands for itself, numbers and times become doubles. NULL and NaN give NULL.
+    Text stands for itself, numbers and times become doubles. NaN sorts above all numbers.
     """
     kind = df.schema[name].dataType
     c = F.col(name)
     if isinstance(kind, T.StringType):
         return c
     if isinstance(kind, T.NumericType):
-        return present(df, name).cast("double")
+        return F.nanvl(c.cast("double"), F.lit(float("inf")))
     if isinstance(kind, T.DateType):
         return F.unix_date(c).cast("double")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -70,8 +70,8 @@ def position(df: DataFrame, name: str) -> Column:
     raise TypeError(f"cannot cut {name}: no order known for {kind.simpleString()}")
 
 
-def cut_points(df: DataFrame, where: Column, chunks: int) -> list:
-    """At most ``chunks - 1`` values that split the rows into roughly even parts.
+def even_values(df: DataFrame, where: Column, chunks: int) -> list:
+    """``chunks - 1`` values at even steps through the sorted rows, frequent ones repeated.
 
     Only these values reach the driver (for text, a sample of a few values per chunk). They
     decide how even the chunks are, never what the result is.
@@ -80,19 +80,24 @@ def cut_points(df: DataFrame, where: Column, chunks: int) -> list:
         return []
     at = df.select(where.alias("_pos"))
     if isinstance(at.schema["_pos"].dataType, T.StringType):
-        return _text_cuts(at.where(F.col("_pos").isNotNull()), chunks)
+        return _text_values(at.where(F.col("_pos").isNotNull()), chunks)
     probs = [i / chunks for i in range(1, chunks)]
-    return sorted(set(at.approxQuantile("_pos", probs, 1 / (4 * chunks))))
+    return sorted(at.approxQuantile("_pos", probs, 1 / (4 * chunks)))
+
 
+def cut_points(df: DataFrame, where: Column, chunks: int) -> list:
+    """At most ``chunks - 1`` distinct values that split the rows into roughly even parts."""
+    return sorted(set(even_values(df, where, chunks)))
 
-def _text_cuts(at: DataFrame, chunks: int) -> list[str]:
+
+def _text_values(at: DataFrame, chunks: int) -> list[str]:
     rows = at.count()
     wanted = SAMPLED_PER_CHUNK * chunks
     if rows > wanted:
         at = at.sample(fraction=wanted / rows, seed=17)
     # Python orders text by code point, which is also the order of its UTF-8 bytes.
     seen = sorted(r["_pos"] for r in at.limit(2 * wanted).collect())
-    return sorted({seen[len(seen) * i // chunks] for i in range(1, chunks)}) if seen else []
+    return [seen[len(seen) * i // chunks] for i in range(1, chunks)] if seen else []
 
 
 def chunk_of(where: Column, cuts: Sequence) -> Column:
@@ -120,6 +125,39 @@ def chunk_of(where: Column, cuts: Sequence) -> Column:
     return F.when(where.isNull(), F.lit(0)).otherwise(found)
 
 
+def ordered_chunk(
+    df: DataFrame, order_by: Sequence[str], chunks: int, descending: bool = False
+) -> tuple[Column, int]:
+    """Chunk number that follows the order of ``order_by``, and how many there can be.
+
+    Values of the first column that span more than one chunk (and its missing values) are
+    cut once more by the second column, so not even a tie can fill a chunk. ``descending``
+    reverses the first column and puts its missing values last.
+    """
+    lead = position(df, order_by[0])
+    steps = even_values(df, lead, chunks)
+    cuts = sorted(set(steps))
+    frequent = [a for a, b in zip(steps, steps[1:]) if a == b]
+    frequent = sorted(set(frequent))
+    chunk = F.when(lead.isNull(), F.lit(0)).otherwise(chunk_of(lead, cuts) + 1)
+    if descending:
+        chunk = F.lit(len(cuts) + 1) - chunk
+    missing = not df.where(lead.isNull()).isEmpty()
+    if len(order_by) == 1 or not (frequent or missing):
+        return chunk.cast("bigint"), len(cuts) + 2
+    tied = lead.isNull()
+    if frequent:
+        tied = tied | F.coalesce(lead.isin(frequent), F.lit(False))
+    second = position(df, order_by[1])
+    again = cut_points(df.where(tied), second, chunks)
+    # A frequent value is a cut, so it ends its chunk: the other rows come before it.
+    part = chunk_of(second, again) + (0 if descending else 1)
+    part = F.when(tied, part).otherwise(F.lit(len(again) + 1 if descending else 0))
+    width = len(again) + 2
+    ids = len(cuts) + 2 + (len(frequent) + 1) * width
+    return chunk.cast("bigint") * width + part, ids
+
+
 def global_row_number(
     df: DataFrame,
     measure: str,
@@ -128,29 +166,27 @@ def global_row_number(
     descending: bool = False,
     chunks: int | None = None,
 ) -> DataFrame:
-    """Row number over the whole table by ``measure`` then ``ties``, missing measures last.
+    """Row number over the whole table by ``measure`` then ``ties``.
 
-    Equal to ``row_number() over (order by ...)`` without its single task: numbers are
-    given inside chunks and shifted by the row counts of the chunks before them. ``df`` is
-    read three times; hand in a scan or a staged table.
+    Missing measures come first, or last if ``descending``. Equal to ``row_number() over
+    (order by ...)`` without its single task: numbers are given inside chunks and shifted by
+    the row counts of the chunks before them. ``df`` is read several times; hand in a scan or
+    a staged table.
     """
-    where = position(df, measure)
-    cuts = cut_points(df, where, chunk_count(df, chunks))
-    chunk = chunk_of(where, cuts)
-    if descending:
-        chunk = F.lit(len(cuts)) - chunk
-    df = df.withColumn("_chunk", F.when(where.isNull(), F.lit(len(cuts) + 1)).otherwise(chunk))
-    order = F.col(measure).desc_nulls_last() if descending else F.col(measure).asc_nulls_last()
+    df = df.withColumn(measure, present(df, measure))
+    chunk, ids = ordered_chunk(df, [measure, *ties], chunk_count(df, chunks), descending)
+    df = df.withColumn("_chunk", chunk)
+    order = F.col(measure).desc_nulls_last() if descending else F.col(measure).asc_nulls_first()
     inside = Window.partitionBy("_chunk").orderBy(order, *ties)
     counts = df.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_rows"))
-    # At most len(cuts) + 2 rows from here, whatever the size of the input.
+    # One row per chunk from here, whatever the size of the input.
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select(
         "_chunk", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift")
     )
     return (
         df.withColumn("_inside", F.row_number().over(inside))
-        .join(broadcast_if_small(shift, proven_rows=len(cuts) + 2), "_chunk")
+        .join(broadcast_if_small(shift, proven_rows=ids), "_chunk")
         .withColumn(out, F.col("_inside") + F.col("_shift"))
         .drop("_chunk", "_inside", "_shift")
     )

@@ -12,7 +12,13 @@ from larderline.operators.missing import (
     keep_present,
     null_counts,
 )
-from larderline.operators.spread import chunk_of, cut_points, global_row_number, position
+from larderline.operators.spread import (
+    chunk_of,
+    cut_points,
+    global_row_number,
+    ordered_chunk,
+    position,
+)
 from larderline.plans.lookups import filled_codes
 
 
@@ -119,7 +125,8 @@ def test_global_row_number(spark, descending):
         for r in global_row_number(df, "x", ["i"], descending=descending, chunks=6).collect()
     }
     sign = -1 if descending else 1
-    order = sorted(data, key=lambda r: (r[1] is None, sign * (r[1] or 0), r[0]))
+    nulls_last = descending
+    order = sorted(data, key=lambda r: ((r[1] is None) == nulls_last, sign * (r[1] or 0), r[0]))
     assert [got[i] for i, _ in order] == list(range(1, 501))
 
 
@@ -138,3 +145,28 @@ def test_text_with_a_common_prefix_is_cut_evenly(spark):
     assert len(sizes) == 10 and max(r["count"] for r in sizes) < 1200
     numbered = global_row_number(df, "k", [], chunks=7)
     assert numbered.where("cast(substring(k, 10) as int) + 1 <> position").count() == 0
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_ties_do_not_fill_a_chunk(spark, descending):
+    # Half of the rows share one value and a fifth has none.
+    rng = random.Random(8)
+    data = [
+        (i, None if i % 5 == 0 else 50 if i % 2 else rng.randrange(100)) for i in range(4000)
+    ]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "i int, x int").repartition(4)
+    chunk, ids = ordered_chunk(df, ["x", "i"], 20, descending)
+    sizes = [r["count"] for r in df.groupBy(chunk.alias("c")).count().collect()]
+    assert max(sizes) < 600 and len(sizes) <= ids
+    numbered = global_row_number(df, "x", ["i"], descending=descending, chunks=20)
+    sign = -1 if descending else 1
+    want = sorted(data, key=lambda r: ((r[1] is None) == descending, sign * (r[1] or 0), r[0]))
+    assert [r.i for r in numbered.orderBy("position").collect()] == [i for i, _ in want]
+
+
+def test_fill_with_a_constant_leading_key(spark):
+    data = [("file", k, v) for _, k, v in sparse_rows(9)]
+    df = spark.createDataFrame(data, "f string, k int, v int").repartition(3)
+    plain = carry_forward_within(df, "v", ["k"], ["f"])
+    assert rows(carry_forward(df, "v", ["f", "k"], chunks=8), "k") == rows(plain, "k")
