@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderline.llm import chat, mixing, url_rules
+from larderline.llm import chat, jaccard_join, mixing, url_rules
 from larderline.queries.registry import Query, Run, table
 from larderline.session import prepare
 
@@ -78,6 +78,11 @@ def op1_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_jaccard_join")
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # Rules the query is asked for: verdict, host, path (fixed values).
 URL_RULES = [
     ("allow", "com", "/"),
