@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderline.llm import chat, jaccard_join, mixing, url_rules
+from larderline.llm import chat, decontaminate, jaccard_join, mixing, url_rules
 from larderline.queries.registry import Query, Run, table
 from larderline.session import prepare
 
@@ -83,6 +83,51 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def words_sql(text: str) -> str:
+    lower = f"translate(coalesce({text}, ''), '{url_rules.UPPER}', '{url_rules.LOWER}')"
+    return f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op7_contamination",
+    f"""
+    with d as (select doc_id, {words_sql("text")} as w from documents),
+    i as (select item_id, {words_sql("text")} as w from benchmark),
+    windows as (
+      select distinct item_id, least(len(w), 10) as n,
+        array_to_string(w[p : p + least(len(w), 10) - 1], ' ') as k
+      from i, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as t(p) where len(w) > 0
+    ), places as (
+      select doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') as k
+      from d, (select distinct n from windows), unnest(range(1, len(w) - n + 2)) as t(p)
+    ), hits as (select doc_id, p, n, item_id from places join windows using (n, k)),
+    covered as (
+      select doc_id, count(distinct q) as n_hit
+      from (select doc_id, unnest(range(p, p + n)) as q from hits) group by doc_id
+    ), named as (
+      select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
+      from (select distinct doc_id, item_id::varchar as id from hits) group by doc_id
+    )
+    select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit,
+      coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+      coalesce(n_hit, 0) > 0 as contaminated
+    from d left join covered using (doc_id) left join named using (doc_id)
+    """,
+)
+def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 # Rules the query is asked for: verdict, host, path (fixed values).
 URL_RULES = [
     ("allow", "com", "/"),
