@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderline.llm import chat, decontaminate, jaccard_join, mixing, url_rules
+from larderline.llm import chat, decontaminate, jaccard_join, language, mixing, url_rules
 from larderline.queries.registry import Query, Run, table
 from larderline.session import prepare
 
@@ -128,6 +128,19 @@ def op7_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(doc_id: str = "doc_id"):
+    """Rows that nothing is learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
+
+
+@query("op8_language")
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train_languages(docs.where(~held_out()).select("text", "lang"))
+    found = language.label_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 # Rules the query is asked for: verdict, host, path (fixed values).
 URL_RULES = [
     ("allow", "com", "/"),
