@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderline.llm import chat, decontaminate, jaccard_join, language, mixing, url_rules
+from larderline.llm import chat, decontaminate, jaccard_join, language, mixing, syncmers, toxicity, url_rules
 from larderline.queries.registry import Query, Run, table
 from larderline.session import prepare
 
@@ -133,6 +133,21 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train_toxicity(docs.where(~held_out()).join(labels, "doc_id"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op6_syncmers")
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return syncmers.compared_with_edits(docs)
+
+
 @query("op8_language")
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
