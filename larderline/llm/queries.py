@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderline.llm import chat, decontaminate, jaccard_join, language, mixing, syncmers, toxicity, url_rules
+from larderline.llm import (
+    chat,
+    decontaminate,
+    html_text,
+    jaccard_join,
+    language,
+    mixing,
+    syncmers,
+    toxicity,
+    url_rules,
+)
 from larderline.queries.registry import Query, Run, table
 from larderline.session import prepare
 
@@ -142,6 +152,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+@query("op4_html_text")
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")
+    )
+
+
 @query("op6_syncmers")
 def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
