@@ -12,6 +12,7 @@ from larderline.llm import (
     jaccard_join,
     language,
     mixing,
+    substring,
     syncmers,
     toxicity,
     url_rules,
@@ -152,6 +153,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+@query("op3_substrings")
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.dedup_substrings(docs)
+
+
 @query("op4_html_text")
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -32,16 +32,6 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, dtype=np.uint32), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def least_in_run(values: np.ndarray, size: int) -> np.ndarray:
-    """Minimum of every ``size`` neighbouring values, by doubling."""
-    out, reach = values, 1
-    while reach < size:
-        by = min(reach, size - reach)
-        out = np.minimum(out[: len(out) - by], out[by:])
-        reach += by
-    return out
-
-
 def anchors(texts: list[str], k: int, s: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hashes and places of the closed syncmers of each text; short texts have short k-mers."""
     found = _anchors(texts, k, s)
@@ -63,7 +53,7 @@ def _anchors(texts: list[str], k: int, s: int) -> list[tuple[np.ndarray, np.ndar
     found = [(np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))] * len(texts)
     if n >= k:
         small = W.mixed((sums[s:] - sums[:-s]) * down[: n - s + 1])
-        least = least_in_run(small, k - s + 1)
+        least = W.least_in_run(small, k - s + 1)
         closed = (least == small[: len(least)]) | (least == small[k - s : k - s + len(least)])
         at = np.flatnonzero(closed)
         owner = np.searchsorted(first, at, "right") - 1

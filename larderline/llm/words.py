@@ -184,3 +184,13 @@ def group_hash(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     up, down = powers(len(values) + 1)
     sums = np.concatenate([[U64(0)], np.cumsum(mixed(values) * up[: len(values)])])
     return mixed((sums[first[1:]] - sums[first[:-1]]) * down[first[:-1]])
+
+
+def least_in_run(values: np.ndarray, size: int) -> np.ndarray:
+    """Minimum of every ``size`` neighbouring values, by doubling."""
+    out, reach = values, 1
+    while reach < size:
+        by = min(reach, size - reach)
+        out = np.minimum(out[: len(out) - by], out[by:])
+        reach += by
+    return out
