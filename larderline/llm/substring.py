@@ -173,7 +173,9 @@ def repeated_parts(
     edges = near.pruned_edges(groups.join(first.select("node", "sketch"), "node"), plan)
     rows = near.components(edges).join(first.drop("sketch", "window"), "node")
     rows = staged(rows.withColumn("copies", F.lit(1).cast("bigint")), "components")
-    rows = rows.join(near.block_counts(rows), "component")
+    rows = staged(rows.join(near.block_counts(rows), "component"), "blocks")
+    # Holds for all rows; see the Jaccard join.
+    rows = rows.where("_blocks >= 1")
     texts = docs.select("doc_id", "mark", "text").join(rows, ["doc_id", "mark"])
     found = staged(near.verified(_paragraph_texts(texts), size, threshold), "links")
     classes = near.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
