@@ -57,9 +57,11 @@ def jaccard_join(
     plan = near.matches_needed(threshold, tolerance, STEPS)
     edges = near.pruned_edges(groups.join(first.select("node", "sketch"), "node"), plan)
     rows = staged(near.components(edges).join(nodes, "node"), "components")
-    rows = rows.join(near.block_counts(rows), "component")
+    rows = staged(rows.join(near.block_counts(rows), "component"), "blocks")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    wanted = texts.join(rows, "doc_id")
+    # The condition holds for all rows; it tells Spark that the keys are worth a filter on the
+    # scan of the texts, of which few are wanted.
+    wanted = texts.join(rows.where("_blocks >= 1"), "doc_id")
     found = staged(near.verified(_same_node(wanted), size, threshold), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = near.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))

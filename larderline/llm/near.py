@@ -204,8 +204,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # Written first, so that the join has an exchange of its own on both sides and the rows
+        # of a hot node can be split.
         least = both.groupBy("a").agg(F.min("b").alias("_m"))
-        least = least.select("a", F.least("a", "_m").alias("_m"))
+        least = staged(least.select("a", F.least("a", "_m").alias("_m")), "least")
         large = both.join(least, "a").where("b > a").select(
             F.col("b").alias("a"), F.col("_m").alias("b")
         ).distinct()
