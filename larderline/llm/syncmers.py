@@ -12,12 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larderline.llm import words as W
-from larderline.operators.spread import chunk_of
 
 K, S = 16, 8
 # Texts shorter than this use shorter k-mers.
@@ -135,6 +134,21 @@ def fingerprints(
     return docs.mapInArrow(make, schema)
 
 
+def range_of(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are below the value, by bisection; 0 for a missing value."""
+    table = F.array(*[F.lit(c) for c in cuts])
+    steps = [2**i for i in range(len(cuts).bit_length() - 1, -1, -1)]
+    if not steps:
+        return F.lit(0)
+
+    def step(below: Column, width: Column) -> Column:
+        reach = below + width
+        fits = (reach <= len(cuts)) & (F.get(table, reach - 1) < value)
+        return F.when(fits, reach).otherwise(below)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+
+
 def by_neighbours(docs: DataFrame) -> DataFrame:
     """Deals documents (``doc_id``, ``text``) out by ranges of ids, in order.
 
@@ -146,7 +160,7 @@ def by_neighbours(docs: DataFrame) -> DataFrame:
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     cuts = docs.agg(F.percentile_approx("doc_id", shares, F.lit(20 * parts))).first()[0]
-    chunk = chunk_of(F.col("doc_id"), sorted(set(cuts or [])))
+    chunk = range_of(F.col("doc_id"), sorted(set(cuts or [])))
     rows = docs.withColumns({"_chunk": chunk, "_tie": F.xxhash64("text")})
     firsts = rows.groupBy("_chunk").agg(F.min(F.struct("doc_id")).alias("_first")).collect()
     firsts = sorted((r["_chunk"], r["_first"]["doc_id"]) for r in firsts)
