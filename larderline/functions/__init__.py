@@ -1,5 +1,6 @@
 from larderline.functions.casting import (
     columns_at,
+    number_of,
     numeric_columns,
     plain_id,
     present,
@@ -7,7 +8,7 @@ from larderline.functions.casting import (
     to_number,
 )
 from larderline.functions.labels import first_label, label_of_rank, rank_of_label
-from larderline.functions.ratios import pair_products, per_hundred, ratio
+from larderline.functions.ratios import pair_products, per_hundred, ratio, significant
 from larderline.functions.text import keyword_pattern, matches_any
 
 __all__ = [
@@ -16,6 +17,7 @@ __all__ = [
     "keyword_pattern",
     "label_of_rank",
     "matches_any",
+    "number_of",
     "numeric_columns",
     "pair_products",
     "per_hundred",
@@ -23,6 +25,7 @@ __all__ = [
     "present",
     "rank_of_label",
     "ratio",
+    "significant",
     "to_int",
     "to_number",
 ]

@@ -17,11 +17,22 @@ def to_number(c: str | Column) -> Column:
     """Text to double; anything that is not a number becomes NULL.
 
     The JVM parser also takes a type suffix ("1.5d", "2F"), which is not a number in a
-    data file, so text ending in one of those letters after a digit or dot is refused.
+    data file. Only text that did parse is looked at again: it is refused if it ends in one
+    of those letters, unless it spells infinity. Columns that are numbers need no such test,
+    see :func:`number_of`.
     """
     c = _col(c)
-    suffixed = c.cast("string").rlike(r"[0-9.][dDfF]\s*$")
-    return F.when(~suffixed, c.try_cast("double"))
+    value = c.try_cast("double")
+    text = F.lower(F.trim(c))
+    plain = ~(F.endswith(text, F.lit("d")) | F.endswith(text, F.lit("f")))
+    return F.when(value.isNotNull() & (plain | text.isin("inf", "+inf", "-inf")), value)
+
+
+def number_of(df: DataFrame, name: str) -> Column:
+    """:func:`to_number` of a column; one that is already numeric is only widened."""
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        return F.col(name).cast("double")
+    return to_number(name)
 
 
 def to_int(c: str | Column) -> Column:
@@ -30,10 +41,17 @@ def to_int(c: str | Column) -> Column:
 
 
 def plain_id(c: str | Column) -> Column:
-    """Identifier as text with plain digits: 101011021.0 -> "101011021", not "1.01E8"."""
+    """Identifier as text with plain digits: 101011021.0 -> "101011021", not "1.01E8".
+
+    Text stays as it is ("007", "1e3"), and so does every digit of whole numbers and decimals.
+    Only floating numbers go by bigint, if they are whole and small enough to be exact.
+    """
     c = _col(c)
-    whole = c.try_cast("double").try_cast("bigint")
-    return F.when(whole == c.try_cast("double"), whole.cast("string")).otherwise(c.cast("string"))
+    floating = F.typeof(c).isin("double", "float")
+    value = c.try_cast("double")
+    whole = value.try_cast("bigint")
+    exact = floating & (F.abs(value) < F.lit(float(2**53))) & (whole == value)
+    return F.when(exact, whole.cast("string")).otherwise(c.cast("string"))
 
 
 def present(df: DataFrame, name: str) -> Column:

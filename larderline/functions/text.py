@@ -18,7 +18,8 @@ def keyword_pattern(words: Sequence[str], literal: bool = False, whole_word: boo
         raise ValueError("at least one keyword is needed")
     parts = [r"\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E" if literal else w for w in words]
     body = "|".join(parts)
-    return rf"(?i)\b(?:{body})\b" if whole_word else f"(?i){body}"
+    # Case folding and word borders by Unicode: accented letters are letters.
+    return rf"(?iuU)\b(?:{body})\b" if whole_word else f"(?iu){body}"
 
 
 def matches_any(

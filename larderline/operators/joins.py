@@ -6,10 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from larderline.operators.missing import drop_incomplete
-from larderline.operators.spread import broadcast_if_small
+from larderline.operators.spread import any_hash
+from larderline.session import staged
 
 Keys = str | Sequence[str] | Mapping[str, str]
 
@@ -37,23 +37,20 @@ def left_join(
     null_safe: bool = False,
     suffixes: tuple[str, str] = ("_x", "_y"),
     unique: bool = False,
-    right_rows: int | None = None,
-    check_size: bool = False,
 ) -> DataFrame:
     """Keep every left row and add the right columns where the key matches.
 
     * ``null_safe`` lets a missing key match a missing key.
     * Non-key names found on both sides get ``suffixes`` before the join.
     * ``unique`` checks that the right key does not repeat.
-    * ``right_rows`` states a proven bound on the right side, ``check_size`` counts it; only
-      then is a broadcast hinted. Otherwise Spark picks the join from file and shuffle sizes.
+
+    No side is hinted: Spark picks the join from file sizes, and from the bytes it has measured
+    once a shuffle is written.
     """
     pairs = _key_pairs(on)
     left, right = _suffixed(left, right, pairs, suffixes)
     if unique:
         require_unique(right, list(pairs.values()))
-    if right_rows is not None or check_size:
-        right = broadcast_if_small(right, right_rows)
     renamed = right.withColumnsRenamed({r: f"_key_{r}" for r in pairs.values()})
     condition = _match(pairs, null_safe)
     return left.join(renamed, condition, "left").drop(*[f"_key_{r}" for r in pairs.values()])
@@ -95,53 +92,46 @@ def join_chain(df: DataFrame, steps: Sequence[tuple[DataFrame, Keys]], **options
     return df
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.02) -> list:
-    """Keys (NULL included) that hold more than ``share`` of all rows.
+def hot_keys(df: DataFrame, key: str, rows_per_task: int) -> DataFrame:
+    """Keys (NULL included) with more rows than one task should get: ``key``, ``_parts``.
 
-    There can be at most ``1 / share`` of them, so the list is safe to hold on the driver.
+    ``_parts`` is the number of tasks a key's rows need. One aggregate over the key column.
     """
-    total = df.count()
-    counts = df.groupBy(key).count().where(F.col("count") > F.lit(share * total))
-    return [row[key] for row in counts.select(key).collect()]
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    parts = F.ceil(F.col("_rows") / F.lit(rows_per_task)).cast("int").alias("_parts")
+    return counts.where(F.col("_rows") > rows_per_task).select(key, parts)
 
 
 def left_join_skewed(
     left: DataFrame,
     right: DataFrame,
     on: str,
-    salts: int = 32,
-    share: float = 0.02,
+    rows_per_task: int = 1_000_000,
     null_safe: bool = False,
     suffixes: tuple[str, str] = ("_x", "_y"),
 ) -> DataFrame:
-    """:func:`left_join` that splits keys holding a large share of the left rows.
-
-    Rows of a hot key get a salt from a hash of the whole row and the number of the task's
-    partition: a retried task gives the same salts again, and copies of one row in different
-    partitions still part. The matching right rows, and only those, are repeated once per
-    salt. Missing keys are spread the same way (unless null-safe they match nothing at all).
+    """:func:`left_join` that splits every key with more than ``rows_per_task`` left rows.
+
+    The rows of such a key are dealt out to as many parts as it needs, by a hash of the whole row
+    and the number of the task's partition: a retried task gives the same parts again, and
+    copies of one row in different partitions still part. The matching right rows, and only
+    those, are repeated once per part. Missing keys are spread the same way (unless null-safe
+    they match nothing at all). There are at most rows / ``rows_per_task`` such keys; they are
+    written once, and Spark joins them by the bytes that takes.
     """
-    hot = hot_keys(left, on, share)
-    named = [k for k in hot if k is not None]
     left, right = _suffixed(left, right, {on: on}, suffixes)
-    hashable = [
-        f.name for f in left.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))
-    ]
-
-    def is_hot(c: Column) -> Column:
-        missing_hot = c.isNull() if (None in hot or not null_safe) else F.lit(False)
-        return missing_hot | F.coalesce(c.isin(named) if named else F.lit(False), F.lit(False))
-
-    salt = F.pmod(F.xxhash64(*hashable, F.spark_partition_id()), F.lit(salts)).cast("int")
-    spread_left = left.withColumn("_salt", F.when(is_hot(F.col(on)), salt).otherwise(F.lit(0)))
-    last_salt = F.when(is_hot(F.col(f"_key_{on}")), F.lit(salts - 1)).otherwise(F.lit(0))
-    spread_right = right.withColumnRenamed(on, f"_key_{on}").withColumn(
-        "_right_salt", F.explode(F.sequence(F.lit(0), last_salt))
-    )
-    condition = _match({on: on}, null_safe) & (F.col("_salt") == F.col("_right_salt"))
-    return spread_left.join(spread_right, condition, "left").drop(
-        f"_key_{on}", "_salt", "_right_salt"
-    )
+    hot = staged(hot_keys(left, on, rows_per_task).withColumnRenamed(on, "_hot"), "hot-keys")
+    # The number of the partition is taken before the rows are moved for the look-up.
+    marked = left.withColumn("_at", F.xxhash64(any_hash(left), F.spark_partition_id()))
+    marked = marked.join(hot, F.col(on).eqNullSafe(F.col("_hot")), "left").drop("_hot")
+    part = F.coalesce(F.pmod(F.col("_at"), F.col("_parts")).cast("int"), F.lit(0))
+    marked = marked.withColumn("_part", part).drop("_at", "_parts")
+    keyed = right.withColumnRenamed(on, f"_key_{on}")
+    keyed = keyed.join(hot, F.col(f"_key_{on}").eqNullSafe(F.col("_hot")), "left").drop("_hot")
+    last = F.coalesce(F.col("_parts") - 1, F.lit(0))
+    keyed = keyed.withColumn("_of", F.explode(F.sequence(F.lit(0), last))).drop("_parts")
+    condition = _match({on: on}, null_safe) & (F.col("_part") == F.col("_of"))
+    return marked.join(keyed, condition, "left").drop(f"_key_{on}", "_part", "_of")
 
 
 def write_back(df: DataFrame, labels: DataFrame, key: str, null_safe: bool = False) -> DataFrame:
@@ -149,8 +139,8 @@ def write_back(df: DataFrame, labels: DataFrame, key: str, null_safe: bool = Fal
     return left_join(df, labels, key, null_safe=null_safe)
 
 
-def restrict_to(df: DataFrame, groups: DataFrame, keys: Sequence[str], max_groups: int) -> DataFrame:
-    """Keep the rows whose keys are among ``groups``, which has at most ``max_groups`` rows."""
+def restrict_to(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keep the rows whose keys are among ``groups``."""
     wanted = groups.select(*[F.col(k).alias(f"_key_{k}") for k in keys])
     condition = _match({k: k for k in keys}, null_safe=True)
-    return df.join(broadcast_if_small(wanted, max_groups), condition, "left_semi")
+    return df.join(wanted, condition, "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larderline.functions import present
-from larderline.operators.spread import chunk_count, ordered_chunk
+from larderline.operators.spread import chunk_count, in_chunks
 
 
 def keep_present(df: DataFrame, column: str) -> DataFrame:
@@ -61,18 +61,18 @@ def carry_forward(
     """Fill missing values of ``column`` with the last value before them in ``order_by``.
 
     ``leading="keep"`` leaves rows before the first value missing, ``"drop"`` removes them.
-    ``order_by`` should be unique within a partition; its first two columns are cut into chunks.
+    ``order_by`` should be unique within a partition; rows are cut into chunks by all of it.
 
     No task ever sees a whole partition: the last value of each chunk is found by a partial
     aggregate, carried across chunks (one row per partition and chunk), and put in front of
-    the next chunk as a seed row. The data itself is shuffled once, by partition and chunk;
-    the chunks are found from a few columns of it, so hand in a scan or a staged table.
+    the next chunk as a seed row. The rows are written once with their chunk, so whatever
+    ``df`` is, all steps read the same rows.
     """
     if leading not in ("keep", "drop"):
         raise ValueError("leading must be 'keep' or 'drop'")
     df = df.withColumn(column, present(df, column))
-    chunk, _ = ordered_chunk(df, order_by, chunk_count(df, chunks))
-    rows = df.withColumn("_chunk", chunk)
+    order = [F.col(c) for c in order_by]
+    rows = in_chunks(df, order, chunk_count(df, chunks), "in-order")
 
     keys = [*partition_by, "_chunk"]
     newest = F.max(F.when(F.col(column).isNotNull(), F.struct(*order_by, F.col(column).alias("_v"))))

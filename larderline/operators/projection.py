@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from larderline.functions import columns_at, plain_id, to_number
+from larderline.functions import columns_at, number_of, plain_id
 
 # How the CSV reader names a column whose header is blank.
 BLANK_HEADER = r"^_c\d+$"
@@ -35,7 +35,7 @@ def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 def cast_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Cast the named columns to double, bad text to NULL."""
-    return df.withColumns({c: to_number(c) for c in columns})
+    return df.withColumns({c: number_of(df, c) for c in columns})
 
 
 def cast_positions(df: DataFrame, first: int, last: int) -> DataFrame:

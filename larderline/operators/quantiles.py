@@ -8,13 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larderline.functions import present
-from larderline.operators.spread import (
-    chunk_count,
-    chunk_of,
-    cut_points,
-    global_row_number,
-    same_keys,
-)
+from larderline.operators.spread import chunk_count, global_row_number, in_chunks, same_keys
 from larderline.session import staged
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -27,23 +21,19 @@ def exact_quantiles(
     measure: str,
     probs: Mapping[str, float],
     chunks: int | None = None,
-    stage: bool = True,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, exact, without gathering any group.
 
-    Built-in ``percentile`` keeps every distinct value of a group in one task. Here the value
-    range is cut into chunks; row counts per group and chunk tell which chunk holds each
-    wanted rank, and only the rows of those chunks are shuffled and ranked.
-
-    The values are read three times. ``stage`` writes them (group columns and measure only)
-    to the shared folder first; turn it off when ``df`` is itself a plain scan.
+    Built-in ``percentile`` keeps every distinct value of a group in one task. Here the values
+    (with their group columns and nothing else) are written in chunks of value order; row
+    counts per group and chunk tell which chunk holds each wanted rank, and only the rows of
+    those chunks are shuffled and ranked.
     """
     by = list(by)
-    values = _values(df, by, measure, "_v", stage)
-    cuts = cut_points(values, F.col("_v"), chunk_count(values, chunks))
-    values = values.withColumn("_chunk", chunk_of(F.col("_v"), cuts))
+    values = _values(df, by, measure, "_v")
+    values = in_chunks(values, [F.col("_v")], chunk_count(values, chunks), "values")
 
-    group = Window.partitionBy(*by)  # at most len(cuts) + 1 rows each
+    group = Window.partitionBy(*by)  # one row for each chunk at most
     earlier = group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     per_chunk = (
         values.groupBy(*by, "_chunk")
@@ -81,10 +71,9 @@ def exact_quantiles(
     return ends.select(*by, *[_between(q, p).alias(q) for q, p in probs.items()])
 
 
-def _values(df: DataFrame, by: Sequence[str], measure: str, out: str, stage: bool) -> DataFrame:
+def _values(df: DataFrame, by: Sequence[str], measure: str, out: str) -> DataFrame:
     narrow = df.select(*by, present(df, measure).cast("double").alias(out))
-    narrow = narrow.where(F.col(out).isNotNull())
-    return staged(narrow, "values") if stage else narrow
+    return narrow.where(F.col(out).isNotNull())
 
 
 def _exact_rank(p: float) -> Column:
@@ -111,11 +100,10 @@ def quantiles(
     probs: Mapping[str, float],
     method: str = "exact",
     chunks: int | None = None,
-    stage: bool = True,
 ) -> DataFrame:
     """``exact`` (any size), ``grouped`` (exact, groups known to be small) or ``approximate``."""
     if method == "exact":
-        return exact_quantiles(df, by, measure, probs, chunks, stage)
+        return exact_quantiles(df, by, measure, probs, chunks)
     v = present(df, measure).cast("double")
     if method == "grouped":
         aggs = [F.percentile(v, F.lit(p)).alias(q) for q, p in probs.items()]
@@ -138,7 +126,7 @@ def _with_fences(
 ) -> DataFrame:
     if not by:
         raise ValueError("box statistics need at least one category column")
-    quarts = quantiles(df, by, measure, QUARTILES, method, chunks, stage=False)
+    quarts = quantiles(df, by, measure, QUARTILES, method, chunks)
     if method != "grouped":
         quarts = staged(quarts, "quartiles")
     reach = WHISKER_REACH * (F.col("q3") - F.col("q1"))
@@ -158,15 +146,15 @@ def box_stats(
     limits: tuple[float, float] | None = None,
     method: str = "exact",
     chunks: int | None = None,
-    stage: bool = True,
 ) -> DataFrame:
     """Data of a box plot: quartiles, whiskers (extremes within 1.5 box lengths), counts.
 
     ``method="grouped"`` is one plain plan for tables known to be small, such as a top-N
-    report; ``stage`` is as in :func:`exact_quantiles`.
+    report; otherwise the values are staged once for both passes.
     """
-    stage = stage and method != "grouped"
-    narrow = _values(within_limits(df, measure, limits), by, measure, measure, stage)
+    narrow = _values(within_limits(df, measure, limits), by, measure, measure)
+    if method != "grouped":
+        narrow = staged(narrow, "box-values")
     fenced = _with_fences(narrow, by, measure, method, chunks)
     v = F.col(measure)
     inside = v.between(F.col("_low_fence"), F.col("_high_fence"))
@@ -203,9 +191,8 @@ def category_order(
     measure: str,
     method: str = "exact",
     chunks: int | None = None,
-    stage: bool = True,
 ) -> DataFrame:
     """Categories numbered by ascending median of the measure, ties by name."""
-    median = quantiles(df, [category], measure, {"median": 0.5}, method, chunks, stage)
+    median = quantiles(df, [category], measure, {"median": 0.5}, method, chunks)
     medians = staged(median, "medians")
     return global_row_number(medians, "median", [category], chunks=chunks)

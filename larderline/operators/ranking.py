@@ -1,7 +1,8 @@
 """Top-N reports with a total order: measure descending, missing last, ties by key.
 
 Sums of doubles differ in their last digits with the order the parts arrive in. ``digits``
-ranks by the rounded measure, so that equal groups stay tied and every run gives one answer.
+ranks by the measure rounded to so many significant digits, whatever its unit, so that equal
+groups stay tied and every run gives one answer. Reported values are never rounded.
 """
 
 from __future__ import annotations
@@ -11,13 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larderline.functions import present
+from larderline.functions import present, significant
 
 
 def _order(df: DataFrame, measure: str, keys: Sequence[str], digits: int | None) -> list:
     ranked = present(df, measure)
     if digits is not None:
-        ranked = F.round(ranked, digits)
+        ranked = significant(ranked, digits)
     return [ranked.desc_nulls_last(), *[F.col(k).asc_nulls_last() for k in keys]]
 
 

@@ -1,14 +1,15 @@
-"""Cutting an ordered column into even chunks, so that ordered work is shared by many tasks.
+"""Ordered work shared by many tasks.
 
 An ordered operation (fill forward, rank, exact quantile) over one group normally runs in one
-task. Here the leading order column is cut at a few values taken from its approximate
-quantiles. The cut values are plain literals, so every branch of a plan, and every retry of
-a lost task, puts a row into the same chunk; equal values always share a chunk. Work inside
-chunks runs in parallel, and only one small row per chunk has to be carried across.
+task. Here Spark's range partitioning deals the rows out by all order columns, in their own
+types; the number of its partition becomes a column, and the table is written once. The
+written chunk numbers are what every later branch and every retry reads. Work inside chunks
+runs in parallel, and only one small row per chunk has to be carried across.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,23 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larderline.functions import present
+from larderline.session import staged
 
-FEWEST_CHUNKS, MOST_CHUNKS = 64, 1024
-SAMPLED_PER_CHUNK = 40
-MOST_BRANCHES = 128
-# A table may be broadcast when it was counted, or proven, to have at most this many rows.
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, proven_rows: int | None = None) -> DataFrame:
-    """Broadcast hint for a table of proven or counted size; a larger one stays unhinted.
-
-    Without a proven bound the rows are counted (up to the limit), so hand in a table that
-    is cheap to evaluate: a file-backed dimension or a staged result.
-    """
-    if proven_rows is None:
-        proven_rows = df.limit(BROADCAST_ROWS + 1).count()
-    return F.broadcast(df) if proven_rows <= BROADCAST_ROWS else df
+ROWS_PER_CHUNK = 1_000_000
+# A table is not cut below this size only to keep more tasks busy.
+LEAST_ROWS_PER_CHUNK = 20_000
 
 
 def same_keys(keys: Sequence[str], suffix: str) -> Column | None:
@@ -45,117 +34,36 @@ def same_keys(keys: Sequence[str], suffix: str) -> Column | None:
 
 
 def chunk_count(df: DataFrame, chunks: int | None = None) -> int:
-    """Given number of chunks, or one that follows the session's shuffle width."""
+    """Given number of chunks, or one that follows from the rows.
+
+    A chunk gets at most a million rows. Smaller tables are cut into as many chunks as the
+    session has shuffle partitions, if that leaves each enough rows to be worth a task.
+    """
     if chunks is not None:
         return chunks
+    rows = df.count()
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(width, FEWEST_CHUNKS), MOST_CHUNKS)
+    return max(
+        math.ceil(rows / ROWS_PER_CHUNK), min(width, math.ceil(rows / LEAST_ROWS_PER_CHUNK)), 1
+    )
 
 
-def position(df: DataFrame, name: str) -> Column:
-    """What the cuts of a column are compared with; never decreases as the column grows.
+def any_hash(df: DataFrame) -> Column:
+    """A hash of the row, from all columns whose type can be hashed."""
+    names = [
+        f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))
+    ]
+    return F.xxhash64(*[F.col(f"`{n}`") for n in names])
 
-    Text stands for itself, numbers and times become doubles. NaN sorts above all numbers.
-    """
-    kind = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(kind, T.StringType):
-        return c
-    if isinstance(kind, T.NumericType):
-        return F.nanvl(c.cast("double"), F.lit(float("inf")))
-    if isinstance(kind, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    raise TypeError(f"cannot cut {name}: no order known for {kind.simpleString()}")
-
-
-def even_values(df: DataFrame, where: Column, chunks: int) -> list:
-    """``chunks - 1`` values at even steps through the sorted rows, frequent ones repeated.
-
-    Only these values reach the driver (for text, a sample of a few values per chunk). They
-    decide how even the chunks are, never what the result is.
-    """
-    if chunks < 2:
-        return []
-    at = df.select(where.alias("_pos"))
-    if isinstance(at.schema["_pos"].dataType, T.StringType):
-        return _text_values(at.where(F.col("_pos").isNotNull()), chunks)
-    probs = [i / chunks for i in range(1, chunks)]
-    return sorted(at.approxQuantile("_pos", probs, 1 / (4 * chunks)))
-
-
-def cut_points(df: DataFrame, where: Column, chunks: int) -> list:
-    """At most ``chunks - 1`` distinct values that split the rows into roughly even parts."""
-    return sorted(set(even_values(df, where, chunks)))
-
-
-def _text_values(at: DataFrame, chunks: int) -> list[str]:
-    rows = at.count()
-    wanted = SAMPLED_PER_CHUNK * chunks
-    if rows > wanted:
-        at = at.sample(fraction=wanted / rows, seed=17)
-    # Python orders text by code point, which is also the order of its UTF-8 bytes.
-    seen = sorted(r["_pos"] for r in at.limit(2 * wanted).collect())
-    return [seen[len(seen) * i // chunks] for i in range(1, chunks)] if seen else []
-
-
-def chunk_of(where: Column, cuts: Sequence) -> Column:
-    """Number of cuts below the value, found by bisection; NULL goes to chunk 0."""
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(where <= F.lit(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
-
-    if len(cuts) <= MOST_BRANCHES:
-        found = search(0, len(cuts))
-    else:
-        # The same bisection as a fold: compiled branches would outgrow one method.
-        table = F.array(*[F.lit(c) for c in cuts])
-        steps = [2**i for i in range(len(cuts).bit_length() - 1, -1, -1)]
-
-        def step(below: Column, width: Column) -> Column:
-            reach = below + width
-            fits = (reach <= len(cuts)) & (F.get(table, reach - 1) < where)
-            return F.when(fits, reach).otherwise(below)
-
-        found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
-    return F.when(where.isNull(), F.lit(0)).otherwise(found)
-
-
-def ordered_chunk(
-    df: DataFrame, order_by: Sequence[str], chunks: int, descending: bool = False
-) -> tuple[Column, int]:
-    """Chunk number that follows the order of ``order_by``, and how many there can be.
-
-    Values of the first column that span more than one chunk (and its missing values) are
-    cut once more by the second column, so not even a tie can fill a chunk. ``descending``
-    reverses the first column and puts its missing values last.
+
+def in_chunks(df: DataFrame, order: Sequence[Column], chunks: int, name: str) -> DataFrame:
+    """``df`` with ``_chunk``, written to the shared folder: chunks follow each other in order.
+
+    Rows that tie in the whole order are told apart by a hash, so ties do not fill a chunk
+    either (full copies of one row stay together).
     """
-    lead = position(df, order_by[0])
-    steps = even_values(df, lead, chunks)
-    cuts = sorted(set(steps))
-    frequent = [a for a, b in zip(steps, steps[1:]) if a == b]
-    frequent = sorted(set(frequent))
-    chunk = F.when(lead.isNull(), F.lit(0)).otherwise(chunk_of(lead, cuts) + 1)
-    if descending:
-        chunk = F.lit(len(cuts) + 1) - chunk
-    missing = not df.where(lead.isNull()).isEmpty()
-    if len(order_by) == 1 or not (frequent or missing):
-        return chunk.cast("bigint"), len(cuts) + 2
-    tied = lead.isNull()
-    if frequent:
-        tied = tied | F.coalesce(lead.isin(frequent), F.lit(False))
-    second = position(df, order_by[1])
-    again = cut_points(df.where(tied), second, chunks)
-    # A frequent value is a cut, so it ends its chunk: the other rows come before it.
-    part = chunk_of(second, again) + (0 if descending else 1)
-    part = F.when(tied, part).otherwise(F.lit(len(again) + 1 if descending else 0))
-    width = len(again) + 2
-    ids = len(cuts) + 2 + (len(frequent) + 1) * width
-    return chunk.cast("bigint") * width + part, ids
+    ranged = df.repartitionByRange(max(chunks, 1), *order, any_hash(df))
+    return staged(ranged.withColumn("_chunk", F.spark_partition_id()), name)
 
 
 def global_row_number(
@@ -170,23 +78,23 @@ def global_row_number(
 
     Missing measures come first, or last if ``descending``. Equal to ``row_number() over
     (order by ...)`` without its single task: numbers are given inside chunks and shifted by
-    the row counts of the chunks before them. ``df`` is read several times; hand in a scan or
-    a staged table.
+    the row counts of the chunks before them. Rows that tie in all columns are numbered in
+    any order, but each number is given once.
     """
     df = df.withColumn(measure, present(df, measure))
-    chunk, ids = ordered_chunk(df, [measure, *ties], chunk_count(df, chunks), descending)
-    df = df.withColumn("_chunk", chunk)
-    order = F.col(measure).desc_nulls_last() if descending else F.col(measure).asc_nulls_first()
-    inside = Window.partitionBy("_chunk").orderBy(order, *ties)
-    counts = df.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_rows"))
+    first = F.col(measure).desc_nulls_last() if descending else F.col(measure).asc_nulls_first()
+    order = [first, *[F.col(t) for t in ties]]
+    rows = in_chunks(df, order, chunk_count(df, chunks), "numbered")
+    inside = Window.partitionBy("_chunk").orderBy(*order)
+    counts = rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_rows"))
     # One row per chunk from here, whatever the size of the input.
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select(
         "_chunk", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift")
     )
     return (
-        df.withColumn("_inside", F.row_number().over(inside))
-        .join(broadcast_if_small(shift, proven_rows=ids), "_chunk")
+        rows.withColumn("_inside", F.row_number().over(inside))
+        .join(shift, "_chunk")
         .withColumn(out, F.col("_inside") + F.col("_shift"))
         .drop("_chunk", "_inside", "_shift")
     )

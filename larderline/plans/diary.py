@@ -36,11 +36,18 @@ def type_diary(
     positions: tuple[int, int] | None = fixed.MEASURE_POSITIONS,
     measures: Sequence[str] = (),
 ) -> DataFrame:
-    """Numbers for the weight and nutrient columns, whole numbers for age and sex."""
+    """Numbers for the weight and nutrient columns, whole numbers for age and sex; the person
+    id as plain text, by the rule that :func:`person_attributes` has too."""
     if positions is not None:
         df = cast_positions(df, *positions)
     df = cast_numbers(df, [cols.grams, *[m for m in measures if m != cols.grams]])
-    return df.withColumns({cols.age: to_int(cols.age), cols.sex: to_int(cols.sex)})
+    return df.withColumns(
+        {
+            cols.person: plain_id(cols.person),
+            cols.age: to_int(cols.age),
+            cols.sex: to_int(cols.sex),
+        }
+    )
 
 
 def deduplicate(df: DataFrame, cols: Diary = DIARY, how: str = "mean") -> DataFrame:
@@ -126,9 +133,9 @@ def classify(
 ) -> DataFrame:
     """``diary`` with each person's diet class on every row.
 
-    The class depends on which foods a person has, not on how often, so ``rows`` may be the
-    diary as read and ``diary`` the de-duplicated one: finding the classes then reads three
-    columns and does not de-duplicate a second time.
+    Both steps read ``rows``: hand in a staged de-duplicated diary, or its plan runs twice. The
+    class depends on which foods a person has, not on how often, so the diary as read gives the
+    same classes; ``diary`` is then the table to write them on.
     """
     diets = person_diets(row_diet(diet_flags(rows, rules, by_text)), cols=cols)
     return with_diet(rows if diary is None else diary, diets, cols)

@@ -33,7 +33,9 @@ def composition(
     raw: DataFrame, matches: DataFrame, contents: Sequence[str] = CONTENT, cols: Diary = DIARY
 ) -> DataFrame:
     """Mean content per sub-group, with its protein density."""
-    means = summarise_numeric(keep(raw, [cols.sub, *contents]), [cols.sub])
+    # A column with a bad cell was read as text: contents are named, never found by type.
+    typed = cast_numbers(keep(raw, [cols.sub, *contents]), contents)
+    means = summarise_numeric(typed, [cols.sub], "mean", contents)
     return left_join(means, keep(matches, [cols.sub, DENSITY]), cols.sub, null_safe=True)
 
 
@@ -61,20 +63,18 @@ def enrich(
     contents: DataFrame,
     coefficients: DataFrame,
     cols: Diary = DIARY,
-    top_rows: int = REPORTS["protein_per_day"].n,
 ) -> DataFrame:
     """Diary rows of the top sub-groups with contents, coefficients and digestible amounts.
 
     Contents, coefficients and amounts all hang on the sub-group code, so they are joined to
-    each other first, for the ``top_rows`` codes only, and staged as one small table of codes
-    with complete contents. The diary then meets a single join, whose other side Spark knows
-    to be a few kilobytes; one required column is enough to drop the unmatched rows.
+    each other first, for the codes of ``top`` only, and staged in one write as a table of
+    codes with complete contents. The diary then meets a single join, whose other side Spark
+    knows the size of; one required column is enough to drop the unmatched rows.
     """
     codes = staged(keep(top, [cols.sub]), "top-groups")
-    known_contents = restrict_to(contents, codes, [cols.sub], top_rows)
-    wide = left_join(codes, known_contents, cols.sub, null_safe=True)
-    wide = staged(drop_incomplete(wide, REQUIRED_CONTENT), "contents")
-    known = staged(restrict_to(coefficients, codes, [cols.sub], top_rows), "coefficients")
+    wide = left_join(codes, contents, cols.sub, null_safe=True)
+    wide = drop_incomplete(wide, REQUIRED_CONTENT)
+    known = restrict_to(coefficients, codes, [cols.sub])
     amounts = digestible_amounts(wide, discard(known, ["Digest_food"]), cols)
     lookup = join_chain(wide, [(known, cols.sub), (amounts, cols.sub)], null_safe=True)
     rows = left_join_complete(

@@ -8,14 +8,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larderline.functions import significant
 from larderline.operators.aggregates import summarise_numeric, two_level
 from larderline.operators.quantiles import box_stats, quantiles
 from larderline.operators.ranking import reorder_top, top_n, top_n_per_class
 from larderline.operators.spread import same_keys
 from larderline.plans.schema import DIARY
 
-# Rankings compare rounded means: equal groups must not be told apart by summation noise.
-RANK_DIGITS = 6
+# Rankings compare means by their significant digits: equal groups must not be told apart by
+# the noise of summation, and small units must not be rounded away.
+RANK_DIGITS = 9
 
 
 def supply_ranking(
@@ -64,12 +66,12 @@ def chart_data(
 
     The report holds n rows per class, so plain grouped medians will do. The order is taken
     before ``limits`` apply, the box after; a category left without rows keeps its place.
-    Means are rounded to ``digits`` first: noise must not turn equal ones into outliers.
+    Means are cut to significant ``digits`` first: noise must not turn equal ones into outliers.
     """
     by = [c for c in (by_class, category) if c]
-    top = top.withColumn(measure, F.round(measure, digits))
+    top = top.withColumn(measure, significant(measure, digits))
     medians = quantiles(top, by, measure, {"order_median": 0.5}, "grouped")
-    in_order = [F.round("order_median", digits).asc_nulls_last(), F.col(category)]
+    in_order = [significant("order_median", digits).asc_nulls_last(), F.col(category)]
     place = Window.partitionBy(*by[:-1]).orderBy(*in_order)
     places = medians.withColumn("place", F.row_number().over(place).cast("bigint"))
     boxes = box_stats(top, by, measure, limits, "grouped").withColumnsRenamed(

@@ -27,6 +27,7 @@ from larderline.operators.missing import (
     null_counts,
 )
 from larderline.operators.projection import cast_positions, discard, drop_matching, keep, rename
+from larderline.operators.spread import global_row_number
 from larderline.queries.registry import query, rounded, table
 from larderline.sources.delimited import append_by_name
 
@@ -315,6 +316,75 @@ def locf_one_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return carry_forward(events, "last_signup", ["ts", "event_id"])
 
 
+# Neighbouring whole numbers that no double can tell apart, each on many rows.
+LARGE = 2**60
+
+
+def _large_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(
+        (F.lit(LARGE) + F.col("user_id") % 100).alias("big"),
+        "event_type",
+        "event_id",
+        F.when(F.col("event_type") == "signup", F.col("user_id")).alias("last_signup"),
+    )
+
+
+@query(
+    "locf_large_ids",
+    f"""select {LARGE} + user_id % 100 as big, event_type, event_id,
+              last_value(case when event_type = 'signup' then user_id end ignore nulls) over (
+                order by {LARGE} + user_id % 100, event_type, event_id
+                rows between unbounded preceding and current row) as last_signup
+       from events""",
+)
+def locf_large_ids(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _large_ids(spark, sf)
+    return carry_forward(rows, "last_signup", ["big", "event_type", "event_id"], chunks=50)
+
+
+@query(
+    "row_numbers_large_ids",
+    f"""select {LARGE} + user_id % 100 as big, event_type, event_id,
+              row_number() over (order by {LARGE} + user_id % 100, event_type, event_id)
+                as position
+       from events""",
+)
+def row_numbers_large_ids(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _large_ids(spark, sf).drop("last_signup")
+    return global_row_number(rows, "big", ["event_type", "event_id"], chunks=50)
+
+
+@query(
+    "id_text_exact",
+    f"""select c_custkey, {2**53} + c_custkey as whole_id, text_id from (
+         select c_custkey, case c_custkey % 3
+           when 0 then lpad(cast(c_custkey as varchar), 9, '0')
+           when 1 then '12345678901' || lpad(cast(c_custkey as varchar), 6, '0')
+           else cast(c_custkey as varchar) || 'e3' end as text_id from customer)""",
+)
+def id_text_exact(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("c_custkey")
+    text = (
+        F.when(key % 3 == 0, F.lpad(key.cast("string"), 9, "0"))
+        .when(key % 3 == 1, F.concat(F.lit("12345678901"), F.lpad(key.cast("string"), 6, "0")))
+        .otherwise(F.concat(key.cast("string"), F.lit("e3")))
+    )
+    whole = plain_id(F.lit(2**53) + key).cast("bigint")
+    return table(spark, sf, "customer").select(
+        "c_custkey", whole.alias("whole_id"), plain_id(text).alias("text_id")
+    )
+
+
+@query(
+    "keyword_accents",
+    """select doc_id, regexp_matches(upper(text), 'ément|ción|über', 'i') as accented
+       from documents""",
+)
+def keyword_accents(spark: SparkSession, sf: str) -> DataFrame:
+    found = matches_any(F.upper("text"), ["ément", "ción", "über"])
+    return table(spark, sf, "documents").select("doc_id", found.alias("accented"))
+
+
 @query(
     "union_by_name",
     """select c_custkey as id, c_name as name, c_acctbal as balance, c_mktsegment as segment

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larderline.functions import to_number
+from larderline.operators.projection import drop_matching
 from larderline.queries.registry import query, table
 from larderline.session import scratch_path
 from larderline.sources import (
-    files_named,
     read_aligned,
     read_csv,
     read_delimited,
+    read_named,
     read_table,
     write_csv,
     write_table,
@@ -97,7 +98,19 @@ def quoted_text_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
     write_csv(docs, path)
     schema = T.StructType.fromDDL("doc_id bigint, lang string, text string")
-    return read_delimited(spark, path, ",", "UTF-8", schema, multiline=True)
+    return read_csv(spark, path, schema)
+
+
+def _named_file(df: DataFrame, path: str) -> None:
+    """Write a small table as one tab-delimited file of the given name."""
+    spark = df.sparkSession
+    folder = scratch_path(spark, "one-file")
+    write_csv(df.coalesce(1), folder, sep="\t", encoding="ISO-8859-1")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    system = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = system.globStatus(at(folder + "/part-*"))[0].getPath()
+    system.mkdirs(at(path).getParent())
+    system.rename(part, at(path))
 
 
 @query(
@@ -106,18 +119,37 @@ def quoted_text_round_trip(spark: SparkSession, sf: str) -> DataFrame:
        from orders where o_orderstatus in ('F', 'O')""",
 )
 def files_by_name(spark: SparkSession, sf: str) -> DataFrame:
-    # One folder of files per status; the pattern on the file name picks two of them.
+    # One folder. The wave is the number after "yr"; the dates behind it hold 9, 10 and 11 too.
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
-    root = scratch_path(spark, "by-status")
-    for status in ("F", "O", "P"):
-        part = orders.where(F.col("o_orderstatus") == status)
-        part.write.option("header", True).option("sep", "\t").csv(f"{root}/status={status}")
-    paths = [
-        p
-        for status in ("F", "O")
-        for p in files_named(spark, f"{root}/status={status}", "*.csv", r"^part-\d+")
-    ]
-    return read_delimited(spark, paths)
+    folder = scratch_path(spark, "waves")
+    names = {"F": "yr9_foodlevel_20121020", "O": "yr10_foodlevel_20130504",
+             "P": "yr2_foodlevel_20101109"}
+    for status, name in names.items():
+        _named_file(orders.where(F.col("o_orderstatus") == status), f"{folder}/{name}.tab")
+    _named_file(orders.limit(0), f"{folder}/yr110_foodlevel_20211020.tab")
+    return read_named(spark, folder, r"yr(9|10|11)(?!\d)", glob="*foodlevel*")
+
+
+@query("tsv_inferred_read", "select c_custkey, c_name, c_nationkey, c_acctbal from customer")
+def tsv_inferred_read(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "people")
+    people = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    write_csv(people, path, sep="\t", encoding="ISO-8859-1")
+    inferred = read_delimited(spark, path, infer=True)
+    return inferred.withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
+
+
+@query("blank_headers_read", "select s_suppkey, s_name from supplier")
+def blank_headers_read(spark: SparkSession, sf: str) -> DataFrame:
+    # A file whose second and last header cells are blank; the columns get made-up names.
+    path = scratch_path(spark, "blank-headers")
+    suppliers = table(spark, sf, "supplier")
+    unnamed = suppliers.select(
+        "s_suppkey", F.lit(1).alias("  "), "s_name", F.col("s_acctbal").alias(" ")
+    )
+    write_csv(unnamed, path)
+    named = drop_matching(read_csv(spark, path))
+    return named.withColumn("s_suppkey", F.col("s_suppkey").cast("bigint"))
 
 
 @query(

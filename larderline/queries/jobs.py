@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larderline.operators.aggregates import group_count
 from larderline.operators.joins import left_join
@@ -35,8 +36,8 @@ from larderline.plans.lookups import filled_codes
 from larderline.plans.products import nutrition_products, product_labels, product_means
 from larderline.queries import standin
 from larderline.queries.registry import query, rounded
-from larderline.session import scratch_path
-from larderline.sources import write_csv
+from larderline.session import scratch_path, staged
+from larderline.sources import read_csv, write_csv
 
 _KEYS = ", ".join(standin.KEYS)
 
@@ -172,11 +173,31 @@ def reported_and_actual_diets(spark: SparkSession, sf: str) -> DataFrame:
                Diet, Overall_Diet from classified""",
 )
 def classified_diary(spark: SparkSession, sf: str) -> DataFrame:
-    labelled = _labelled(spark, sf)
-    rows = with_diet(labelled, person_diets(_evidence(spark, sf))).select(
-        "seriali", "DayNo", "FoodNumber", "SubFoodGroupCode", "Proteing", "Diet", "Overall_Diet"
-    )
-    return rounded(rows, ["Proteing"])
+    return rounded(_classified_rows(spark, sf), ["Proteing"])
+
+
+_CLASSIFIED = "seriali DayNo FoodNumber SubFoodGroupCode Proteing Diet Overall_Diet".split()
+
+
+def _classified_rows(spark: SparkSession, sf: str) -> DataFrame:
+    # The de-duplicated diary is written once; labels and classes are both read from it.
+    diary = staged(standin.diary(spark, sf), "diary")
+    labelled = row_diet(diet_flags(diary))
+    return with_diet(labelled, person_diets(labelled)).select(*_CLASSIFIED)
+
+
+@query(
+    "classified_diary_file",
+    f"""with {standin.CLASSIFIED_SQL}
+        select seriali, DayNo, FoodNumber, SubFoodGroupCode, round(Proteing + 1e-7, 4) as Proteing,
+               Diet, Overall_Diet from classified""",
+)
+def classified_diary_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "classified")
+    write_csv(_classified_rows(spark, sf), path)
+    kinds = ", ".join(f"{c} {'double' if c == 'Proteing' else 'string'}" for c in _CLASSIFIED)
+    back = read_csv(spark, path, T.StructType.fromDDL(kinds), multiline=False)
+    return rounded(back, ["Proteing"])
 
 
 @query(
@@ -293,6 +314,25 @@ def raw_person_day_totals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(raw_day_totals(gaps), ["sum_Proteing", "sum_Energykcal"])
 
 
+@query(
+    "averaged_person_day_totals",
+    f"""with {standin.DIARY_SQL}
+        select {_PERSON_DAY},
+               round(case when count(*) = count(Proteing) then sum(Proteing) end + 1e-7, 4)
+                 as sum_Proteing,
+               round(case when count(*) = count(Energykcal) then sum(Energykcal) end + 1e-7, 4)
+                 as sum_Energykcal
+        from (select * replace (case when TotalGrams > 0 then Energykcal end as Energykcal)
+              from diary)
+        group by all""",
+)
+def averaged_person_day_totals(spark: SparkSession, sf: str) -> DataFrame:
+    # The same totals over the diary whose repeat servings were averaged first.
+    diary = standin.diary(spark, sf)
+    gaps = diary.withColumn("Energykcal", F.when(F.col("TotalGrams") > 0, F.col("Energykcal")))
+    return rounded(raw_day_totals(gaps), ["sum_Proteing", "sum_Energykcal"])
+
+
 INTAKE = [m for m in DAY_TOTALS if m != "sum_energy"]
 _INTAKE_RULES_SQL = """
     members as (
@@ -399,6 +439,19 @@ def _demographics(spark: SparkSession, sf: str) -> DataFrame:
     return demographics(person_diets(_evidence(spark, sf)), attributes)
 
 
+@query(
+    "demographics_file",
+    f"""with {DEMOGRAPHICS_SQL}
+        select seriali, Overall_Diet, Sex, AgeR, round(Weight + 1e-7, 4) as Weight, region
+        from demographics""",
+)
+def demographics_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "demographics")
+    people = _demographics(spark, sf)
+    write_csv(people, path)
+    return rounded(read_csv(spark, path, people.schema, multiline=False), ["Weight"])
+
+
 @query(
     "demographics",
     f"""with {DEMOGRAPHICS_SQL}

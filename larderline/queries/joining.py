@@ -14,7 +14,7 @@ from larderline.operators.joins import (
     write_back,
 )
 from larderline.operators.ranking import top_n
-from larderline.queries.registry import query, rounded, table
+from larderline.queries.registry import query, rounded, significant_sql, table
 
 
 @query(
@@ -60,7 +60,7 @@ def left_join_nullsafe(spark: SparkSession, sf: str) -> DataFrame:
     counts = table(spark, sf, "lineitem").groupBy(code.alias("code")).agg(
         F.count(F.lit(1)).alias("lines")
     )
-    return left_join(orders, counts, "code", null_safe=True, right_rows=3)
+    return left_join(orders, counts, "code", null_safe=True)
 
 
 @query(
@@ -100,7 +100,7 @@ def join_with_hot_keys(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("k"), "o_custkey", "o_totalprice"
     )
-    return left_join_skewed(lines, orders, "k").drop("k")
+    return left_join_skewed(lines, orders, "k", rows_per_task=5000).drop("k")
 
 
 LINE_CLASS_SQL = """
@@ -205,10 +205,10 @@ def enrich_chain(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "restrict_to_topn",
-    """with top as (select p_brand, p_type from
+    f"""with top as (select p_brand, p_type from
                       (select p_brand, p_type, avg(l_extendedprice) as m
                        from lineitem join part on l_partkey = p_partkey group by all)
-                    order by round(m, 6) desc, p_brand, p_type limit 60)
+                    order by {significant_sql("m")} desc, p_brand, p_type limit 60)
        select l_orderkey, l_linenumber, l_partkey, p_brand, p_type
        from lineitem join part on l_partkey = p_partkey
        where (p_brand, p_type) in (select (p_brand, p_type) from top)""",
@@ -221,5 +221,5 @@ def restrict_to_topn(spark: SparkSession, sf: str) -> DataFrame:
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
     keys = ["p_brand", "p_type"]
     means = summarise_numeric(joined, keys, "mean", ["l_extendedprice"])
-    top = top_n(means, "l_extendedprice", 60, keys, digits=6)
-    return restrict_to(joined.drop("l_extendedprice"), top, keys, max_groups=60)
+    top = top_n(means, "l_extendedprice", 60, keys, digits=9)
+    return restrict_to(joined.drop("l_extendedprice"), top, keys)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larderline.operators.ranking import sort_by, top_n
 from larderline.operators.spread import global_row_number
 from larderline.plans.supply import chart_data, supply_ranking
 from larderline.queries.joining import LINE_CLASS_SQL, line_class, person_class
-from larderline.queries.registry import query, rounded, table
+from larderline.queries.registry import query, rounded, significant_sql, table
 
 ENTITY = ["o_custkey", "l_partkey", "p_type", "p_brand"]
 ITEM = ["p_type", "p_brand"]
@@ -40,7 +41,7 @@ def classed_lines(spark: SparkSession, sf: str) -> DataFrame:
         select p_type, p_brand, round(avg(l_extendedprice) + 1e-7, 4) as l_extendedprice,
                round(avg(l_quantity) + 1e-7, 4) as l_quantity
         from per_person group by p_type, p_brand
-        order by round(avg(per_person.l_extendedprice), 6) desc, p_type, p_brand limit 60""",
+        order by {significant_sql("avg(per_person.l_extendedprice)")} desc, p_type, p_brand limit 60""",
 )
 def topn_global(spark: SparkSession, sf: str) -> DataFrame:
     top = supply_ranking(
@@ -52,7 +53,7 @@ def topn_global(spark: SparkSession, sf: str) -> DataFrame:
 TOP_PER_CLASS_SQL = f"""with {TWO_LEVEL_SQL},
     ranked as (
       select *, row_number() over (partition by person_class
-                                   order by round(price, 6) desc, p_type, p_brand) as position
+                                   order by {significant_sql("price")} desc, p_type, p_brand) as position
       from (select person_class, p_type, p_brand, avg(l_extendedprice) as price,
                    avg(l_quantity) as quantity
             from per_person group by all))"""
@@ -74,10 +75,10 @@ def topn_per_class(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "topn_then_reorder",
     TOP_PER_CLASS_SQL
-    + """select person_class, p_type, p_brand, round(price + 1e-7, 4) as l_extendedprice,
+    + f"""select person_class, p_type, p_brand, round(price + 1e-7, 4) as l_extendedprice,
                 round(quantity + 1e-7, 4) as l_quantity, position,
                 row_number() over (partition by person_class
-                                   order by round(quantity, 6) desc, p_type, p_brand) as shown_at
+                                   order by {significant_sql("quantity")} desc, p_type, p_brand) as shown_at
          from ranked where position <= 60""",
 )
 def topn_then_reorder(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,6 +94,19 @@ def topn_then_reorder(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(top, ["l_extendedprice", "l_quantity"])
 
 
+@query(
+    "supply_small_units",
+    f"""select p_brand, p_type from (
+         select p_brand, p_type, avg(p_retailprice * 1e-11::double) as tiny from part group by all)
+       order by {significant_sql("tiny")} desc, p_brand, p_type limit 20""",
+)
+def supply_small_units(spark: SparkSession, sf: str) -> DataFrame:
+    # Means near 1e-8: what an absolute rounding would make equal.
+    parts = table(spark, sf, "part")
+    tiny = parts.withColumn("tiny", F.col("p_retailprice") * F.lit(1e-11))
+    return supply_ranking(tiny, [], ["p_brand", "p_type"], "tiny", 20).drop("tiny")
+
+
 @query(
     "topn_missing_last",
     """select doc_id, quality, n_chars from (
@@ -121,12 +135,12 @@ def sort_by_measure(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "chart_of_top_groups",
     TOP_PER_CLASS_SQL
-    + """, top as (select * replace (round(price, 6) as price) from ranked where position <= 20),
+    + f""", top as (select * replace ({significant_sql("price")} as price) from ranked where position <= 20),
          boxed as (select person_class, p_type, quantile_cont(price, 0.25) as q1,
                           quantile_cont(price, 0.5) as median, quantile_cont(price, 0.75) as q3
                    from top where price between 40000 and 60000 group by all)
          select o.person_class, o.p_type, round(o.m + 1e-7, 4) as order_median,
-                row_number() over (partition by o.person_class order by round(o.m, 6), o.p_type) as place,
+                row_number() over (partition by o.person_class order by {significant_sql("o.m")}, o.p_type) as place,
                 coalesce(b.n, 0) as n, round(q1 + 1e-7, 4) as q1, round(median + 1e-7, 4) as median,
                 round(q3 + 1e-7, 4) as q3, round(whisker_low + 1e-7, 4) as whisker_low,
                 round(whisker_high + 1e-7, 4) as whisker_high, n_outliers

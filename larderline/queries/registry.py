@@ -42,6 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def significant_sql(x: str, digits: int = 9) -> str:
+    """SQL twin of ``functions.significant``."""
+    scale = f"pow(10.0::double, {digits - 1} - floor(log10(abs({x}))))"
+    usable = f"abs({x}) > 1e-280 and abs({x}) < 1e280"
+    return f"case when {usable} then round({x} * {scale}) / {scale} else {x} end"
+
+
 # Means of two-digit amounts often lie exactly between two rounded values. Both engines add this
 # nudge first, so that noise in the last bits cannot send them different ways.
 NUDGE = 1e-7

@@ -24,7 +24,7 @@ from larderline.plans.enrichment import (
     top_groups,
     with_matches,
 )
-from larderline.queries.registry import table
+from larderline.queries.registry import significant_sql, table
 from larderline.session import staged
 
 MEASURES = [
@@ -219,8 +219,7 @@ CLASSIFIED_SQL = f"""{DIARY_SQL},
 
 
 def classified(spark: SparkSession, sf: str) -> DataFrame:
-    raw = raw_diary(spark, sf)
-    return classify(raw, deduplicate(raw))
+    return classify(staged(diary(spark, sf), "diary"))
 
 
 def composition_file(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,7 +309,7 @@ TOP_GROUPS_SQL = f"""
         select {", ".join(GROUPS)}, avg(Proteing) as m from (
           select seriali, DayNo, {", ".join(GROUPS)}, coalesce(sum(Proteing), 0) as Proteing
           from classified group by all) group by all)
-      order by round(m, 6) desc, {", ".join(GROUPS)} limit 60)"""
+      order by {significant_sql("m")} desc, {", ".join(GROUPS)} limit 60)"""
 
 # Top groups with contents; the rest of the chain as the jobs define it.
 ENRICHED_SQL = f"""{CLASSIFIED_SQL}, {MATCHES_SQL}, {TOP_GROUPS_SQL},

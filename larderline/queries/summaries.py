@@ -265,7 +265,7 @@ def quantity_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     probs = {"p10": 0.1, "p50": 0.5, "p99": 0.99}
     lines = table(spark, sf, "lineitem")
     by = ["l_returnflag", "l_linestatus"]
-    found = exact_quantiles(lines, by, "l_quantity", probs, stage=False)
+    found = exact_quantiles(lines, by, "l_quantity", probs)
     return rounded(found, list(probs))
 
 

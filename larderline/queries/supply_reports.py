@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larderline.plans.supply import REPORTS, SupplyReport, reported_servings
 from larderline.queries import standin
-from larderline.queries.registry import query, rounded
+from larderline.queries.registry import query, rounded, significant_sql
 
 DIET = "Overall_Diet"
 BOX = ["q1", "median", "q3", "whisker_low", "whisker_high"]
@@ -33,7 +33,7 @@ def _ranked_sql(report: SupplyReport) -> str:
     part = f"partition by {DIET}" if report.by_class else ""
     order = ", ".join(items)
     shown = (
-        f""", row_number() over ({part} order by round({report.show_by}, 6) desc nulls last,
+        f""", row_number() over ({part} order by {significant_sql(report.show_by)} desc nulls last,
                                  {order}) as shown_at"""
         if report.show_by
         else ""
@@ -41,7 +41,7 @@ def _ranked_sql(report: SupplyReport) -> str:
     return f"""with {base},
         means as (select {order}, {means} from {inner} group by {order}),
         numbered as (
-          select *, row_number() over ({part} order by round({report.measure}, 6) desc nulls last,
+          select *, row_number() over ({part} order by {significant_sql(report.measure)} desc nulls last,
                                        {order}) as position from means),
         top as (select *{shown} from numbered where position <= {report.n})"""
 
@@ -63,11 +63,11 @@ def _chart_sql(report: SupplyReport) -> str:
     same = " and ".join(f"a.{k} is not distinct from b.{k}" for k in by)
     return f"""{_ranked_sql(report)},
         places as (
-          select *, row_number() over ({part} order by round(order_median, 6), {category}) as place
-          from (select {keys}, quantile_cont(round({measure}, 6), 0.5) as order_median
+          select *, row_number() over ({part} order by {significant_sql("order_median")}, {category}) as place
+          from (select {keys}, quantile_cont({significant_sql(measure)}, 0.5) as order_median
                 from top group by {keys})),
-        limited as (select {keys}, round({measure}, 6) as v from top
-                    where round({measure}, 6) between {low} and {high}),
+        limited as (select {keys}, {significant_sql(measure)} as v from top
+                    where {significant_sql(measure)} between {low} and {high}),
         quarts as (select {keys}, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as median,
                           quantile_cont(v, 0.75) as q3 from limited group by {keys}),
         fenced as (select a.*, q1, median, q3, v between q1 - 1.5 * (q3 - q1)

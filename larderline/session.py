@@ -1,4 +1,4 @@
-"""Session settings and the shared folder that checkpoints and scratch tables go to."""
+"""Spark session settings, and tables written for reuse inside one run."""
 
 from __future__ import annotations
 
@@ -46,10 +46,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
+    """The folder that all executors reach: ``spark.checkpoint.dir``.
 
-    Only a local session, where driver and executors are one process, may fall back to
-    a temporary folder of its own.
+    Where it is unset, a session whose driver and executors are one process (``local``,
+    ``local[n]``) gets a temporary folder; any other is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -57,7 +57,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.conf.get("larderline.shared.dir", None)
     if known:
         return known
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="larderline-")
     spark.conf.set("larderline.shared.dir", folder)
@@ -65,8 +66,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; never reused, so nothing is overwritten."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path in the shared folder; never reused, so nothing is overwritten.
+
+    What is written there belongs to the session and is removed when the driver's JVM ends.
+    """
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.deleteOnExit(target)
+    return path
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:

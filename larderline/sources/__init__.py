@@ -4,6 +4,7 @@ from larderline.sources.delimited import (
     read_aligned,
     read_csv,
     read_delimited,
+    read_named,
     write_csv,
 )
 from larderline.sources.tables import read_table, write_table
@@ -14,6 +15,7 @@ __all__ = [
     "read_aligned",
     "read_csv",
     "read_delimited",
+    "read_named",
     "read_table",
     "write_csv",
     "write_table",

@@ -5,6 +5,7 @@ Empty cells and ``NA`` are read as missing. Quotes inside quoted text are double
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from larderline.operators.spread import global_row_number
 
 MISSING = "NA"
+MALFORMED = "_malformed"
 
 
 def files_named(
@@ -33,7 +35,23 @@ def files_named(
     return sorted(row["path"] for row in listing.collect())
 
 
-def _reader(spark: SparkSession, sep: str, encoding: str, multiline: bool, trim: bool):
+def read_named(
+    spark: SparkSession, folder: str, pattern: str, glob: str = "*", **options
+) -> DataFrame:
+    """One scan over the files in ``folder`` whose name holds the pattern.
+
+    The pattern is a filter on the file name, which Spark applies to its own listing of the folder:
+    other files are not opened (but share the header), and no list of paths is gathered.
+    """
+    scan = read_delimited(spark, folder, glob=glob, **options)
+    named = F.element_at(F.split("_metadata.file_path", "/"), -1).rlike(pattern)
+    return scan.where(named)
+
+
+def _reader(
+    spark: SparkSession, sep: str, encoding: str, multiline: bool, trim: bool, malformed: str
+):
+    modes = {"fail": "FAILFAST", "report": "PERMISSIVE"}
     return (
         spark.read.option("sep", sep)
         .option("header", True)
@@ -41,6 +59,10 @@ def _reader(spark: SparkSession, sep: str, encoding: str, multiline: bool, trim:
         .option("nullValue", MISSING)
         .option("escape", '"')
         .option("multiLine", multiline)
+        .option("mode", modes[malformed])
+        .option("columnNameOfCorruptRecord", MALFORMED)
+        # Rows are compared with the whole header even if few columns are read.
+        .option("columnPruning", False)
         .option("ignoreLeadingWhiteSpace", trim)
         .option("ignoreTrailingWhiteSpace", trim)
     )
@@ -55,20 +77,31 @@ def read_delimited(
     infer: bool = False,
     multiline: bool = False,
     trim: bool = False,
+    malformed: str = "fail",
+    glob: str = "*",
 ) -> DataFrame:
     """One scan over files that share a header; every column is text unless typed.
 
     Names come from the first file. Each file's own header is checked against them while it
     is read, and a file laid out otherwise fails the job instead of shifting columns.
     ``infer=True`` costs a pass over the data; prefer a declared ``schema``.
+
+    A row with more or fewer cells than the header, or a cell that its declared type can't
+    hold, stops the read (``malformed="fail"``). With ``malformed="report"`` it is kept, and the
+    column ``_malformed`` holds its text (missing for good rows). Rows are split at line breaks
+    unless ``multiline`` says that quoted cells hold some; then a file is one task.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    reader = _reader(spark, sep, encoding, multiline, trim)
-    if schema is None and infer:
-        return reader.option("inferSchema", True).csv(paths)
+    reader = _reader(spark, sep, encoding, multiline, trim, malformed)
+    reader = reader.option("pathGlobFilter", glob)
     if schema is None:
-        schema = reader.csv(paths[0]).schema
-    return reader.option("enforceSchema", False).schema(schema).csv(paths)
+        named = reader.option("inferSchema", infer).csv(paths if infer else paths[0])
+        schema = T.StructType([f for f in named.schema.fields if f.name != MALFORMED])
+    if malformed == "report":
+        schema = T.StructType([*schema.fields, T.StructField(MALFORMED, T.StringType())])
+    # Made-up names of blank headers are in no file and can't be compared with one.
+    unnamed = infer or any(re.fullmatch(r"_c\d+", f.name) for f in schema.fields)
+    return reader.option("enforceSchema", unnamed).schema(schema).csv(paths)
 
 
 def read_aligned(
@@ -94,11 +127,17 @@ def read_csv(
     schema: T.StructType | None = None,
     infer: bool = True,
     encoding: str = "UTF-8",
-    multiline: bool = False,
+    multiline: bool = True,
+    malformed: str = "fail",
 ) -> DataFrame:
-    """Comma-separated file with typed columns and blanks around cells trimmed."""
+    """Comma-separated file with typed columns and blanks around cells trimmed.
+
+    Quoted cells may hold line breaks, as those of :func:`write_csv` do. State
+    ``multiline=False`` for files known to have none: large ones are then read by many tasks.
+    """
+    infer = infer and schema is None
     return read_delimited(
-        spark, paths, ",", encoding, schema, infer and schema is None, multiline, trim=True
+        spark, paths, ",", encoding, schema, infer, multiline, trim=True, malformed=malformed
     )
 
 

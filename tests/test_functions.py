@@ -23,6 +23,7 @@ from larderline.operators.projection import (
     keep,
     rename,
 )
+from larderline.operators.projection import cast_numbers
 
 
 def values(spark, column, data, ddl):
@@ -48,7 +49,25 @@ def test_ids_keep_plain_digits(spark):
         "7",
         None,
     ]
-    assert values(spark, plain_id("v"), ["A1", "007"], "string") == ["A1", "7"]
+    texts = ["A1", "007", "12345678901234567", "1e3"]
+    assert values(spark, plain_id("v"), texts, "string") == texts
+    large = [9007199254740993, 2**60 + 1]
+    assert values(spark, plain_id("v"), large, "bigint") == [str(x) for x in large]
+
+
+def test_accents_are_letters(spark):
+    texts = ["CRÈME BRÛLÉE", "crème", "DÉCRÈME"]
+    assert values(spark, matches_any("v", ["crème"]), texts, "string") == [True, True, True]
+    whole = matches_any("v", ["crème"], whole_word=True)
+    assert values(spark, whole, texts, "string") == [True, True, False]
+
+
+def test_numeric_columns_are_cast_without_text_tests(spark):
+    df = spark.createDataFrame([(1, "2"), (3, "1.5d")], "a int, b string")
+    cast = cast_numbers(df, ["a", "b"])
+    assert [tuple(r) for r in cast.collect()] == [(1.0, 2.0), (3.0, None)]
+    plan = cast.select("a")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "endswith" not in plan.lower()
 
 
 def test_keyword_matching(spark):
@@ -67,7 +86,7 @@ def test_keyword_matching(spark):
     assert wild == [False] * 4 + [True, True]
     quoted = values(spark, matches_any("v", ["milk. whole"], literal=True), texts, "string")
     assert quoted == [False] * 5 + [True]
-    assert keyword_pattern(["A", "B"]) == "(?i)A|B"
+    assert keyword_pattern(["A", "B"]) == "(?iu)A|B"
 
 
 def test_density_of_zero_weight_is_missing(spark):

@@ -2,6 +2,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from larderline.operators.spread import any_hash
 from larderline.operators.joins import (
     hot_keys,
     join_chain,
@@ -80,9 +81,9 @@ def test_skewed_join_equals_plain_join(spark, null_safe):
     right = spark.createDataFrame(
         [("hot", 1), ("k1", 2), ("k3", 3), ("hot", 4), (None, 5)], "k string, v int"
     )
-    assert set(hot_keys(left, "k", 0.1)) == {"hot", None}
+    assert {r.k: r._parts for r in hot_keys(left, "k", 60).collect()} == {"hot": 7, None: 2}
     plain = left_join(left, right, "k", null_safe=null_safe)
-    salted = left_join_skewed(left, right, "k", salts=8, share=0.1, null_safe=null_safe)
+    salted = left_join_skewed(left, right, "k", rows_per_task=60, null_safe=null_safe)
     assert salted.columns == plain.columns
     assert rows(salted) == rows(plain)
 
@@ -90,14 +91,14 @@ def test_skewed_join_equals_plain_join(spark, null_safe):
 def test_copies_of_one_row_are_spread(spark):
     left = spark.range(0, 4000, 1, 8).selectExpr("'hot' as k", "1 as i")
     right = spark.createDataFrame([("hot", 5)], "k string, v int")
-    joined = left_join_skewed(left, right, "k", salts=8)
+    joined = left_join_skewed(left, right, "k", rows_per_task=500)
     assert joined.agg({"v": "sum"}).first()[0] == 5 * 4000
     salts = left.select(F.pmod(F.xxhash64("k", "i", F.spark_partition_id()), F.lit(8)))
     assert salts.distinct().count() > 1
 
 
 def test_restrict_keeps_missing_groups_too(fact, dim):
-    kept = restrict_to(fact, dim.where("w <> 'y'"), ["k"], 10)
+    kept = restrict_to(fact, dim.where("w <> 'y'"), ["k"])
     assert rows(kept.select("i"), "i") == [(1,), (3,)]
 
 
@@ -105,3 +106,19 @@ def test_append_by_name(spark):
     a = spark.createDataFrame([(1, "x")], "i int, t string")
     b = spark.createDataFrame([("y",)], "t string")
     assert rows(append_by_name([a, b])) == [(1, "x"), (None, "y")]
+
+
+def test_parts_of_hot_keys_are_of_the_wanted_size(spark):
+    # One key holds 30 % of the rows, another 1.9 %; both are more than a task should get.
+    n = F.col("id")
+    key = F.when(n % 1000 < 300, "a").when(n % 1000 < 319, "b").otherwise(n.cast("string"))
+    left = spark.range(0, 100_000, 1, 8).select(key.alias("k"), n.alias("i"))
+    target = 1000
+    parts = {r.k: r._parts for r in hot_keys(left, "k", target).collect()}
+    assert parts == {"a": 30, "b": 2}
+    dealt = F.pmod(F.xxhash64(any_hash(left), F.spark_partition_id()), F.lit(30))
+    sizes = left.where("k = 'a'").groupBy(dealt).count().collect()
+    assert max(r["count"] for r in sizes) < 2 * target
+    right = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    joined = left_join_skewed(left, right, "k", rows_per_task=target)
+    assert joined.agg(F.sum("v"), F.count("*")).first()[:] == (30_000 + 2 * 1900, 100_000)

@@ -12,13 +12,7 @@ from larderline.operators.missing import (
     keep_present,
     null_counts,
 )
-from larderline.operators.spread import (
-    chunk_of,
-    cut_points,
-    global_row_number,
-    ordered_chunk,
-    position,
-)
+from larderline.operators.spread import global_row_number, in_chunks
 from larderline.plans.lookups import filled_codes
 
 
@@ -103,18 +97,41 @@ def test_fill_happens_after_the_filter(spark):
     assert keep_present(food_list, "NDB no").count() == 5
 
 
+def chunk_sizes(df, order, chunks):
+    rows_ = in_chunks(df, [F.col(c) for c in order], chunks, "test")
+    return [r["count"] for r in rows_.groupBy("_chunk").count().collect()]
+
+
 def test_chunks_are_even_and_ordered(spark):
     df = spark.range(10_000).select((F.col("id") * F.col("id")).alias("x"))
-    where = position(df, "x")
-    cuts = cut_points(df, where, 10)
-    sizes = df.groupBy(chunk_of(where, cuts).alias("c")).agg(
+    chunked = in_chunks(df, [F.col("x")], 10, "test")
+    got = chunked.groupBy("_chunk").agg(
         F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
-    )
-    got = sizes.orderBy("c").collect()
+    ).orderBy("_chunk").collect()
     assert len(got) == 10 and max(r.n for r in got) < 1500
     assert all(a.hi < b.lo for a, b in zip(got, got[1:]))
 
 
+@pytest.mark.parametrize("constant", [["a"], ["a", "b"], ["a", "b", "c"]])
+def test_no_chunk_exceeds_twice_its_share(spark, constant):
+    # Three order columns of which the first ones, or all, have one value.
+    df = spark.range(40_000).select(
+        *[(F.lit(7) if c in constant else F.col("id")).alias(c) for c in "abc"],
+        F.col("id").alias("i"),
+    )
+    assert max(chunk_sizes(df, ["a", "b", "c"], 20)) < 2 * 40_000 / 20
+
+
+def test_large_whole_numbers_keep_their_order(spark):
+    df = spark.range(5000).select(
+        (F.lit(2**60) + F.col("id") % 100).alias("big"), (F.col("id") % 7).alias("t"), "id"
+    ).repartition(6)
+    numbered = global_row_number(df, "big", ["t", "id"], chunks=20)
+    want = sorted(((r.big, r.t, r.id) for r in df.collect()))
+    assert [tuple(r)[:3] for r in numbered.orderBy("position").collect()] == want
+    assert sorted(r.position for r in numbered.collect()) == list(range(1, 5001))
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_global_row_number(spark, descending):
     rng = random.Random(1)
@@ -130,19 +147,10 @@ def test_global_row_number(spark, descending):
     assert [got[i] for i, _ in order] == list(range(1, 501))
 
 
-@pytest.mark.parametrize("count", [3, 128, 129, 700])
-def test_bisection_by_branches_and_by_fold_agree(spark, count):
-    cuts = [float(i * 3) for i in range(count)]
-    df = spark.range(-5, count * 3 + 5).select(F.col("id").cast("double").alias("x"))
-    got = df.select("x", chunk_of(F.col("x"), cuts).alias("c")).collect()
-    assert all(r.c == sum(cut < r.x for cut in cuts) for r in got)
-
-
 def test_text_with_a_common_prefix_is_cut_evenly(spark):
     df = spark.range(5000).select(F.format_string("Customer#%09d", "id").alias("k"))
-    cuts = cut_points(df, position(df, "k"), 10)
-    sizes = df.groupBy(chunk_of(F.col("k"), cuts).alias("c")).count().collect()
-    assert len(sizes) == 10 and max(r["count"] for r in sizes) < 1200
+    sizes = chunk_sizes(df, ["k"], 10)
+    assert len(sizes) == 10 and max(sizes) < 1000
     numbered = global_row_number(df, "k", [], chunks=7)
     assert numbered.where("cast(substring(k, 10) as int) + 1 <> position").count() == 0
 
@@ -156,9 +164,7 @@ def test_ties_do_not_fill_a_chunk(spark, descending):
     ]
     rng.shuffle(data)
     df = spark.createDataFrame(data, "i int, x int").repartition(4)
-    chunk, ids = ordered_chunk(df, ["x", "i"], 20, descending)
-    sizes = [r["count"] for r in df.groupBy(chunk.alias("c")).count().collect()]
-    assert max(sizes) < 600 and len(sizes) <= ids
+    assert max(chunk_sizes(df, ["x", "i"], 20)) < 600
     numbered = global_row_number(df, "x", ["i"], descending=descending, chunks=20)
     sign = -1 if descending else 1
     want = sorted(data, key=lambda r: ((r[1] is None) == descending, sign * (r[1] or 0), r[0]))

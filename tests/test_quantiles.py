@@ -33,7 +33,7 @@ def known(data, g):
 def test_exact_quantiles_match_numpy(spark, data, chunks):
     df = spark.createDataFrame(data, "g string, v double").repartition(5)
     probs = {"p0": 0.0, "p1": 0.1, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
-    got = exact_quantiles(df, ["g"], "v", probs, chunks=chunks, stage=chunks > 2).collect()
+    got = exact_quantiles(df, ["g"], "v", probs, chunks=chunks).collect()
     assert {r.g for r in got} == {"hot", "a", "b", None, "single"}
     for r in got:
         want = np.quantile(known(data, r.g), list(probs.values()))

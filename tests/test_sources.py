@@ -12,6 +12,7 @@ from larderline.sources import (
     read_aligned,
     read_csv,
     read_delimited,
+    read_named,
     read_table,
     write_csv,
     write_table,
@@ -131,3 +132,28 @@ def test_diary_files_to_deduplicated_rows(spark, tmp_path):
     ]
     summed = ingest(spark, [path], how="sum", positions=(14, 15)).orderBy("FoodName")
     assert [(r.Proteing, r.Energykcal) for r in summed.collect()] == [(8.0, 150.0), (12.0, 50.0)]
+
+
+def test_line_breaks_survive_with_defaults(spark):
+    df = spark.createDataFrame([(1, 'two\nlines, "quoted"'), (2, "one")], "i int, t string")
+    path = scratch_path(spark, "breaks")
+    write_csv(df, path)
+    assert rows(read_csv(spark, path)) == rows(df)
+
+
+def test_rows_of_another_width_are_reported(spark, tmp_path):
+    file = tmp_path / "odd.csv"
+    file.write_text("a,b\n1,2\n1,2,EXTRA\n3\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_csv(spark, str(file)).collect()
+    kept = read_csv(spark, str(file), malformed="report")
+    assert kept.where("_malformed is null").select("a", "b").collect() == [(1, 2)]
+    bad = kept.where("_malformed is not null").select("a", "_malformed")
+    assert rows(bad) == [(1, "1,2,EXTRA"), (3, "3")]
+
+
+def test_named_files_are_read_by_one_scan(spark, tmp_path):
+    for name, i in (("yr9_food", 1), ("yr10_food", 2), ("yr2_food_20101109", 3)):
+        (tmp_path / f"{name}.tab").write_text(f"id\tgrams\n{i}\t5\n")
+    found = read_named(spark, str(tmp_path), r"yr(9|10|11)(?!\d)", glob="*food*")
+    assert rows(found) == [("1", "5"), ("2", "5")]
