@@ -26,7 +26,7 @@ def unescaped(text: Column) -> Column:
 
 def rendered(role: Column, text: Column) -> Column:
     """One turn; a line break in a role gets a backslash, so that the first bare one ends it."""
-    head = F.regexp_replace(escaped(role), "\n", "\\\\\\\\\n")
+    head = F.regexp_replace(escaped(role), "\n", "\\\\\n")
     return F.concat(F.lit(START), head, F.lit("\n"), escaped(text), F.lit(END + "\n"))
 
 

@@ -263,7 +263,7 @@ def find_contamination(
             merged(2).alias("items"),
             matches.alias("matches"),
         )
-    return out.withColumn("items", F.array_compact("items"))
+    return out.withColumn("items", F.array_distinct(F.array_compact("items")))
 
 
 def _searched(shared, window: int, text: str, names: list[str]):

@@ -184,7 +184,7 @@ def word_scores(model: LanguageModel, words: W.Words, floor: float) -> np.ndarra
     without a letter of a script that any language uses."""
     buckets, first = grams(words)
     out = np.zeros((len(words.start), len(model.languages)), dtype=np.float32)
-    if not len(out):
+    if not out.size:
         return out
     part = model.logs[buckets[:, 0]] + model.logs[buckets[:, 1]]
     out = np.add.reduceat(part, first[:-1], axis=0)
