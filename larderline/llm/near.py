@@ -87,22 +87,19 @@ def sharing_groups(nodes: DataFrame) -> DataFrame:
     """Groups of nodes that share a band key: ``bucket``, ``node``, ``_size``.
 
     ``nodes`` has ``node`` and ``bands``. Keys of one node only lead nowhere. Keys with the
-    same members, as most of the keys of one pair are, count once.
+    same members, as most of the keys of one pair are, count once. Only keys and 64-bit hashes of
+    nodes are moved for all bands (two nodes of one hash join the same groups).
     """
-    keyed = nodes.select("node", F.explode("bands").alias("bucket"))
-    mark = F.xxhash64("node")
-    groups = keyed.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("_size"),
-        F.bit_xor(mark).alias("_xor"),
-        F.min(mark).alias("_low"),
-        F.max(mark).alias("_high"),
+    mark = F.xxhash64("node").alias("mark")
+    keyed = nodes.select(mark, F.explode("bands").alias("bucket"))
+    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size"))
+    members = staged(keyed.join(sizes.where("_size > 1"), "bucket"), "members")
+    groups = members.groupBy("bucket", "_size").agg(
+        F.bit_xor("mark").alias("_xor"), F.min("mark").alias("_low"), F.max("mark").alias("_high")
     )
-    groups = (
-        groups.where("_size > 1")
-        .groupBy("_size", "_xor", "_low", "_high")
-        .agg(F.min("bucket").alias("bucket"))
-    )
-    return keyed.join(groups.select("bucket", "_size"), "bucket")
+    groups = groups.groupBy("_size", "_xor", "_low", "_high").agg(F.min("bucket").alias("bucket"))
+    members = members.join(groups.select("bucket"), "bucket")
+    return members.join(nodes.select("node", mark), "mark").select("bucket", "node", "_size")
 
 
 def in_block_pairs(rows: DataFrame, blocks, node: str = "node") -> DataFrame:

@@ -182,18 +182,19 @@ def repeated_parts(
     known = staged(
         nodes.join(classes, "node", "left")
         .where((F.col("copies") > 1) | F.col("component").isNotNull())
-        .select("node", "doc_id", F.coalesce("component", "node").alias("part")),
+        .select("node", "doc_id", "copies", F.coalesce("component", "node").alias("part")),
         "classes",
     )
     keepers = known.groupBy("part").agg(F.min("doc_id").alias("keeper"))
-    known = staged(known.select("node", "part").join(keepers, "part"), "keepers")
+    known = staged(known.select("node", "part", "copies").join(keepers, "part"), "keepers")
+    known = known.where("copies >= 1")
     columns = ["doc_id", "mark", "start", "stop", "keeper", "part"]
     alike = paragraphs.select("node", *columns[:4]).join(known, "node").select(*columns)
     windows = parts.where("window is not null").select("window", *columns[:4])
     twice = windows.groupBy("window").agg(
         F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_last")
     )
-    twice = staged(twice.where("keeper < _last").select("window", "keeper"), "windows")
+    twice = staged(twice.where("keeper < _last"), "windows").where("keeper < _last")
     same = windows.join(twice, "window").where("doc_id <> keeper")
     return alike.unionByName(same.select(*columns[:5], F.lit(None).cast("binary").alias("part")))
 
