@@ -71,8 +71,10 @@ def chat_examples(
         F.coalesce(F.element_at("_turns", -1)["role"] == replies, F.lit(False)), ends
     ).otherwise(F.concat(ends, F.array(n)))
     blocks = F.transform("_turns", lambda t: rendered(t["role"], t["text"]))
-    cut = whole.select(
-        "conv_id", "_turns", blocks.alias("_blocks"), F.posexplode(ends).alias("example", "_end")
+    # Turns are written once for each conversation, below the explode.
+    written = whole.select("conv_id", "_turns", blocks.alias("_blocks"), ends.alias("_ends"))
+    cut = written.select(
+        "conv_id", "_turns", "_blocks", F.posexplode("_ends").alias("example", "_end")
     )
     last = F.element_at("_turns", F.col("_end"))
     full = F.array_join(F.slice("_blocks", 1, F.col("_end")), "")
