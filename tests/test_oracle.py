@@ -5,6 +5,8 @@ By default a few of the supply rankings stand for all of them, since they share
 """
 
 import os
+import subprocess
+import sys
 
 import pytest
 from compare import differences, duck
@@ -44,5 +46,15 @@ def test_same_result(spark, con, name):
 def test_entry_points(spark):
     import __spark_entry__ as entry_points
 
-    assert set(entry_points.oracle_sql()) == set(entry_points.queries())
+    assert set(REGISTRY) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
     assert entry_points.entry(spark).count() > 0
+
+
+def test_entry_points_without_the_training_data_part():
+    code = (
+        "import sys; sys.modules['larderline.llm'] = None; sys.modules['corpus_pipeline'] = None\n"
+        "import __spark_entry__ as e; from larderline.queries import REGISTRY\n"
+        "assert set(e.queries()) == set(e.oracle_sql()) == set(REGISTRY)"
+    )
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=top, check=True)
