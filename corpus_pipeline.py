@@ -13,7 +13,7 @@ from larderline.llm import decontaminate, jaccard_join, language, mixing, substr
 from larderline.queries.registry import table
 from larderline.session import prepare, staged
 
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.3
 
 
 def _apart(docs: DataFrame, *own: str) -> DataFrame:
@@ -30,7 +30,8 @@ def _together(found: DataFrame, docs: DataFrame, *own: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, most words of which are in one of the languages of the corpus."""
+    """Documents with letters and one language that has 3 in 10 of their words: mixed texts stay,
+    texts without letters and jumbles of many languages go."""
     model = language.train_languages(docs.select("text", "lang"))
     found = language.label_languages(_apart(docs, "text"), model)
     kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
