@@ -166,7 +166,9 @@ def by_neighbours(docs: DataFrame) -> DataFrame:
     firsts = sorted((r["_chunk"], r["_first"]["doc_id"]) for r in firsts)
     kind = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_to", T.IntegerType())])
     before = [(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)]
-    guests = docs.sparkSession.createDataFrame(before, kind)
+    # One row for each chunk, so four for each shuffle partition at most: safe to broadcast, and
+    # then the texts are not moved for it.
+    guests = F.broadcast(docs.sparkSession.createDataFrame(before, kind))
     rows = rows.join(guests, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     own = F.struct(F.col("_chunk"), F.lit(0).alias("_guest"))
     guest = F.struct(F.col("_to").alias("_chunk"), F.lit(1).alias("_guest"))
