@@ -3,7 +3,7 @@
 Paragraphs (lines) are compared by MinHash bands and exact Jaccard similarity; those that
 are alike form components, of which the first document keeps its own. Passages that lie inside
 paragraphs have no borders to compare, so verbatim ones are found by windows of words chosen by
-their content.
+their content; a shared window is a seed that is extended word by word to the whole shared run.
 """
 
 from __future__ import annotations
@@ -67,13 +67,14 @@ def chosen_windows(words: W.Words, size: int, reach: int) -> tuple[np.ndarray, n
 
 PARTS = pa.schema(
     [("doc_id", pa.int64()), ("mark", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()),
-     ("window", pa.int64()), ("node", pa.binary()), ("shingles", pa.int32()),
-     ("sketch", pa.binary())]
+     ("at", pa.int32()), ("to", pa.int32()), ("window", pa.int64()), ("node", pa.binary()),
+     ("shingles", pa.int32()), ("sketch", pa.binary())]
 )
 
 
 def _parts(docs: DataFrame, size: int, least_words: int, passage: int) -> DataFrame:
-    """Paragraphs (with ``node``) and chosen windows (with ``window``) of all documents."""
+    """Paragraphs (with ``node``) and chosen windows (with ``window``) of all documents: bytes from
+    ``start`` to ``stop``, words from ``at`` to ``to``, both of paragraphs only but ``at``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches, "text"):
@@ -91,32 +92,35 @@ def _parts(docs: DataFrame, size: int, least_words: int, passage: int) -> DataFr
                 words.offsets,
             )
             values, groups = W.shingles(lines, size)
+            base = words.first[owner]
             yield _rows(
-                batch, words, owner, start, stop,
+                batch, owner,
+                start=pa.array((start - words.offsets[owner]).astype(np.int32)),
+                stop=pa.array((stop - words.offsets[owner]).astype(np.int32)),
+                at=pa.array((a - base).astype(np.int32)),
+                to=pa.array((b - base).astype(np.int32)),
                 node=near.binary_column(near.node_ids(lines)),
                 shingles=pa.array(np.diff(groups).astype(np.int32)),
                 sketch=near.binary_column(W.min_hashes(values, groups, HASHES)),
             )
             at, value = chosen_windows(words, WINDOW, passage - WINDOW + 1)
+            owner = np.searchsorted(words.first, at, "right") - 1
             yield _rows(
-                batch, words, np.searchsorted(words.first, at, "right") - 1,
-                words.start[at], words.end[at + WINDOW - 1],
+                batch, owner,
+                at=pa.array((at - words.first[owner]).astype(np.int32)),
                 window=pa.array(value.view(np.int64)),
             )
 
-    kinds = "doc_id bigint, mark int, start int, stop int, window bigint, node binary"
+    kinds = "doc_id bigint, mark int, start int, stop int, at int, to int, window bigint, node binary"
     return docs.select("doc_id", "mark", "text").mapInArrow(
         cut, kinds + ", shingles int, sketch binary"
     )
 
 
-def _rows(batch, words, owner, start, stop, **columns) -> pa.RecordBatch:
-    base = words.offsets[owner]
+def _rows(batch, owner, **columns) -> pa.RecordBatch:
     known = {
         "doc_id": batch.column("doc_id").take(pa.array(owner)),
         "mark": batch.column("mark").take(pa.array(owner)),
-        "start": pa.array((start - base).astype(np.int32)),
-        "stop": pa.array((stop - base).astype(np.int32)),
         **columns,
     }
     return pa.RecordBatch.from_arrays(
@@ -154,7 +158,8 @@ def repeated_parts(
     docs: DataFrame, size: int, threshold: float, least_words: int, passage: int
 ) -> DataFrame:
     """What repeats: ``doc_id``, ``mark``, ``start``, ``stop``, ``keeper`` (the document that
-    keeps it) and ``part`` (the paragraph's class; missing for passages)."""
+    keeps it) and ``part`` (the paragraph's class; missing for passages). Limits of paragraphs are
+    bytes, those of passages words."""
     parts = staged(_parts(docs, size, least_words, passage), "parts")
     paragraphs = parts.where("node is not null")
     nodes = staged(
@@ -188,15 +193,241 @@ def repeated_parts(
     keepers = known.groupBy("part").agg(F.min("doc_id").alias("keeper"))
     known = staged(known.select("node", "part", "copies").join(keepers, "part"), "keepers")
     known = known.where("copies >= 1")
-    columns = ["doc_id", "mark", "start", "stop", "keeper", "part"]
-    alike = paragraphs.select("node", *columns[:4]).join(known, "node").select(*columns)
-    windows = parts.where("window is not null").select("window", *columns[:4])
+    lines = paragraphs.select("node", "doc_id", "mark", "start", "stop", "at", "to").join(
+        known, "node"
+    )
+    lines = staged(lines.drop("node", "copies"), "lines")
+    windows = parts.where("window is not null").select("window", "doc_id", "mark", "at")
     twice = windows.groupBy("window").agg(
-        F.min("doc_id").alias("keeper"), F.max("doc_id").alias("_last")
+        F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")
+    )
+    twice = staged(twice.where("_first < _last"), "windows").where("_first < _last")
+    seeds = windows.join(twice.select("window"), "window")
+    runs = shared_runs(docs, seeds, lines, passage - WINDOW)
+    columns = ["doc_id", "mark", "start", "stop", "keeper", "part"]
+    return lines.select(*columns).unionByName(
+        runs.select(
+            "doc_id", "mark", F.col("at").alias("start"), F.col("to").alias("stop"), "keeper",
+            F.lit(None).cast("binary").alias("part"),
+        )
+    )
+
+
+def not_kept(doc: int, lines: list[dict]) -> list[dict]:
+    """Those of a document's alike paragraphs that are cut: it keeps the first of each class that
+    it is the keeper of."""
+    kept, gone = set(), []
+    for line in sorted(lines, key=lambda x: x["start"]):
+        if line["keeper"] == doc and line["part"] not in kept:
+            kept.add(line["part"])
+        else:
+            gone.append(line)
+    return gone
+
+
+def _covered(held, words: int | None = None) -> np.ndarray:
+    """Which words some stretches cover: a mask of ``words`` words or up to the last stretch."""
+    if words is None:
+        words = max((to for _, to in held), default=0)
+    steps = np.zeros(words + 1, dtype=np.int32)
+    for at, to in held:
+        steps[min(at, words)] += 1
+        steps[min(to, words)] -= 1
+    return np.cumsum(steps[:-1]) > 0
+
+
+def shared_runs(docs: DataFrame, seeds: DataFrame, lines: DataFrame, around: int) -> DataFrame:
+    """Runs of words that an earlier document has and keeps: ``doc_id``, ``mark``, ``at``, ``to``
+    (words) and ``keeper``.
+
+    ``seeds`` are the windows that several documents have. Only stretches that no paragraph cut
+    covers keep anything, so each cut word stands in an earlier document, and there, if it is
+    cut too, in a still earlier one. A seed within ``around`` words of which something stays is
+    extended: by what it shares with the first keeper of its window, and, where that ends, by the
+    longest run it shares with any other earlier keeper.
+    """
+    by = ["doc_id", "mark"]
+    cuts = lines.groupBy(*by).agg(
+        F.collect_list(F.struct("start", "at", "to", "keeper", "part")).alias("lines")
+    )
+    found = seeds.groupBy(*by).agg(F.collect_list(F.struct("window", "at")).alias("seeds"))
+    held = found.join(cuts, by, "left")
+
+    def gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [
+                [{"at": x["at"], "to": x["to"]} for x in not_kept(doc, part or [])]
+                for doc, part in zip(
+                    batch.column("doc_id").to_pylist(), batch.column("lines").to_pylist()
+                )
+            ]
+            kind = pa.list_(pa.struct([("at", pa.int32()), ("to", pa.int32())]))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in (*by, "seeds")), pa.array(out, kind)],
+                names=[*by, "seeds", "gone"],
+            )
+
+    held = staged(
+        held.mapInArrow(
+            gone,
+            "doc_id bigint, mark int, seeds array<struct<window: bigint, at: int>>, "
+            "gone array<struct<at: int, to: int>>",
+        ),
+        "seeds",
+    )
+    single = held.select(*by, "gone", F.explode("seeds").alias("s")).select(
+        *by, "s.window", "s.at",
+        (~F.exists("gone", lambda g: (g["at"] < F.col("s.at") + WINDOW) & (g["to"] > F.col("s.at"))))
+        .alias("whole"),
+    )
+    keepers = single.where("whole").groupBy("window").agg(F.min("doc_id").alias("keeper"))
+    same = staged(single.drop("whole").join(keepers, "window").where("keeper < doc_id"), "same")
+    whole = same.groupBy(*by).agg(F.collect_list(F.struct("window", "at")).alias("shared"))
+
+    def open_ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for part, cut in zip(
+                batch.column("shared").to_pylist(), batch.column("gone").to_pylist()
+            ):
+                mask = _covered(
+                    [(x["at"], x["at"] + WINDOW) for x in part]
+                    + [(x["at"], x["to"]) for x in cut or []]
+                )
+                bare = np.concatenate([[0], np.cumsum(~mask)])
+                for x in part:
+                    low, high = max(x["at"] - around, 0), x["at"] + WINDOW + around
+                    if high > len(mask) or bare[high] > bare[low]:
+                        out.append(x["window"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["window"])
+
+    wanted = whole.join(held.select(*by, "gone"), by).mapInArrow(open_ended, "window bigint")
+    wanted = staged(wanted.distinct(), "open")
+    extended = single.join(wanted, "window", "left_semi").groupBy(*by).agg(
+        F.collect_list(F.struct("window", "at")).alias("seeds"), F.count(F.lit(1)).alias("_n")
+    )
+    extended = staged(extended.join(held.select(*by, "gone"), by), "extended").where("_n >= 1")
+    texts = docs.select(*by, "text").join(extended, by)
+    near_by = staged(_surroundings(texts, around), "surroundings")
+    columns = ["doc_id", "mark", "at", "left", "right", "free_left", "free_right"]
+    first = near_by.groupBy("window").agg(
+        F.min(F.when(F.col("whole"), F.struct(*columns))).alias("first"),
+        F.count(F.lit(1)).alias("places"),
+    )
+    pairs = near_by.join(first.where("first is not null"), "window").select(
+        "window", *columns, "whole", "places", F.col("first.doc_id").alias("keeper"),
+        F.col("first.left").alias("left_2"), F.col("first.right").alias("right_2"),
+        F.col("first.free_left").alias("free_left_2"),
+        F.col("first.free_right").alias("free_right_2"),
+    )
+    more = staged(_extensions(pairs, around), "runs")
+    further = more.where("key is not null")
+    givers = further.where("gives").groupBy("key").agg(F.min("doc_id").alias("keeper"))
+    longest = further.drop("keeper").join(givers, "key").where("keeper < doc_id")
+    longest = longest.groupBy(*by, "seed", F.expr("at < seed").alias("_before")).agg(
+        F.max(F.struct(F.expr("to - at").alias("n"), "at", "to", "keeper")).alias("x")
+    )
+    runs = [
+        same.select(*by, "at", (F.col("at") + WINDOW).alias("to"), "keeper"),
+        more.where("key is null").select(*by, "at", "to", "keeper"),
+        longest.select(*by, "x.at", "x.to", "x.keeper"),
+    ]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+def _surroundings(texts: DataFrame, around: int) -> DataFrame:
+    """Each seed with the hashes of the words before and behind it, outwards (0: no word), how many
+    of them no paragraph cut covers, and whether it covers the seed itself."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.pieces(batches, "text"):
+            words = W.words_of(batch.column("text"))
+            cut = np.zeros(len(words.hash) + 1, dtype=bool)
+            own, at, window = [], [], []
+            seeds, gone = batch.column("seeds").to_pylist(), batch.column("gone").to_pylist()
+            for i, (part, lost) in enumerate(zip(seeds, gone)):
+                low, high = words.first[i], words.first[i + 1]
+                cut[low:high] = _covered([(x["at"], x["to"]) for x in lost or []], high - low)
+                own += [i] * len(part)
+                at += [x["at"] for x in part]
+                window += [x["window"] for x in part]
+            own, at = np.array(own, dtype=np.int64), np.array(at, dtype=np.int64)
+            begin = words.first[own] + at
+            inside = begin[:, None] + np.arange(WINDOW)
+            whole = ~cut[inside].any(axis=1)
+            columns = []
+            for places in (
+                begin[:, None] - 1 - np.arange(around), begin[:, None] + WINDOW + np.arange(around)
+            ):
+                there = (places >= words.first[own][:, None]) & (
+                    places < words.first[own + 1][:, None]
+                )
+                spot = np.where(there, places, 0)
+                hashes = np.where(there, np.maximum(words.hash[spot], np.uint64(1)), np.uint64(0))
+                free = np.logical_and.accumulate(there & ~cut[spot], axis=1).sum(axis=1)
+                columns += [near.binary_column(hashes), pa.array(free.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(window, pa.int64()),
+                    batch.column("doc_id").take(pa.array(own)),
+                    batch.column("mark").take(pa.array(own)),
+                    pa.array(at.astype(np.int32)), *columns, pa.array(whole),
+                ],
+                names=["window", "doc_id", "mark", "at", "left", "free_left", "right",
+                       "free_right", "whole"],
+            )
+
+    return texts.mapInArrow(
+        look,
+        "window bigint, doc_id bigint, mark int, at int, left binary, free_left int, "
+        "right binary, free_right int, whole boolean",
+    )
+
+
+def _extensions(pairs: DataFrame, around: int) -> DataFrame:
+    """The run that each seed shares with its first keeper and, with ``key``, all longer stretches
+    to one side, of which other documents may have the same (``gives``: and keep it)."""
+    names = ["doc_id", "mark", "seed", "at", "to", "keeper", "key", "gives"]
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            side = lambda c: near.matrix(pa.chunked_array([batch.column(c)]), np.uint64)
+            seed, doc, keeper = get("at"), get("doc_id"), get("keeper")
+            mark, whole, several = get("mark"), get("whole"), get("places") > 2
+            shared, rows = {}, []
+            for name, salt in (("left", 1), ("right", 2)):
+                one, two = side(name), side(name + "_2")
+                alike = np.logical_and.accumulate((one == two) & (one > 0), axis=1).sum(axis=1)
+                shared[name] = n = np.minimum(alike, get(f"free_{name}_2")).astype(np.int32)
+                value = W.mixed(get("window").view(np.uint64) + np.uint64(salt))
+                for j in range(around):
+                    value = W.mixed(value * W.STEPS[0] + one[:, j])
+                    pick = np.flatnonzero(several & (n <= j) & (one[:, j] > 0))
+                    before, behind = (j + 1, 0) if name == "left" else (0, j + 1)
+                    rows.append(
+                        (doc[pick], mark[pick], seed[pick], seed[pick] - before,
+                         seed[pick] + WINDOW + behind, np.full(len(pick), -1), value[pick],
+                         whole[pick] & (get(f"free_{name}")[pick] > j))
+                    )
+            pick = np.flatnonzero(keeper < doc)
+            own = (doc[pick], mark[pick], seed[pick], (seed - shared["left"])[pick],
+                   (seed + WINDOW + shared["right"])[pick], keeper[pick])
+            kinds = (np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)
+            columns = [pa.array(x.astype(k)) for x, k in zip(own, kinds)]
+            columns += [pa.nulls(len(pick), pa.int64()), pa.nulls(len(pick), pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            rows = [np.concatenate(x) for x in zip(*rows)]
+            columns = [pa.array(x.astype(k)) for x, k in zip(rows, kinds)]
+            columns += [pa.array(rows[6].view(np.int64)), pa.array(rows[7].astype(bool))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return pairs.mapInArrow(
+        extend,
+        "doc_id bigint, mark int, seed int, at int, to int, keeper bigint, key bigint, gives boolean",
     )
-    twice = staged(twice.where("keeper < _last"), "windows").where("keeper < _last")
-    same = windows.join(twice, "window").where("doc_id <> keeper")
-    return alike.unionByName(same.select(*columns[:5], F.lit(None).cast("binary").alias("part")))
 
 
 def dedup_substrings(
@@ -216,11 +447,12 @@ def dedup_substrings(
     with a probability of at most 1 in 1000; colliding paragraphs whose MinHash values
     cannot reach it are dropped, the others are checked exactly. Passages: any run of
     ``passage`` words that two documents share verbatim contains a window of 24 words that both
-    have chosen; windows stay in the document of least id and are cut from the others.
+    have chosen; from there it is extended to the whole run, which is cut from a document if an
+    earlier one has it outside the paragraphs that are cut there.
 
     The text column holds what is left; a paragraph goes with its line break. Added columns:
     ``n_removed`` (separate stretches), ``removed_chars`` and ``kept_in`` (ids of the documents
-    that keep what was removed, sorted). Shorter repeats stay. Missing and empty texts come back as
+    of which it is a repeat, sorted; one that lost its own copy names a still earlier one). Shorter repeats stay. Missing and empty texts come back as
     they are, and so do rows without an id. Rows with one id and one text have one outcome; rows
     with one id and different texts count as one document where passages are kept. Columns of
     ``docs`` that have an added name are replaced. An empty table gives no rows.
@@ -254,7 +486,8 @@ def dedup_substrings(
             texts, removed, chars, kept = [], [], [], []
             values = batch.column(text).to_pylist()
             own = batch.column("_doc_id").to_pylist()
-            for value, doc, cuts in zip(values, own, batch.column("_cuts").to_pylist()):
+            lists = in_bytes(batch.column(text), batch.column("_cuts").to_pylist())
+            for value, doc, cuts in zip(values, own, lists):
                 left, n, ids = without(value, doc, cuts) if cuts else (value, 0, [])
                 texts.append(left)
                 removed.append(n)
@@ -269,27 +502,34 @@ def dedup_substrings(
     return joined.mapInArrow(cut, schema)
 
 
+def in_bytes(texts: pa.Array, lists: list) -> list:
+    """The lists of cuts with the limits of passages in bytes, as those of paragraphs are."""
+    some = [i for i, cuts in enumerate(lists) if cuts and any(c["part"] is None for c in cuts)]
+    words = W.words_of(texts.take(pa.array(some, pa.int64())))
+    for k, i in enumerate(some):
+        base = words.offsets[k]
+        for c in lists[i]:
+            if c["part"] is None:
+                first, last = words.first[k] + c["start"], words.first[k] + c["stop"] - 1
+                c["start"], c["stop"] = int(words.start[first] - base), int(words.end[last] - base)
+    return lists
+
+
 def without(text: str, doc: int, cuts: list[dict]) -> tuple[str, int, list[int]]:
     """The text without its cuts, how many stretches that were, and who keeps them."""
     raw = text.encode()
-    spans, ids, own = [], set(), {}
-    for c in cuts:
-        if c["part"] is not None and c["keeper"] == doc:
-            own.setdefault(c["part"], []).append((c["start"], c["stop"]))
-        else:
-            spans.append((c["start"], c["stop"], c["part"] is not None))
-            ids.add(c["keeper"])
-    for places in own.values():
-        # The keeper keeps the first of its alike paragraphs.
-        for start, stop in sorted(places)[1:]:
-            spans.append((start, stop, True))
-            ids.add(doc)
-    merged: list[list[int]] = []
-    for start, stop, line in sorted(spans):
+    gone = not_kept(doc, [c for c in cuts if c["part"] is not None])
+    gone += [c for c in cuts if c["part"] is None]
+    ids, spans = {c["keeper"] for c in gone}, []
+    for c in gone:
+        start, stop, line = c["start"], c["stop"], c["part"] is not None
         if line and stop < len(raw):
             stop += 1
         elif line and start:
             start -= 1
+        spans.append((start, stop))
+    merged: list[list[int]] = []
+    for start, stop in sorted(spans):
         if merged and start <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], stop)
         else:

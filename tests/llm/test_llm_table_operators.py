@@ -261,6 +261,50 @@ def test_repeated_parts_are_kept_once(spark):
     assert substring.dedup_substrings(df.where("false")).count() == 0
 
 
+def random_words(seed):
+    rng = random.Random(seed)
+    return lambda n: " ".join("".join(rng.choice("abcdefghijk") for _ in range(5)) for _ in range(n))
+
+
+def dedup(spark, docs):
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
+    return {r.doc_id: r for r in substring.dedup_substrings(df).collect()}
+
+
+def test_whole_runs_are_cut(spark):
+    make = random_words(11)
+    runs = [make(n) for n in (50, 51, 75, 400)]
+    more = make(20)
+    docs, want = {}, {}
+    for k, run in enumerate(runs):
+        docs[k] = f"{make(40)} {run} {make(40)}"
+        low, high = make(33), make(37)
+        docs[10 + k], want[10 + k] = f"{low} {run.upper()}, {high}", f"{low} , {high}"
+    # The first keeper of the windows has less of the run than a later one.
+    low, high = make(30), make(30)
+    docs[20] = f"{make(30)} {runs[0]} {more} {make(30)}"
+    docs[21], want[21] = f"{low} {runs[0]} {more} {high}", f"{low}  {high}"
+    got = dedup(spark, docs)
+    assert all(got[k].text == docs[k] for k in range(4))
+    assert {k: got[k].text for k in want} == want
+    assert [got[10 + k].kept_in for k in range(4)] == [[0], [1], [2], [3]]
+
+
+def test_last_copy_of_a_passage_stays(spark):
+    make = random_words(12)
+    para, inserted = make(300).split(), make(55)
+    docs = {
+        1: " ".join(para),
+        2: " ".join(para[:150]) + f" {inserted} " + " ".join(para[150:]),
+        3: f"{make(60)} {inserted} {make(60)}",
+        4: f"{make(60)} {inserted} {make(60)}",
+    }
+    got = dedup(spark, docs)
+    assert got[1].text == docs[1] and got[2].text == "" and got[2].kept_in == [1]
+    assert got[3].text == docs[3] and got[3].kept_in == []
+    assert got[4].text == docs[4].replace(inserted, "") and got[4].kept_in == [3]
+
+
 def test_bands_are_tuned():
     for hashes, t in ((64, 0.8), (128, 0.7), (128, 0.9)):
         b, r = substring.tuned_bands(hashes, t)
