@@ -31,8 +31,10 @@ def _together(found: DataFrame, docs: DataFrame, *own: str) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters and one language that has 3 in 10 of their words: mixed texts stay,
-    texts without letters and jumbles of many languages go."""
+    texts without letters and jumbles of many languages go. Without labelled rows all stay."""
     model = language.train_languages(docs.select("text", "lang"))
+    if not model.languages:
+        return docs
     found = language.label_languages(_apart(docs, "text"), model)
     kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
     return _together(kept, docs, "text")

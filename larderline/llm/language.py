@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,22 @@ SCRIPTS = [
     (0xAC00, 0xD7A3, "hangul"), (0x20000, 0x2FA1F, "han"),
 ]
 SCRIPT_NAMES = sorted({name for _, _, name in SCRIPTS})
+# Letters outside the table: each 128 code points are a script of their own.
+BLOCK_BITS = 7
+ALL_SCRIPTS = len(SCRIPT_NAMES) + (0x110000 >> BLOCK_BITS)
 _first = np.array([a for a, _, _ in SCRIPTS])
 _last = np.array([b for _, b, _ in SCRIPTS])
 _script = np.array([SCRIPT_NAMES.index(s) for _, _, s in SCRIPTS], dtype=np.int16)
 
 
+@lru_cache
+def _is_letter() -> np.ndarray:
+    """Which code points are letters."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
 def letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte positions of letters of the known scripts, and their scripts."""
+    """Byte positions of letters, and their scripts."""
     at = np.flatnonzero((data < 128) | (data >= 0xC0))
     lead = data[at].astype(np.int64)
     padded = np.concatenate([data, np.zeros(3, dtype=np.uint8)]).astype(np.int64)
@@ -69,6 +79,9 @@ def letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     part = np.searchsorted(_first, code[rest], "right") - 1
     inside = code[rest] <= _last[part]
     script[rest[inside]] = _script[part[inside]]
+    other = rest[~inside]
+    other = other[_is_letter()[np.minimum(code[other], 0x10FFFF)]] if len(other) else other
+    script[other] = len(SCRIPT_NAMES) + (code[other] >> BLOCK_BITS)
     keep = script >= 0
     return at[keep], script[keep]
 
@@ -141,7 +154,7 @@ def train_languages(
     languages = sorted(counts)
     if not languages:
         empty = np.zeros((BUCKETS, 0), dtype=np.float32)
-        return LanguageModel([], empty, np.zeros((len(SCRIPT_NAMES), 0), dtype=bool))
+        return LanguageModel([], empty, np.zeros((ALL_SCRIPTS, 0), dtype=bool))
     number = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])
     share = F.create_map(
         *[F.lit(x) for k in languages for x in (k, min(1.0, rows_per_language / counts[k]))]
@@ -152,7 +165,7 @@ def train_languages(
     wide = len(languages)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((BUCKETS + len(SCRIPT_NAMES)) * wide, dtype=np.int64)
+        found = np.zeros((BUCKETS + ALL_SCRIPTS) * wide, dtype=np.int64)
         for batch in W.pieces(batches, "text"):
             words = W.words_of(batch.column("text"))
             label = np.repeat(batch.column("lang").to_numpy(), words.counts)
@@ -170,7 +183,7 @@ def train_languages(
         F.sum("n").alias("n")
     )
     cells = sums.toArrow()
-    table = np.zeros((BUCKETS + len(SCRIPT_NAMES)) * wide)
+    table = np.zeros((BUCKETS + ALL_SCRIPTS) * wide)
     table[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     table = table.reshape(-1, wide)
     seen, scripts = table[:BUCKETS], table[BUCKETS:]
@@ -205,13 +218,13 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     order = np.argsort(-counts, kind="stable")
     order = order[counts[order] > 0]
     begin, left = first[order], counts[order]
-    labels = np.zeros(n, dtype=np.int8)
+    labels = np.zeros(n, dtype=np.int16)
     if not len(order):
         return labels
-    back = np.zeros((n, langs), dtype=np.int8)
-    own = np.arange(langs, dtype=np.int8)
+    back = np.zeros((n, langs), dtype=np.int16)
+    own = np.arange(langs, dtype=np.int16)
     value = scores[begin].copy()
-    ends = np.zeros(len(order), dtype=np.int8)
+    ends = np.zeros(len(order), dtype=np.int16)
     live = len(order)
     for t in range(1, int(left[0]) + 1):
         still = int(np.searchsorted(-left, -t, "left"))  # sequences with more than t words
@@ -225,7 +238,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
         jump = value[np.arange(live), best][:, None] - np.float32(penalty)
         stay = value >= jump
         at = begin[:live] + t
-        back[at] = np.where(stay, own, best[:, None].astype(np.int8))
+        back[at] = np.where(stay, own, best[:, None].astype(np.int16))
         value = np.where(stay, value, jump) + scores[at]
     labels[begin + left - 1] = ends
     now = ends.copy()
@@ -243,7 +256,9 @@ def _labelled(model: LanguageModel, held, penalty: float, floor: float):
     counts = np.concatenate([c for _, c, _, _, _ in held])
     first = np.concatenate([[0], np.cumsum(counts)])
     scores = np.concatenate([s for _, _, s, _, _ in held])
-    has = np.concatenate([h for _, _, _, h, _ in held])
+    lettered = np.concatenate([h >= 0 for _, _, _, h, _ in held])
+    learned = np.append(model.allowed.any(axis=1), False)
+    has = np.concatenate([learned[h] for _, _, _, h, _ in held])
     bare = np.concatenate([x for _, _, _, _, x in held])
     docs, langs = len(counts), len(model.languages)
     labels = viterbi(scores, first, penalty).astype(np.int64) if langs else np.zeros(len(has), int)
@@ -255,7 +270,9 @@ def _labelled(model: LanguageModel, held, penalty: float, floor: float):
     total = votes.sum(axis=1)
     share = np.where(total > 0, votes.max(axis=1) / np.maximum(total, 1), 0.0)
     known = (total > 0) & (langs > 0)
-    # Letters outside the listed scripts: a text, but none of the learned languages stands out.
+    # Words in scripts that no language was seen in do not vote, but count in the share.
+    share *= total / np.maximum(np.bincount(owner[lettered], minlength=docs), 1)
+    # Letters of scripts that were not learned: a text, but none of the learned languages stands out.
     names = np.array([*model.languages, UNKNOWN], dtype=object)
     guess = np.where(known, best, np.where(bare & (langs > 0), 0, langs))
     new = np.ones(len(owner), dtype=bool)
@@ -290,7 +307,7 @@ def label_languages(
     The prediction is the language of most words; ``score`` is their share among the words
     with a letter. Words without letters take the language around them and do not vote. Texts
     without any letter, missing and empty ones are ``und`` with score 0 and no or unvoted
-    spans. A text whose letters are all of scripts outside the table gets the first language
+    spans. A text whose letters are all of scripts that were not learned gets the first language
     with score 0. Ties go to the first language in text order. Without learned languages
     everything is ``und``. Columns of ``docs`` with an added name are replaced.
     """
@@ -327,8 +344,10 @@ def label_languages(
         held, size = [], 0
         for batch in W.pieces(batches, text):
             words = W.words_of(batch.column(text))
-            has = word_scripts(words) >= 0
-            voting = np.bincount(words.row()[has], minlength=len(words)) > 0
+            has = word_scripts(words)
+            learned = known.allowed.any(axis=1)
+            votes = (has >= 0) & learned[np.maximum(has, 0)]
+            voting = np.bincount(words.row()[votes], minlength=len(words)) > 0
             bare = np.zeros(len(words), dtype=bool)
             for i in np.flatnonzero(~voting):
                 value = batch.column(text)[int(i)].as_py()

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from larderline.llm import decontaminate, html_text, language, syncmers, toxicity
 from larderline.llm import words as W
 
@@ -180,6 +181,22 @@ def test_languages_scripts_and_spans(spark):
     assert language.label_languages(empty, model).count() == 0
 
 
+def test_languages_in_any_script(spark):
+    rows = [("ሰላም ለሁሉም ሰው", "am"), ("မင်္ဂလာပါ ကမ္ဘာ", "my"), ("ສະບາຍດີ ໂລກ", "lo"), ("the quick fox", "en")]
+    rows += [(f"the quick fox {i}", f"x{i:03}") for i in range(150)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = language.train_languages(df)
+    few = language.label_languages(df.limit(3), model).collect()
+    assert [(r.lang_pred, r.score) for r in few] == [("am", 1.0), ("my", 1.0), ("lo", 1.0)]
+    labels = language.viterbi(np.eye(200, dtype=np.float32)[[190, 190]] * 9, np.array([0, 2]), 6.0)
+    assert labels.tolist() == [190, 190]
+
+
+def test_unlabelled_documents_stay(spark):
+    docs = spark.createDataFrame([("a text", None)], "text string, lang string")
+    assert corpus_pipeline.identify_language(spark, docs, "").count() == 1
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="benchmark tables not present")
 def test_held_out_languages(spark):
     from larderline.llm.queries import REGISTRY
