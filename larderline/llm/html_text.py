@@ -2,8 +2,9 @@
 
 A page is read into blocks of text, each with the path of tags from the root to it. Text
 length and punctuation are summed by path and divided by the path's nodes; both ratios are
-smoothed over neighbouring blocks, fused, and a threshold tells the paths of content. What
-stands among the content nodes in their common container is the article.
+smoothed over neighbouring blocks, fused, and a threshold tells the paths of content. The
+blocks of all these paths, with what stands among them in their containers and their headings,
+or the article or main element that holds them all, are the article.
 """
 
 from __future__ import annotations
@@ -184,6 +185,10 @@ def _common(nodes: list[_Node]) -> _Node:
     return top
 
 
+def _container(node: _Node) -> _Node:
+    return node.parent if node.tag in ("p", *HEADINGS) else node
+
+
 def _under(node: _Node, top: _Node) -> bool:
     while node.depth > top.depth:
         node = node.parent
@@ -201,21 +206,28 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     scores, least = path_scores(blocks)
-    weight = defaultdict(float)
-    for node, text in blocks:
-        if scores[node.path] >= least:
-            weight[node.path] += scores[node.path] * len(text)
-    best = max(weight, key=lambda p: (weight[p], p))
-    box = _common([node for node, _ in blocks if node.path == best])
-    if box.tag in ("p", *HEADINGS):
-        box = box.parent
-    at = [i for i, (n, _) in enumerate(blocks) if scores[n.path] >= least and _under(n, box)]
+    at = [i for i, (n, _) in enumerate(blocks) if scores[n.path] >= least]
+    box = _common([blocks[i][0] for i in at])
+    if box.content:
+        while box.tag not in CONTENT:
+            box = box.parent
+        return "\n".join(t for n, t in blocks if _under(n, box))
     low, high = at[0], at[-1]
-    while low and blocks[low - 1][0].tag in HEADINGS and _under(blocks[low - 1][0], box):
+    while low and blocks[low - 1][0].tag in HEADINGS:
         low -= 1
-    if box.content:
-        low, high = 0, len(blocks) - 1
-    return "\n".join(t for n, t in blocks[low : high + 1] if _under(n, box))
+    # Between them stays what passes, headings, and what shares a container with what passes.
+    holders = {_container(blocks[i][0]) for i in at}
+    passing = set(at)
+
+    def kept(i: int) -> bool:
+        node = blocks[i][0]
+        if i in passing or node.tag in HEADINGS:
+            return True
+        while node and node not in holders:
+            node = node.parent
+        return node is not None
+
+    return "\n".join(blocks[i][1] for i in range(low, high + 1) if kept(i))
 
 
 def extract_text(pages: DataFrame, page: str = "html", out: str = "text") -> DataFrame:

@@ -329,6 +329,19 @@ def test_main_text(box):
     assert html_text.main_text(PAGE % (box % BODY)) == WANT
 
 
+P = "<p>A sentence of the text, long enough to count. It has marks, and an end; number %d.</p>"
+
+
+def test_sibling_containers():
+    two = [re.sub("<.*?>", "", P % i) for i in (1, 2)]
+    page = f"<body><article><header><h1>T</h1></header><div class=entry>{P % 1}{P % 2}</div></article>"
+    assert html_text.main_text(page) == "\n".join(["T", *two])
+    page = f"<body><div class=s1>{P % 1}</div><div class=s2>{P % 2}</div></body>"
+    assert html_text.main_text(page) == "\n".join(two)
+    page = f"<body><div class=top><h1>T</h1></div><div class=entry>{P % 1}{P % 2}</div></body>"
+    assert html_text.main_text(page) == "\n".join(["T", *two])
+
+
 def test_odd_pages(spark):
     pages = [None, "", "   ", "plain text", "<p>only", "<nav>a</nav>", "<", "a < b", "<p" * 300,
              "<div>" * 3000 + "deep" + "</div>" * 10, "<script>never closed", "&#233;&amp;lt;"]
