@@ -23,6 +23,7 @@ from larderline.llm import words as W
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<(?:svg|math)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*/>"
     r"|<(script|style|noscript|template|svg|math|iframe|object|textarea|title|select|xmp)\b[^>]*>"
     r".*?(?:</\1\s*>|\Z)"
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
@@ -59,38 +60,80 @@ HINT = re.compile(
     r"respond|login|signin|signup|search|pagination|pager|copyright|disclaimer|skip)(?:$|[\s_-])",
     re.I,
 )
+# Words that tell the state of a page or article, not what an element is.
+STATE = re.compile(
+    r"(?<!\S)(?:(?:has|with|no|is|hide|show)[_-]\S+"
+    r"|\S+[_-](?:open|opened|closed|enabled|disabled|on|off|visible|hidden|active))(?!\S)",
+    re.I,
+)
 HEADER = re.compile(r"(?:^|[\s_-])(?:site|page|top|global)?[_-]?header(?:$|[\s_-])", re.I)
 NEVER = {"html", "body", "main"}
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "depth", "apart", "path", "content")
+    __slots__ = ("tag", "parent", "depth", "apart", "path", "content", "hint", "size", "holds")
 
-    def __init__(self, tag: str, parent, apart: bool, key: str):
+    def __init__(self, tag: str, parent, apart: bool, key: str, hinted: bool = False):
         self.tag, self.parent = tag, parent
+        # The nearest element, from here upwards, that its class or id speaks against.
+        self.hint = self if hinted else (parent.hint if parent else None)
+        self.size, self.holds = 0, False
         self.depth = parent.depth + 1 if parent else 0
         self.apart = apart or (parent.apart if parent else False)
         self.path = (parent.path + "/" + key) if parent else key
         self.content = tag in CONTENT or (parent.content if parent else False)
 
 
-def _is_apart(tag: str, attributes: str, parent: _Node) -> bool:
+def _is_apart(tag: str, attributes: str, parent: _Node) -> tuple[bool, bool]:
+    """Whether an element is no content, and whether its class or id says so."""
     if tag in APART or (tag == "header" and not parent.content):
-        return True
+        return True, False
     if not attributes or tag in NEVER:
-        return False
+        return False, False
+    hinted = False
     for name, value in NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'").strip()
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, False
         if name == "role" and value.lower() in ROLES:
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, False
         if name in ("class", "id"):
-            if HINT.search(value) or (not parent.content and HEADER.search(value)):
-                return True
-    return False
+            value = STATE.sub(" ", value)
+            hinted |= bool(
+                HINT.search(value) or (not parent.content and HEADER.search(value))
+            )
+    return False, hinted
+
+
+def _settle_hints(blocks: list[tuple[_Node, str]]) -> None:
+    """Sets apart the blocks inside hinted elements, but for elements that hold an article or main
+    element without a hint of its own or, where nothing else does, most of the text."""
+    total, articles = 0, False
+    for node, text in blocks:
+        if node.apart:
+            continue
+        total += len(text)
+        at = node
+        if node.content:
+            while at.tag not in CONTENT:
+                at = at.parent
+        bare = at.tag in CONTENT and at.hint is not at
+        articles |= bare and at.hint is None
+        above = node.hint
+        while above:
+            above.size += len(text)
+            above.holds |= bare and above.depth < at.depth
+            above = above.parent.hint
+    for node, _ in blocks:
+        above = node.hint
+        while above and not node.apart:
+            most = not articles and above.size * 2 > total
+            node.apart = not (above.holds or most)
+            above = above.parent.hint
+
+
 
 
 def blocks_of(page: str) -> list[tuple[_Node, str]]:
@@ -145,9 +188,11 @@ def blocks_of(page: str) -> list[tuple[_Node, str]]:
         if attributes:
             found = re.search(r"""\bclass\s*=\s*["']?([\w-]+)""", attributes)
             key = f"{tag}.{found[1]}" if found else tag
-        stack.append(_Node(tag, stack[-1], _is_apart(tag, attributes, stack[-1]), key))
+        apart, hinted = _is_apart(tag, attributes, stack[-1])
+        stack.append(_Node(tag, stack[-1], apart, key, hinted))
     held.append(page[at:])
     flush()
+    _settle_hints(out)
     return out
 
 

@@ -342,6 +342,21 @@ def test_sibling_containers():
     assert html_text.main_text(page) == "\n".join(["T", *two])
 
 
+@pytest.mark.parametrize("wrap", [
+    "<div class='layout has-sidebar'><article>%s</article></div>",
+    "<article class='post comments-open'>%s</article>",
+    "<div id='share-page'>%s</div>",
+    "<div class='sidebar wide'><main>%s</main></div>",
+    "<svg width='1' /><article>%s</article><svg><p>no</p></svg>",
+])
+def test_hints_are_no_verdict(wrap):
+    body = P % 1 + P % 2 + "<div class=ad><p>Buy now! Cheap, good.</p></div>" + P % 3
+    page = f"<body>{wrap % body}<p>Stray line.</p><div class=comments><p>Great, really.</p></div>"
+    got = html_text.main_text(page).split("\n")
+    assert got[:3] == [re.sub("<.*?>", "", P % i) for i in (1, 2, 3)]
+    assert got[3:] in ([], ["Stray line."])
+
+
 def test_odd_pages(spark):
     pages = [None, "", "   ", "plain text", "<p>only", "<nav>a</nav>", "<", "a < b", "<p" * 300,
              "<div>" * 3000 + "deep" + "</div>" * 10, "<script>never closed", "&#233;&amp;lt;"]
