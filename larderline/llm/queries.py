@@ -12,13 +12,16 @@ from larderline.llm import (
     jaccard_join,
     language,
     mixing,
+    quality,
+    repair,
+    runs,
     substring,
     syncmers,
     toxicity,
     url_rules,
 )
 from larderline.queries.registry import Query, Run, table
-from larderline.session import prepare
+from larderline.session import prepare, staged
 
 REGISTRY: dict[str, Query] = {}
 
@@ -224,3 +227,176 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix_sources(docs)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def with_repeated_tails(docs: DataFrame) -> DataFrame:
+    """The texts of op12: in one document of ten the words from some place on repeat."""
+    spaces = r"[\x20\x09-\x0D]+"
+    split = F.filter(F.split(F.coalesce("text", F.lit("")), spaces), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    n, a, p, left = F.col("_n"), F.col("_a"), F.col("_p"), F.col("_n") - F.col("_a")
+    cut = (
+        docs.withColumn("_g", F.when(h % 10 == 0, F.floor(h / 10)))
+        .withColumn("_words", F.when(F.col("_g").isNotNull(), split))
+        .withColumn("_n", F.size("_words"))
+        .withColumn("_a", F.when(n > 0, F.col("_g") % n).cast("int"))
+        .withColumn("_p", (1 + F.floor(left / (3 + F.col("_g") % 8))).cast("int"))
+    )
+    again = F.array_repeat(F.slice("_words", a + 1, p), F.ceil(left / p).cast("int"))
+    said = F.concat(F.slice("_words", F.lit(1), a), F.slice(F.flatten(again), F.lit(1), left))
+    text = F.when(a.isNotNull(), F.array_join(said, " ")).otherwise(F.col("text"))
+    return cut.select("doc_id", text.alias("text"))
+
+
+@query("op12_runs")
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.periodic_runs(with_repeated_tails(docs))
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(
+            r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")
+        ))
+    )
+    lines = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    size, period = F.col("_r.length"), -F.col("_r.period")
+    return found.withColumn("_r", longest).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("_r.start")).alias("start"),
+        size.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * size / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_quality")
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge_quality(staged(quality.text_counts(docs), "counts"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "quality",
+    )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """The conversations of op11: some turns lost, emptied, cut, repeated or given to the user."""
+    space = F.lit(" ")
+    key = [F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat_ws(":", *key)) % 20
+    text = F.coalesce("text", space)
+    copies = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    return turns.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(F.coalesce("role", space)).alias("role"),
+        F.when(kind == 1, "")
+        .when(kind == 2, F.regexp_replace(text, "[.!?]", ""))
+        .otherwise(text)
+        .alias("text"),
+        F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy"),
+    ).drop("_copy")
+
+
+# The repair as layers: after each turn the least cost and audit of every state (0 nothing yet,
+# 1 system, 2 user, 3 assistant), held as one text. Edits: name, states before and after, initial
+# that may be kept, cost. Insertions: states before and after, number.
+REPAIR_SQL = r"""
+with recursive bits as (
+  select b, 0 as k, b as c from range(256) as t(b)
+  union all
+  select b, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8
+), codes as (select list(c order by b) as code from bits where k = 8),
+given as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key
+  from conversations
+), kinds as (
+  select conv_id, turn, role, text, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::bigint)),
+    lambda a, x: xor(a >> 8, code[(xor(a, x) & 255) + 1]))) % 20 as kind
+  from given, codes
+), damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from kinds, range(2) as t(copy)
+  where kind <> 0 and (copy = 0 or kind = 3)
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as i from damaged
+), faults as (
+  select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+      when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+      when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' end as fault,
+    lag(role[1]) over (partition by conv_id order by i) || role[1] as pair
+  from placed
+), facts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+    count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, count(*) as n
+  from faults group by conv_id
+), edits(op, q, r, initial, cost) as (
+  values ('K', 0, 1, 's', 0), ('K', 0, 2, 'u', 0), ('K', 1, 2, 'u', 0), ('K', 2, 3, 'a', 0), ('K', 3, 2, 'u', 0),
+    ('R', 0, 2, null, 3), ('R', 1, 2, null, 3), ('R', 2, 3, null, 3), ('R', 3, 2, null, 3),
+    ('D', 0, 0, null, 4), ('D', 1, 1, null, 4), ('D', 2, 2, null, 4), ('D', 3, 3, null, 4)
+), inserts(q, r, n) as (
+  values (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (1, 2, 1), (2, 3, 1), (3, 2, 1), (0, 3, 2), (1, 3, 2)
+), layers as (
+  select conv_id, 0::bigint as i, r as q, printf('%09d', 3 * s.n) || repeat('I', s.n) as best
+  from facts, inserts s where q = 0
+  union all
+  select l.conv_id, l.i + 1, s.r, min(printf('%09d', l.best[1:9]::bigint + e.cost + 3 * s.n
+      + case when e.op <> 'D' and f.fault = 'truncated' then 3 else 0 end) || l.best[10:] || e.op || repeat('I', s.n))
+  from layers l join faults f on f.conv_id is not distinct from l.conv_id and f.i = l.i
+    join edits e on e.q = l.q and (e.op = 'D' or coalesce(f.fault, '') not in ('blank', 'duplicate'))
+      and (e.initial is null or e.initial = f.role[1])
+    join inserts s on s.q = e.r
+  group by l.conv_id, l.i, s.r
+), goals as (
+  select l.conv_id, min(best) as best from layers l join facts f on f.conv_id is not distinct from l.conv_id
+  where l.i = f.n and l.q in (0, 3) group by l.conv_id
+), letters as (
+  select conv_id, k, best[9 + k] as op from goals, lateral (select unnest(range(1, length(best) - 8)) as k)
+), kept as (
+  select *, count(*) filter (op <> 'I') over w - 1 as i from letters
+  window w as (partition by conv_id order by k)
+), turned as (
+  select e.conv_id, e.k, e.op, f.role, f.text,
+    row_number() over (partition by e.conv_id order by e.k)
+      - max(case when e.op = 'K' and f.role[1] = 's' then 1 else 0 end) over (partition by e.conv_id) as nth
+  from kept e left join faults f on f.conv_id is not distinct from e.conv_id and f.i = e.i
+  where e.op <> 'D'
+), said as (
+  select conv_id, string_agg(case when op = 'K' then role when nth % 2 = 1 then 'user' else 'assistant' end
+    || ':' || case when op = 'I' then '' else text end, chr(10) order by k) as said
+  from turned group by conv_id
+), ids as (select distinct conv_id from conversations)
+select ids.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(best[1:9]::bigint, 0) as cost, coalesce(best[10:], '') as audit,
+  sha256(coalesce(said, '')) as repaired_sha256
+from ids left join facts f on f.conv_id is not distinct from ids.conv_id
+  left join goals g on g.conv_id is not distinct from ids.conv_id
+  left join said s on s.conv_id is not distinct from ids.conv_id
+"""
+
+
+@query("op11_repair", REPAIR_SQL)
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.repair_conversations(damaged(turns))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    # Conversations that lost all turns are found again by their ids.
+    ids = turns.select("conv_id").distinct().withColumnRenamed("conv_id", "_id")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    every = ids.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left")
+    return every.select(
+        F.col("_id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.sha2(F.coalesce(F.array_join(said, "\n"), F.lit("")), 256).alias("repaired_sha256"),
+    )

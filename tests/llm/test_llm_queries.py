@@ -23,6 +23,8 @@ COLUMNS = {
     "op8": "doc_id held_out lang_pred score",
     "op9": "page_id host path rule verdict",
     "op10": "doc_id size source_size target taken",
+    "op12": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op13": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept quality",
 }
 
 
@@ -41,7 +43,7 @@ def test_one_row_for_each_input_row(spark, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 14))
 
 
 def test_stages_take_effect(spark):
