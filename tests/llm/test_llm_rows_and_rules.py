@@ -77,7 +77,7 @@ def test_repaired_conversations(spark):
     given = [
         (1, 0, "system", "Be short."), (1, 1, "user", "Hi."), (1, 2, "assistant", "Hello."),
         (2, 0, "user", "Hi."), (2, 0, "user", "Hi."), (2, 5, "assistant", "cut off"),
-        (3, None, "assistant", "Yes."), (3, 4, None, None), (3, 6, "tool", "\t ."),
+        (3, None, "assistant", "Yes."), (3, 4, None, None), (3, 6, "tool", "\t\u2003."),
         (None, 1, "user", ""),
         (4, 2, "assistant", "A."), (4, 1, "assistant", "A."),
         (5, 0, "user", "one. "), (5, 1, "system", "two."), (5, 2, "assistant", "x" * 100_000 + "!"),
@@ -98,7 +98,7 @@ def test_repaired_conversations(spark):
     assert facts(2) == (4, 0, 1, 1, 1, 7, "KDK")
     assert said(2) == [("user", "Hi."), ("assistant", "cut off")]
     assert facts(3) == (1, 1, 0, 0, 2, 10, "RDR")
-    assert said(3) == [("user", "Yes."), ("assistant", "\t .")]
+    assert said(3) == [("user", "Yes."), ("assistant", "\t\u2003.")]
     assert facts(None) == (0, 1, 0, 0, 0, 4, "D") and said(None) == []
     assert facts(4) == (0, 0, 1, 0, 1, 7, "IKD")
     assert said(4) == [("user", ""), ("assistant", "A.")]
