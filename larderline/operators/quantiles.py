@@ -15,6 +15,27 @@ QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 WHISKER_REACH = 1.5
 
 
+def value_counts(df: DataFrame, by: Sequence[str], measure: str) -> DataFrame:
+    """Rows per group and value, as ``_v`` and ``_same``; missing measures are left out.
+
+    A value that a third of the rows share is one row here, whatever task it goes to.
+    """
+    narrow = df.select(*by, present(df, measure).cast("double").alias("_v"))
+    return (
+        narrow.where(F.col("_v").isNotNull())
+        .groupBy(*by, "_v")
+        .agg(F.count(F.lit(1)).alias("_same"))
+    )
+
+
+def chunked_counts(counts: DataFrame, chunks: int | None = None) -> DataFrame:
+    """Staged :func:`value_counts` dealt into chunks of value order.
+
+    Each group has a value once, so equal values of many groups are told apart by the group.
+    """
+    return in_chunks(counts, [F.col("_v")], chunk_count(counts, chunks), "values")
+
+
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -24,20 +45,27 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, exact, without gathering any group.
 
-    Built-in ``percentile`` keeps every distinct value of a group in one task. Here the values
-    (with their group columns and nothing else) are written in chunks of value order; row
-    counts per group and chunk tell which chunk holds each wanted rank, and only the rows of
-    those chunks are shuffled and ranked.
+    Built-in ``percentile`` keeps every distinct value of a group in one task. Here rows are
+    first counted by group and value, in one pass over ``df``; ranks are then selected by weight.
+    The counts are written in chunks of value order, sums per group and chunk tell which chunk
+    holds each wanted rank, and only the counts of those chunks are shuffled and ranked.
     """
+    counts = staged(value_counts(df, by, measure), "value-counts")
+    return quantiles_of_counts(counts, by, probs, chunks)
+
+
+def quantiles_of_counts(
+    counts: DataFrame, by: Sequence[str], probs: Mapping[str, float], chunks: int | None = None
+) -> DataFrame:
+    """:func:`exact_quantiles` of staged :func:`value_counts`."""
     by = list(by)
-    values = _values(df, by, measure, "_v")
-    values = in_chunks(values, [F.col("_v")], chunk_count(values, chunks), "values")
+    values = chunked_counts(counts, chunks)
 
     group = Window.partitionBy(*by)  # one row for each chunk at most
     earlier = group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     per_chunk = (
         values.groupBy(*by, "_chunk")
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        .agg(F.sum("_same").alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
         .withColumn("_total", F.sum("_rows").over(group))
     )
@@ -52,11 +80,8 @@ def exact_quantiles(
     wanted = staged(wanted, "ranks")
 
     inside = Window.partitionBy(*by, "_chunk").orderBy("_v")
-    ranked = (
-        values.join(wanted, same_keys([*by, "_chunk"], "_w"))
-        .groupBy(*by, "_chunk", "_before", "_total", "_v")
-        .agg(F.count(F.lit(1)).alias("_same"))
-        .withColumn("_upto", F.col("_before") + F.sum("_same").over(inside))
+    ranked = values.join(wanted, same_keys([*by, "_chunk"], "_w")).withColumn(
+        "_upto", F.col("_before") + F.sum("_same").over(inside)
     )
 
     def value_at(rank: Column) -> Column:
@@ -71,11 +96,6 @@ def exact_quantiles(
     return ends.select(*by, *[_between(q, p).alias(q) for q, p in probs.items()])
 
 
-def _values(df: DataFrame, by: Sequence[str], measure: str, out: str) -> DataFrame:
-    narrow = df.select(*by, present(df, measure).cast("double").alias(out))
-    return narrow.where(F.col(out).isNotNull())
-
-
 def _exact_rank(p: float) -> Column:
     return (F.col("_total") - 1) * F.lit(float(p))
 
@@ -121,22 +141,24 @@ def within_limits(df: DataFrame, measure: str, limits: tuple[float, float] | Non
     return df.where(F.col(measure).between(F.lit(float(limits[0])), F.lit(float(limits[1]))))
 
 
-def _with_fences(
-    df: DataFrame, by: Sequence[str], measure: str, method: str, chunks: int | None
-) -> DataFrame:
-    if not by:
-        raise ValueError("box statistics need at least one category column")
-    quarts = quantiles(df, by, measure, QUARTILES, method, chunks)
-    if method != "grouped":
-        quarts = staged(quarts, "quartiles")
+def _fences(quarts: DataFrame, by: Sequence[str]) -> DataFrame:
     reach = WHISKER_REACH * (F.col("q3") - F.col("q1"))
-    fences = quarts.select(
+    return quarts.select(
         *[F.col(k).alias(k + "_f") for k in by],
         *QUARTILES,
         (F.col("q1") - reach).alias("_low_fence"),
         (F.col("q3") + reach).alias("_high_fence"),
     )
-    return df.join(fences, same_keys(by, "_f")).drop(*[k + "_f" for k in by])
+
+
+def _with_fences(df: DataFrame, by: Sequence[str], quarts: DataFrame) -> DataFrame:
+    joined = df.join(_fences(quarts, by), same_keys(by, "_f"))
+    return joined.drop(*[k + "_f" for k in by])
+
+
+def _need_category(by: Sequence[str]) -> None:
+    if not by:
+        raise ValueError("box statistics need at least one category column")
 
 
 def box_stats(
@@ -150,20 +172,27 @@ def box_stats(
     """Data of a box plot: quartiles, whiskers (extremes within 1.5 box lengths), counts.
 
     ``method="grouped"`` is one plain plan for tables known to be small, such as a top-N
-    report; otherwise the values are staged once for both passes.
+    report; otherwise the rows are counted by value once and both passes read the counts.
     """
-    narrow = _values(within_limits(df, measure, limits), by, measure, measure)
-    if method != "grouped":
-        narrow = staged(narrow, "box-values")
-    fenced = _with_fences(narrow, by, measure, method, chunks)
-    v = F.col(measure)
+    _need_category(by)
+    counts = value_counts(within_limits(df, measure, limits), by, measure)
+    if method == "exact":
+        counts = staged(counts, "box-counts")
+        quarts = staged(quantiles_of_counts(counts, by, QUARTILES, chunks), "quartiles")
+    else:
+        quarts = quantiles(within_limits(df, measure, limits), by, measure, QUARTILES, method)
+    v, same = F.col("_v"), F.col("_same")
     inside = v.between(F.col("_low_fence"), F.col("_high_fence"))
-    return fenced.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.max(q).alias(q) for q in QUARTILES],
-        F.min(F.when(inside, v)).alias("whisker_low"),
-        F.max(F.when(inside, v)).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"),
+    return (
+        _with_fences(counts, by, quarts)
+        .groupBy(*by)
+        .agg(
+            F.sum(same).alias("n"),
+            *[F.max(q).alias(q) for q in QUARTILES],
+            F.min(F.when(inside, v)).alias("whisker_low"),
+            F.max(F.when(inside, v)).alias("whisker_high"),
+            F.coalesce(F.sum(F.when(~inside, same)), F.lit(0)).alias("n_outliers"),
+        )
     )
 
 
@@ -179,8 +208,12 @@ def outliers(
 
     ``df`` is read several times; hand in a scan or a staged table.
     """
+    _need_category(by)
     df = within_limits(df, measure, limits)
-    fenced = _with_fences(df, by, measure, method, chunks)
+    quarts = quantiles(df, by, measure, QUARTILES, method, chunks)
+    if method != "grouped":
+        quarts = staged(quarts, "quartiles")
+    fenced = _with_fences(df, by, quarts)
     outside = (F.col(measure) < F.col("_low_fence")) | (F.col(measure) > F.col("_high_fence"))
     return fenced.where(outside).drop(*QUARTILES, "_low_fence", "_high_fence")
 

@@ -60,7 +60,8 @@ def in_chunks(df: DataFrame, order: Sequence[Column], chunks: int, name: str) ->
     """``df`` with ``_chunk``, written to the shared folder: chunks follow each other in order.
 
     Rows that tie in the whole order are told apart by a hash, so ties do not fill a chunk
-    either (full copies of one row stay together).
+    either. Full copies of one row stay together: where values repeat, count them first and
+    hand in the counts, as the quantiles do.
     """
     ranged = df.repartitionByRange(max(chunks, 1), *order, any_hash(df))
     return staged(ranged.withColumn("_chunk", F.spark_partition_id()), name)

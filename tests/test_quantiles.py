@@ -7,10 +7,13 @@ from conftest import rows
 from larderline.operators.quantiles import (
     box_stats,
     category_order,
+    chunked_counts,
     exact_quantiles,
     outliers,
     quantiles,
+    value_counts,
 )
+from larderline.session import staged
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +91,38 @@ def test_approximate_is_near(spark):
     assert abs(got.m - 5000) <= 2
     with pytest.raises(ValueError):
         quantiles(df, ["g"], "v", {"m": 0.5}, "other")
+
+
+def test_a_value_of_a_third_of_the_rows_fills_no_chunk(spark):
+    rng = random.Random(9)
+    values = [7.0 if rng.random() < 0.34 else rng.gauss(7, 3) for _ in range(30_000)]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    counts = staged(value_counts(df, ["g"], "v"), "test-counts")
+    sizes = [r["count"] for r in chunked_counts(counts, 12).groupBy("_chunk").count().collect()]
+    assert len(sizes) == 12 and max(sizes) <= 2 * sum(sizes) / 12
+    got = exact_quantiles(df, ["g"], "v", {"q": 0.4, "m": 0.5}, chunks=12).first()
+    assert [got.q, got.m] == pytest.approx(list(np.quantile(values, [0.4, 0.5])))
+
+
+@pytest.mark.parametrize("work", ["quantiles", "box"])
+def test_the_source_is_read_once(spark, work):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    source = spark.range(1000).selectExpr("id % 3 as g", "cast(id % 50 as double) as v")
+    source = source.mapInArrow(counted, source.schema)
+    if work == "quantiles":
+        exact_quantiles(source, ["g"], "v", {"m": 0.5}, chunks=4).collect()
+    else:
+        box_stats(source, ["g"], "v", chunks=4).collect()
+    assert seen.value == 1000
+
+
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([("a", None)], "g string, v double")
+    assert exact_quantiles(df, ["g"], "v", {"m": 0.5}).count() == 0
+    assert box_stats(df, ["g"], "v").count() == 0
