@@ -11,8 +11,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larderline.functions import label_of_rank, numeric_columns, present, rank_of_label
+from larderline.operators.exact import exact_totals
 
 
 def mean_of(df: DataFrame, name: str) -> Column:
@@ -30,14 +32,40 @@ def strict_sum_of(df: DataFrame, name: str) -> Column:
 
 
 SUMMARIES = {"mean": mean_of, "sum": sum_of, "strict_sum": strict_sum_of}
+FLOATING = (T.DoubleType, T.FloatType)
 
 
 def summarise_numeric(
-    df: DataFrame, keys: Sequence[str], how: str = "mean", columns: Sequence[str] | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    how: str = "mean",
+    columns: Sequence[str] | None = None,
+    exact: Sequence[str] = (),
 ) -> DataFrame:
-    """One summary of every numeric column (or of ``columns``) per key, names kept."""
-    columns = numeric_columns(df, keys) if columns is None else columns
-    return df.groupBy(*keys).agg(*[SUMMARIES[how](df, c).alias(c) for c in columns])
+    """One summary of every numeric column (or of ``columns``) per key, names kept.
+
+    Sums and means of the columns in ``exact`` have the same bits in whatever order the rows
+    come, at several times the cost; they are for figures that are ranked or compared later.
+    """
+    columns = list(numeric_columns(df, keys) if columns is None else columns)
+    # Whole numbers and decimals are added without rounding anyway.
+    parted = [c for c in columns if c in exact and isinstance(df.schema[c].dataType, FLOATING)]
+    plain = {c: SUMMARIES[how](df, c) for c in columns if c not in parted}
+    if not parted:
+        return df.groupBy(*keys).agg(*[made.alias(c) for c, made in plain.items()])
+    if how not in ("mean", "sum"):
+        raise ValueError(f"no exact form of {how!r}")
+    totals = exact_totals(df, keys, parted, plain)
+
+    def result(c: str) -> Column:
+        if c in plain:
+            return F.col(f"`{c}`")
+        total = F.col(f"`_sum_{c}`")
+        if how == "sum":
+            return F.coalesce(total, F.lit(0.0)).alias(c)
+        return F.try_divide(total, F.col(f"`_n_{c}`")).alias(c)
+
+    return totals.select(*keys, *[result(c) for c in columns])
 
 
 def two_level(
@@ -47,6 +75,7 @@ def two_level(
     columns: Sequence[str] | None = None,
     inner: str = "sum",
     outer: str = "mean",
+    exact: Sequence[str] = (),
 ) -> DataFrame:
     """Summarise per entity and item, then over the entities of each item.
 
@@ -54,9 +83,9 @@ def two_level(
     total. The denominator is the number of inner groups, not of rows or of the population.
     """
     keys = list(dict.fromkeys([*entity_keys, *item_keys]))
-    per_entity = summarise_numeric(df, keys, inner, columns)
+    per_entity = summarise_numeric(df, keys, inner, columns, exact)
     columns = [c for c in per_entity.columns if c not in keys]
-    return summarise_numeric(per_entity, list(item_keys), outer, columns)
+    return summarise_numeric(per_entity, list(item_keys), outer, columns, exact)
 
 
 def named_sums(

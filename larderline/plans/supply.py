@@ -15,9 +15,9 @@ from larderline.operators.ranking import reorder_top, top_n, top_n_per_class
 from larderline.operators.spread import same_keys
 from larderline.plans.schema import DIARY
 
-# Rankings compare means by their significant digits: equal groups must not be told apart by
-# the noise of summation, and small units must not be rounded away.
-RANK_DIGITS = 9
+# Boxes interpolate between values. That may move the last two of 16 digits, which must not turn
+# one of several equal values into an outlier. Rankings compare all digits.
+BOX_DIGITS = 14
 
 
 def supply_ranking(
@@ -31,27 +31,30 @@ def supply_ranking(
     also: Sequence[str] = (),
     inner: str = "sum",
     outer: str = "mean",
-    digits: int | None = RANK_DIGITS,
 ) -> DataFrame:
     """Top n items by a measure, as a mean over entities of what each had in total.
 
+    Sums and means of the measures that rank are exact: equal groups tie in every run, and a
+    difference in the last digit of a mean ranks.
+
     * no ``entity_keys``: one plain mean per item.
     * ``by_class``: top n within every class, all classes in one pass.
     * ``show_by``: number the chosen rows by another measure.
     * ``also``: further measures to report.
     """
-    measures = list(dict.fromkeys([measure, *([show_by] if show_by else []), *also]))
+    ranked = [measure, *([show_by] if show_by else [])]
+    measures = list(dict.fromkeys([*ranked, *also]))
     classes = [by_class] if by_class else []
     items = list(dict.fromkeys([*classes, *item_keys]))
     if entity_keys:
-        means = two_level(df, entity_keys, items, measures, inner, outer)
+        means = two_level(df, entity_keys, items, measures, inner, outer, ranked)
     else:
-        means = summarise_numeric(df, items, outer, measures)
+        means = summarise_numeric(df, items, outer, measures, ranked)
     if classes:
-        top = top_n_per_class(means, classes, measure, n, items, digits=digits)
+        top = top_n_per_class(means, classes, measure, n, items)
     else:
-        top = top_n(means, measure, n, items, digits)
-    return reorder_top(top, show_by, items, classes, digits=digits) if show_by else top
+        top = top_n(means, measure, n, items)
+    return reorder_top(top, show_by, items, classes) if show_by else top
 
 
 def chart_data(
@@ -60,18 +63,16 @@ def chart_data(
     measure: str,
     by_class: str | None = None,
     limits: tuple[float, float] | None = None,
-    digits: int = RANK_DIGITS,
 ) -> DataFrame:
     """Box-plot data of a top-N report, categories in order of their median.
 
     The report holds n rows per class, so plain grouped medians will do. The order is taken
     before ``limits`` apply, the box after; a category left without rows keeps its place.
-    Means are cut to significant ``digits`` first: noise must not turn equal ones into outliers.
     """
     by = [c for c in (by_class, category) if c]
-    top = top.withColumn(measure, significant(measure, digits))
+    top = top.withColumn(measure, significant(measure, BOX_DIGITS))
     medians = quantiles(top, by, measure, {"order_median": 0.5}, "grouped")
-    in_order = [significant("order_median", digits).asc_nulls_last(), F.col(category)]
+    in_order = [significant("order_median", BOX_DIGITS).asc_nulls_last(), F.col(category)]
     place = Window.partitionBy(*by[:-1]).orderBy(*in_order)
     places = medians.withColumn("place", F.row_number().over(place).cast("bigint"))
     boxes = box_stats(top, by, measure, limits, "grouped").withColumnsRenamed(

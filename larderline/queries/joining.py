@@ -14,7 +14,7 @@ from larderline.operators.joins import (
     write_back,
 )
 from larderline.operators.ranking import top_n
-from larderline.queries.registry import query, rounded, significant_sql, table
+from larderline.queries.registry import exact_mean_sql, query, rounded, table
 
 
 @query(
@@ -206,9 +206,9 @@ def enrich_chain(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "restrict_to_topn",
     f"""with top as (select p_brand, p_type from
-                      (select p_brand, p_type, avg(l_extendedprice) as m
+                      (select p_brand, p_type, {exact_mean_sql("l_extendedprice")} as m
                        from lineitem join part on l_partkey = p_partkey group by all)
-                    order by {significant_sql("m")} desc, p_brand, p_type limit 60)
+                    order by m desc, p_brand, p_type limit 60)
        select l_orderkey, l_linenumber, l_partkey, p_brand, p_type
        from lineitem join part on l_partkey = p_partkey
        where (p_brand, p_type) in (select (p_brand, p_type) from top)""",
@@ -220,6 +220,6 @@ def restrict_to_topn(spark: SparkSession, sf: str) -> DataFrame:
     )
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
     keys = ["p_brand", "p_type"]
-    means = summarise_numeric(joined, keys, "mean", ["l_extendedprice"])
-    top = top_n(means, "l_extendedprice", 60, keys, digits=9)
+    means = summarise_numeric(joined, keys, "mean", ["l_extendedprice"], ["l_extendedprice"])
+    top = top_n(means, "l_extendedprice", 60, keys)
     return restrict_to(joined.drop("l_extendedprice"), top, keys)

@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larderline.operators.aggregates import summarise_numeric
 from larderline.operators.ranking import sort_by, top_n
 from larderline.operators.spread import global_row_number
 from larderline.plans.supply import chart_data, supply_ranking
 from larderline.queries.joining import LINE_CLASS_SQL, line_class, person_class
-from larderline.queries.registry import query, rounded, significant_sql, table
+from larderline.queries.registry import (
+    exact_mean_sql,
+    exact_sum_sql,
+    query,
+    rounded,
+    significant_sql,
+    table,
+)
 
 ENTITY = ["o_custkey", "l_partkey", "p_type", "p_brand"]
 ITEM = ["p_type", "p_brand"]
+PRICED = ["l_quantity", "l_extendedprice"]
 
 TWO_LEVEL_SQL = f"""{LINE_CLASS_SQL},
     per_person as (
       select p.person_class, l.o_custkey, l_partkey, p_type, p_brand,
-             sum(l_quantity) as l_quantity, sum(l_extendedprice) as l_extendedprice
+             {exact_sum_sql("l_quantity")} as l_quantity,
+             {exact_sum_sql("l_extendedprice")} as l_extendedprice
       from line_class l join person_class p on l.o_custkey = p.o_custkey group by all)"""
 
 
@@ -28,20 +38,17 @@ def classed_lines(spark: SparkSession, sf: str) -> DataFrame:
     person and part, however often one person occurs.
     """
     lines = line_class(spark, sf)
-    sums = lines.groupBy(*ENTITY).agg({"l_quantity": "sum", "l_extendedprice": "sum"})
-    sums = sums.withColumnsRenamed(
-        {"sum(l_quantity)": "l_quantity", "sum(l_extendedprice)": "l_extendedprice"}
-    )
+    sums = summarise_numeric(lines, ENTITY, "sum", PRICED, PRICED)
     return sums.join(person_class(lines), "o_custkey")
 
 
 @query(
     "topn_global",
     f"""with {TWO_LEVEL_SQL}
-        select p_type, p_brand, round(avg(l_extendedprice) + 1e-7, 4) as l_extendedprice,
-               round(avg(l_quantity) + 1e-7, 4) as l_quantity
+        select p_type, p_brand, round({exact_mean_sql("l_extendedprice")} + 1e-7, 4) as l_extendedprice,
+               round({exact_mean_sql("l_quantity")} + 1e-7, 4) as l_quantity
         from per_person group by p_type, p_brand
-        order by {significant_sql("avg(per_person.l_extendedprice)")} desc, p_type, p_brand limit 60""",
+        order by {exact_mean_sql("per_person.l_extendedprice")} desc, p_type, p_brand limit 60""",
 )
 def topn_global(spark: SparkSession, sf: str) -> DataFrame:
     top = supply_ranking(
@@ -53,9 +60,9 @@ def topn_global(spark: SparkSession, sf: str) -> DataFrame:
 TOP_PER_CLASS_SQL = f"""with {TWO_LEVEL_SQL},
     ranked as (
       select *, row_number() over (partition by person_class
-                                   order by {significant_sql("price")} desc, p_type, p_brand) as position
-      from (select person_class, p_type, p_brand, avg(l_extendedprice) as price,
-                   avg(l_quantity) as quantity
+                                   order by price desc, p_type, p_brand) as position
+      from (select person_class, p_type, p_brand, {exact_mean_sql("l_extendedprice")} as price,
+                   {exact_mean_sql("l_quantity")} as quantity
             from per_person group by all))"""
 
 
@@ -78,7 +85,7 @@ def topn_per_class(spark: SparkSession, sf: str) -> DataFrame:
     + f"""select person_class, p_type, p_brand, round(price + 1e-7, 4) as l_extendedprice,
                 round(quantity + 1e-7, 4) as l_quantity, position,
                 row_number() over (partition by person_class
-                                   order by {significant_sql("quantity")} desc, p_type, p_brand) as shown_at
+                                   order by quantity desc, p_type, p_brand) as shown_at
          from ranked where position <= 60""",
 )
 def topn_then_reorder(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,8 +104,8 @@ def topn_then_reorder(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "supply_small_units",
     f"""select p_brand, p_type from (
-         select p_brand, p_type, avg(p_retailprice * 1e-11::double) as tiny from part group by all)
-       order by {significant_sql("tiny")} desc, p_brand, p_type limit 20""",
+         select p_brand, p_type, {exact_mean_sql("p_retailprice * 1e-11::double")} as tiny from part group by all)
+       order by tiny desc, p_brand, p_type limit 20""",
 )
 def supply_small_units(spark: SparkSession, sf: str) -> DataFrame:
     # Means near 1e-8: what an absolute rounding would make equal.

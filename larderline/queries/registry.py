@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larderline.plans.supply import BOX_DIGITS
 from larderline.session import prepare
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -42,13 +43,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def significant_sql(x: str, digits: int = 9) -> str:
+def significant_sql(x: str, digits: int = BOX_DIGITS) -> str:
     """SQL twin of ``functions.significant``."""
     scale = f"pow(10.0::double, {digits - 1} - floor(log10(abs({x}))))"
     usable = f"abs({x}) > 1e-280 and abs({x}) < 1e280"
     return f"case when {usable} then round({x} * {scale}) / {scale} else {x} end"
 
 
+def exact_sum_sql(x: str) -> str:
+    """SQL twin of an exact sum: multiples of 2**-80 in 128 bits, rounded alike."""
+
+    def rounded(s: str) -> str:
+        middle, low = f"(({s} >> 62) & {2**62 - 1})::double", f"({s} & {2**62 - 1})::double"
+        return f"((({s} >> 124)::double * {2.0**44} + {middle} * {2.0**-18}) + {low} * {2.0**-80})"
+
+    return (
+        f"list_transform([sum(trunc(({x})::double * {2.0**80})::hugeint)], lambda s: "
+        f"case when s < 0 then -{rounded('(-s)')} else {rounded('s')} end)[1]"
+    )
+
+
+def exact_mean_sql(x: str) -> str:
+    return f"({exact_sum_sql(x)} / count({x}))"
+
+
 # Means of two-digit amounts often lie exactly between two rounded values. Both engines add this
 # nudge first, so that noise in the last bits cannot send them different ways.
 NUDGE = 1e-7

@@ -24,7 +24,7 @@ from larderline.plans.enrichment import (
     top_groups,
     with_matches,
 )
-from larderline.queries.registry import significant_sql, table
+from larderline.queries.registry import exact_mean_sql, exact_sum_sql, table
 from larderline.session import staged
 
 MEASURES = [
@@ -306,10 +306,10 @@ MATCHES_SQL = f"""
 TOP_GROUPS_SQL = f"""
     top_groups as (
       select {", ".join(GROUPS)} from (
-        select {", ".join(GROUPS)}, avg(Proteing) as m from (
-          select seriali, DayNo, {", ".join(GROUPS)}, coalesce(sum(Proteing), 0) as Proteing
+        select {", ".join(GROUPS)}, {exact_mean_sql("Proteing")} as m from (
+          select seriali, DayNo, {", ".join(GROUPS)}, coalesce({exact_sum_sql("Proteing")}, 0) as Proteing
           from classified group by all) group by all)
-      order by {significant_sql("m")} desc, {", ".join(GROUPS)} limit 60)"""
+      order by m desc nulls last, {", ".join(GROUPS)} limit 60)"""
 
 # Top groups with contents; the rest of the chain as the jobs define it.
 ENRICHED_SQL = f"""{CLASSIFIED_SQL}, {MATCHES_SQL}, {TOP_GROUPS_SQL},

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larderline.plans.supply import REPORTS, SupplyReport, reported_servings
 from larderline.queries import standin
-from larderline.queries.registry import query, rounded, significant_sql
+from larderline.queries.registry import exact_mean_sql, exact_sum_sql, query, rounded, significant_sql
 
 DIET = "Overall_Diet"
 BOX = ["q1", "median", "q3", "whisker_low", "whisker_high"]
@@ -23,8 +23,13 @@ def _ranked_sql(report: SupplyReport) -> str:
     items = list(dict.fromkeys([*([DIET] if report.by_class else []), *report.item]))
     keys = list(dict.fromkeys([*report.entity, *items]))
     measures = _measures(report)
-    sums = ", ".join(f"coalesce(sum({m}), 0) as {m}" for m in measures)
-    means = ", ".join(f"avg({m}) as {m}" for m in measures)
+    ranked = {report.measure, report.show_by}
+    sums = ", ".join(
+        f"coalesce({exact_sum_sql(m) if m in ranked else f'sum({m})'}, 0) as {m}" for m in measures
+    )
+    means = ", ".join(
+        f"{exact_mean_sql(m) if m in ranked else f'avg({m})'} as {m}" for m in measures
+    )
     inner = (
         f"(select {', '.join(keys)}, {sums} from {source} group by all)"
         if report.entity
@@ -33,7 +38,7 @@ def _ranked_sql(report: SupplyReport) -> str:
     part = f"partition by {DIET}" if report.by_class else ""
     order = ", ".join(items)
     shown = (
-        f""", row_number() over ({part} order by {significant_sql(report.show_by)} desc nulls last,
+        f""", row_number() over ({part} order by {report.show_by} desc nulls last,
                                  {order}) as shown_at"""
         if report.show_by
         else ""
@@ -41,7 +46,7 @@ def _ranked_sql(report: SupplyReport) -> str:
     return f"""with {base},
         means as (select {order}, {means} from {inner} group by {order}),
         numbered as (
-          select *, row_number() over ({part} order by {significant_sql(report.measure)} desc nulls last,
+          select *, row_number() over ({part} order by {report.measure} desc nulls last,
                                        {order}) as position from means),
         top as (select *{shown} from numbered where position <= {report.n})"""
 
