@@ -23,6 +23,7 @@ from larderline.session import staged
 HASHES = 64
 STEPS = (16, 32, 64)
 WINDOW = 24
+LEFT, RIGHT = 1, 2
 
 
 def tuned_bands(hashes: int, threshold: float, missed: float = 1e-3) -> tuple[int, int]:
@@ -242,9 +243,9 @@ def shared_runs(docs: DataFrame, seeds: DataFrame, lines: DataFrame, around: int
 
     ``seeds`` are the windows that several documents have. Only stretches that no paragraph cut
     covers keep anything, so each cut word stands in an earlier document, and there, if it is
-    cut too, in a still earlier one. A seed within ``around`` words of which something stays is
-    extended: by what it shares with the first keeper of its window, and, where that ends, by the
-    longest run it shares with any other earlier keeper.
+    cut too, in a still earlier one. A seed is extended to the sides on which something stays
+    within ``around`` words: by what it shares with the first keeper of its window, and, where that
+    ends, by the longest run it shares with any other earlier keeper.
     """
     by = ["doc_id", "mark"]
     cuts = lines.groupBy(*by).agg(
@@ -284,9 +285,9 @@ def shared_runs(docs: DataFrame, seeds: DataFrame, lines: DataFrame, around: int
     same = staged(single.drop("whole").join(keepers, "window").where("keeper < doc_id"), "same")
     whole = same.groupBy(*by).agg(F.collect_list(F.struct("window", "at")).alias("shared"))
 
-    def open_ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def open_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            windows, sides = [], []
             for part, cut in zip(
                 batch.column("shared").to_pylist(), batch.column("gone").to_pylist()
             ):
@@ -296,137 +297,204 @@ def shared_runs(docs: DataFrame, seeds: DataFrame, lines: DataFrame, around: int
                 )
                 bare = np.concatenate([[0], np.cumsum(~mask)])
                 for x in part:
-                    low, high = max(x["at"] - around, 0), x["at"] + WINDOW + around
-                    if high > len(mask) or bare[high] > bare[low]:
-                        out.append(x["window"])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["window"])
-
-    wanted = whole.join(held.select(*by, "gone"), by).mapInArrow(open_ended, "window bigint")
-    wanted = staged(wanted.distinct(), "open")
-    extended = single.join(wanted, "window", "left_semi").groupBy(*by).agg(
-        F.collect_list(F.struct("window", "at")).alias("seeds"), F.count(F.lit(1)).alias("_n")
+                    low, end = max(x["at"] - around, 0), x["at"] + WINDOW
+                    high = end + around
+                    if bare[x["at"]] > bare[low]:
+                        windows.append(x["window"])
+                        sides.append(LEFT)
+                    if high > len(mask) or bare[high] > bare[end]:
+                        windows.append(x["window"])
+                        sides.append(RIGHT)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(windows, pa.int64()), pa.array(sides, pa.int32())],
+                names=["window", "side"],
+            )
+
+    wanted = whole.join(held.select(*by, "gone"), by).mapInArrow(
+        open_sides, "window bigint, side int"
+    )
+    wanted = staged(
+        wanted.groupBy("window").agg(F.collect_set("side").alias("sides")), "open"
+    )
+    extended = single.join(wanted, "window").groupBy(*by).agg(
+        F.collect_list(F.struct("window", "at", "sides")).alias("seeds"),
+        F.count(F.lit(1)).alias("_n"),
     )
     extended = staged(extended.join(held.select(*by, "gone"), by), "extended").where("_n >= 1")
     texts = docs.select(*by, "text").join(extended, by)
     near_by = staged(_surroundings(texts, around), "surroundings")
-    columns = ["doc_id", "mark", "at", "left", "right", "free_left", "free_right"]
-    first = near_by.groupBy("window").agg(
-        F.min(F.when(F.col("whole"), F.struct(*columns))).alias("first"),
+    place = ["window", "side", *by, "at"]
+    first = near_by.groupBy("window", "side").agg(
+        F.min(F.when(F.col("whole"), F.struct(*by, "at", "words", "free"))).alias("first"),
         F.count(F.lit(1)).alias("places"),
     )
-    pairs = near_by.join(first.where("first is not null"), "window").select(
-        "window", *columns, "whole", "places", F.col("first.doc_id").alias("keeper"),
-        F.col("first.left").alias("left_2"), F.col("first.right").alias("right_2"),
-        F.col("first.free_left").alias("free_left_2"),
-        F.col("first.free_right").alias("free_right_2"),
+    pairs = near_by.join(first.where("first is not null"), ["window", "side"]).select(
+        *place, "words", "free", "whole", "places", F.col("first.doc_id").alias("keeper"),
+        F.col("first.words").alias("words_2"), F.col("first.free").alias("free_2"),
     )
-    more = staged(_extensions(pairs, around), "runs")
-    further = more.where("key is not null")
-    givers = further.where("gives").groupBy("key").agg(F.min("doc_id").alias("keeper"))
-    longest = further.drop("keeper").join(givers, "key").where("keeper < doc_id")
-    longest = longest.groupBy(*by, "seed", F.expr("at < seed").alias("_before")).agg(
-        F.max(F.struct(F.expr("to - at").alias("n"), "at", "to", "keeper")).alias("x")
+    reach = staged(_reached(pairs), "reach")
+    longer = staged(_longer_runs(near_by, reach, around), "longer")
+    start = F.when(F.col("side") == LEFT, F.col("at") - F.col("n")).otherwise(F.col("at"))
+    stop = F.when(F.col("side") == LEFT, F.lit(0)).otherwise(F.col("n"))
+    runs = same.select(*by, "at", (F.col("at") + WINDOW).alias("to"), "keeper")
+    for part in (reach.where("keeper < doc_id"), longer):
+        runs = runs.unionByName(
+            part.select(
+                *by, start.alias("at"), (F.col("at") + WINDOW + stop).alias("to"), "keeper"
+            )
+        )
+    return runs
+
+
+def _longer_runs(near_by: DataFrame, reach: DataFrame, around: int) -> DataFrame:
+    """Where a seed's run with its first keeper ends, the longest run that it shares with any other
+    earlier keeper: its place, ``n`` words and that ``keeper``.
+
+    Whoever shares more words with a seed than the first keeper does, shares as many with the first
+    keeper as the seed. So one key for one more word tells which seeds of different documents go on
+    together, and only those are followed further.
+    """
+    place = ["window", "side", "doc_id", "mark", "at"]
+    going = reach.where("key is not null")
+    together = going.groupBy("key").agg(
+        F.min(F.when(F.col("gives"), F.col("doc_id"))).alias("_giver"),
+        F.max("doc_id").alias("_last"),
+    )
+    together = staged(together.where("_giver < _last").select("key"), "together")
+    alive = staged(going.join(together, "key", "left_semi").select(*place, "n"), "alive")
+    steps = staged(_stretches(near_by.join(alive, place), around), "steps")
+    givers = steps.where("gives").groupBy("key").agg(F.min("doc_id").alias("keeper"))
+    found = steps.join(givers, "key").where("keeper < doc_id")
+    return (
+        found.groupBy(*place)
+        .agg(F.max(F.struct("n", "keeper")).alias("x"))
+        .select(*place, "x.n", "x.keeper")
     )
-    runs = [
-        same.select(*by, "at", (F.col("at") + WINDOW).alias("to"), "keeper"),
-        more.where("key is null").select(*by, "at", "to", "keeper"),
-        longest.select(*by, "x.at", "x.to", "x.keeper"),
-    ]
-    return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
 def _surroundings(texts: DataFrame, around: int) -> DataFrame:
-    """Each seed with the hashes of the words before and behind it, outwards (0: no word), how many
+    """Each seed and wanted side with the hashes of the words there, outwards (0: no word), how many
     of them no paragraph cut covers, and whether it covers the seed itself."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches, "text"):
             words = W.words_of(batch.column("text"))
             cut = np.zeros(len(words.hash) + 1, dtype=bool)
-            own, at, window = [], [], []
+            own, at, window, sides = [], [], [], []
             seeds, gone = batch.column("seeds").to_pylist(), batch.column("gone").to_pylist()
             for i, (part, lost) in enumerate(zip(seeds, gone)):
                 low, high = words.first[i], words.first[i + 1]
                 cut[low:high] = _covered([(x["at"], x["to"]) for x in lost or []], high - low)
-                own += [i] * len(part)
-                at += [x["at"] for x in part]
-                window += [x["window"] for x in part]
+                for x in part:
+                    own += [i] * len(x["sides"])
+                    at += [x["at"]] * len(x["sides"])
+                    window += [x["window"]] * len(x["sides"])
+                    sides += x["sides"]
             own, at = np.array(own, dtype=np.int64), np.array(at, dtype=np.int64)
+            sides = np.array(sides, dtype=np.int32)
             begin = words.first[own] + at
-            inside = begin[:, None] + np.arange(WINDOW)
-            whole = ~cut[inside].any(axis=1)
-            columns = []
-            for places in (
-                begin[:, None] - 1 - np.arange(around), begin[:, None] + WINDOW + np.arange(around)
-            ):
-                there = (places >= words.first[own][:, None]) & (
-                    places < words.first[own + 1][:, None]
-                )
-                spot = np.where(there, places, 0)
-                hashes = np.where(there, np.maximum(words.hash[spot], np.uint64(1)), np.uint64(0))
-                free = np.logical_and.accumulate(there & ~cut[spot], axis=1).sum(axis=1)
-                columns += [near.binary_column(hashes), pa.array(free.astype(np.int32))]
+            whole = ~cut[begin[:, None] + np.arange(WINDOW)].any(axis=1)
+            out = np.arange(around)
+            places = np.where(
+                (sides == LEFT)[:, None], begin[:, None] - 1 - out, begin[:, None] + WINDOW + out
+            )
+            there = (places >= words.first[own][:, None]) & (places < words.first[own + 1][:, None])
+            spot = np.where(there, places, 0)
+            hashes = np.where(there, np.maximum(words.hash[spot], np.uint64(1)), np.uint64(0))
+            free = np.logical_and.accumulate(there & ~cut[spot], axis=1).sum(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(window, pa.int64()),
+                    pa.array(sides),
                     batch.column("doc_id").take(pa.array(own)),
                     batch.column("mark").take(pa.array(own)),
-                    pa.array(at.astype(np.int32)), *columns, pa.array(whole),
+                    pa.array(at.astype(np.int32)),
+                    near.binary_column(hashes),
+                    pa.array(free.astype(np.int32)),
+                    pa.array(whole),
                 ],
-                names=["window", "doc_id", "mark", "at", "left", "free_left", "right",
-                       "free_right", "whole"],
-            )
+                names=["window", "side", "doc_id", "mark", "at", "words", "free", "whole"],
+            )
 
     return texts.mapInArrow(
         look,
-        "window bigint, doc_id bigint, mark int, at int, left binary, free_left int, "
-        "right binary, free_right int, whole boolean",
+        "window bigint, side int, doc_id bigint, mark int, at int, words binary, free int, "
+        "whole boolean",
     )
 
 
-def _extensions(pairs: DataFrame, around: int) -> DataFrame:
-    """The run that each seed shares with its first keeper and, with ``key``, all longer stretches
-    to one side, of which other documents may have the same (``gives``: and keep it)."""
-    names = ["doc_id", "mark", "seed", "at", "to", "keeper", "key", "gives"]
+def _stretch_keys(batch: pa.RecordBatch, words: np.ndarray) -> Iterator[np.ndarray]:
+    """For 1, 2, ... words: one hash of window, side and so many words outwards."""
+    side = batch.column("side").to_numpy().astype(np.uint64)
+    value = W.mixed(batch.column("window").to_numpy().view(np.uint64) + side)
+    for j in range(words.shape[1]):
+        value = W.mixed(value * W.STEPS[0] + words[:, j])
+        yield value
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _reached(pairs: DataFrame) -> DataFrame:
+    """How many words each place shares with its first keeper (``n``) and, where it goes on, the
+    key of one more word, and whether its document keeps those (``gives``)."""
+    names = ["window", "side", "doc_id", "mark", "at", "n", "keeper", "key", "gives"]
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
-            side = lambda c: near.matrix(pa.chunked_array([batch.column(c)]), np.uint64)
-            seed, doc, keeper = get("at"), get("doc_id"), get("keeper")
-            mark, whole, several = get("mark"), get("whole"), get("places") > 2
-            shared, rows = {}, []
-            for name, salt in (("left", 1), ("right", 2)):
-                one, two = side(name), side(name + "_2")
-                alike = np.logical_and.accumulate((one == two) & (one > 0), axis=1).sum(axis=1)
-                shared[name] = n = np.minimum(alike, get(f"free_{name}_2")).astype(np.int32)
-                value = W.mixed(get("window").view(np.uint64) + np.uint64(salt))
-                for j in range(around):
-                    value = W.mixed(value * W.STEPS[0] + one[:, j])
-                    pick = np.flatnonzero(several & (n <= j) & (one[:, j] > 0))
-                    before, behind = (j + 1, 0) if name == "left" else (0, j + 1)
-                    rows.append(
-                        (doc[pick], mark[pick], seed[pick], seed[pick] - before,
-                         seed[pick] + WINDOW + behind, np.full(len(pick), -1), value[pick],
-                         whole[pick] & (get(f"free_{name}")[pick] > j))
-                    )
-            pick = np.flatnonzero(keeper < doc)
-            own = (doc[pick], mark[pick], seed[pick], (seed - shared["left"])[pick],
-                   (seed + WINDOW + shared["right"])[pick], keeper[pick])
-            kinds = (np.int64, np.int32, np.int32, np.int32, np.int32, np.int64)
-            columns = [pa.array(x.astype(k)) for x, k in zip(own, kinds)]
-            columns += [pa.nulls(len(pick), pa.int64()), pa.nulls(len(pick), pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-            rows = [np.concatenate(x) for x in zip(*rows)]
-            columns = [pa.array(x.astype(k)) for x, k in zip(rows, kinds)]
-            columns += [pa.array(rows[6].view(np.int64)), pa.array(rows[7].astype(bool))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            one = near.matrix(pa.chunked_array([batch.column("words")]), np.uint64)
+            two = near.matrix(pa.chunked_array([batch.column("words_2")]), np.uint64)
+            alike = np.logical_and.accumulate((one == two) & (one > 0), axis=1).sum(axis=1)
+            n = np.minimum(alike, get("free_2"))
+            key, goes_on = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=bool)
+            for j, value in enumerate(_stretch_keys(batch, one)):
+                key = np.where(n == j, value, key)
+                goes_on |= (n == j) & (one[:, j] > 0)
+            goes_on &= get("places") > 2
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in names[:5]),
+                    pa.array(n.astype(np.int32)),
+                    batch.column("keeper"),
+                    pa.array(key.view(np.int64), mask=~goes_on),
+                    pa.array(get("whole") & (get("free") > n)),
+                ],
+                names=names,
+            )
 
     return pairs.mapInArrow(
+        reach,
+        "window bigint, side int, doc_id bigint, mark int, at int, n int, keeper bigint, "
+        "key bigint, gives boolean",
+    )
+
+
+def _stretches(places: DataFrame, around: int) -> DataFrame:
+    """All stretches of each place that are longer than ``n`` words, by key."""
+    names = ["window", "side", "doc_id", "mark", "at", "n", "key", "gives"]
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            one = near.matrix(pa.chunked_array([batch.column("words")]), np.uint64)
+            for j, value in enumerate(_stretch_keys(batch, one)):
+                pick = np.flatnonzero((get("n") <= j) & (one[:, j] > 0))
+                gives = get("whole")[pick] & (get("free")[pick] > j)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c).take(pa.array(pick)) for c in names[:5]),
+                        pa.array(np.full(len(pick), j + 1, dtype=np.int32)),
+                        pa.array(value[pick].view(np.int64)),
+                        pa.array(gives),
+                    ],
+                    names=names,
+                )
+
+    return places.mapInArrow(
         extend,
-        "doc_id bigint, mark int, seed int, at int, to int, keeper bigint, key bigint, gives boolean",
+        "window bigint, side int, doc_id bigint, mark int, at int, n int, key bigint, gives boolean",
     )
 
 
@@ -508,10 +576,14 @@ def in_bytes(texts: pa.Array, lists: list) -> list:
     words = W.words_of(texts.take(pa.array(some, pa.int64())))
     for k, i in enumerate(some):
         base = words.offsets[k]
-        for c in lists[i]:
-            if c["part"] is None:
-                first, last = words.first[k] + c["start"], words.first[k] + c["stop"] - 1
-                c["start"], c["stop"] = int(words.start[first] - base), int(words.end[last] - base)
+        passages = [c for c in lists[i] if c["part"] is None]
+        inside = _covered([(c["start"], c["stop"]) for c in passages])
+        for c in passages:
+            first, behind = words.first[k] + c["start"], words.first[k] + c["stop"]
+            # What stands between two cuts that touch goes with them.
+            touches = c["stop"] < len(inside) and inside[c["stop"]]
+            end = words.start[behind] if touches else words.end[behind - 1]
+            c["start"], c["stop"] = int(words.start[first] - base), int(end - base)
     return lists
 
 
