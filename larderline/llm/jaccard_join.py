@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larderline.llm import near
 from larderline.llm import words as W
@@ -25,6 +26,7 @@ def jaccard_join(
     tolerance: float = 1e-6,
     doc_id: str = "doc_id",
     text: str = "text",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Documents whose sets of ``size``-word shingles have a Jaccard similarity of at least
     ``threshold``: ``doc_id``, ``class_id``, ``n_links``.
@@ -40,9 +42,11 @@ def jaccard_join(
     A text with fewer words than ``size`` has one shingle of all of them. Texts without words
     are linked with equal texts only; missing and empty ones with nothing. Rows without an id
     stay alone and have no class. Repeated rows are copies. An empty table gives no rows;
-    other columns are not looked at.
+    other columns are not looked at, and only those in ``keep`` are returned with their row.
     """
-    sketch = staged(_sketches(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), size), "sketch")
+    kept = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("_kept")
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), kept)
+    sketch = staged(_sketches(named, size), "sketch")
     nodes = sketch.where("node is not null and doc_id is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"),
         F.count(F.lit(1)).alias("copies"),
@@ -78,10 +82,12 @@ def jaccard_join(
         "node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     key = F.when(F.col("doc_id").isNotNull(), F.col("node"))
-    return sketch.select("doc_id", key.alias("node")).join(of_node, "node", "left").select(
+    own = sketch.select("doc_id", key.alias("node"), "_kept")
+    return own.join(of_node, "node", "left").select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        *[F.col("_kept").getField(c).alias(c) for c in keep],
     )
 
 
@@ -99,15 +105,22 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
                     pa.array(n.astype(np.int64)),
                     near.binary_column(hashes),
                     near.list_column(near.band_keys(hashes, BANDS, ROWS), n > 0),
+                    batch.column("_kept"),
                 ],
-                names=["doc_id", "node", "shingles", "sketch", "bands"],
+                names=["doc_id", "node", "shingles", "sketch", "bands", "_kept"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(
-        sketch,
-        f"doc_id {kind}, node binary, shingles bigint, sketch binary, bands array<bigint>",
+    made = T.StructType(
+        [
+            docs.schema["doc_id"],
+            T.StructField("node", T.BinaryType()),
+            T.StructField("shingles", T.LongType()),
+            T.StructField("sketch", T.BinaryType()),
+            T.StructField("bands", T.ArrayType(T.LongType())),
+            docs.schema["_kept"],
+        ]
     )
+    return docs.mapInArrow(sketch, made)
 
 
 def _same_node(rows: DataFrame) -> DataFrame:

@@ -139,6 +139,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             stop = max(int(np.searchsorted(total, before + PIECE_BYTES, "right")), at + 1)
             yield batch.slice(at, stop - at)
             at = stop
+    # Workers are used again: what one stage held must not add to what the next one needs.
+    pa.default_memory_pool().release_unused()
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

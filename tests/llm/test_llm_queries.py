@@ -72,6 +72,29 @@ def test_stages_take_effect(spark):
     assert None in left
 
 
+def test_rows_of_one_id_go_by_their_own_text(spark):
+    copied = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"other{i * 7}" for i in range(60))
+    docs = spark.createDataFrame(
+        [(1, copied, "a"), (2, copied, "b"), (2, other, "c"), (2, other, "c"), (3, None, None)],
+        "doc_id bigint, text string, _mark string",
+    )
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert rows(kept, "doc_id", "_mark") == [(1, copied, "a"), (2, other, "c"), (3, None, None)]
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame(
+        [(i, "some words here", "s", i, "t", "u") for i in range(20)],
+        "doc_id bigint, text string, source string, size int, target string, target_document string",
+    )
+    mixed = corpus_pipeline.mix(spark, docs, SF)
+    assert {"size_document", "target_document_document", "target_document", "text"} <= set(mixed.columns)
+    for r in mixed.collect():
+        assert (r.size, r.size_document, r.target_document_document, r.target_document) == (3, r.doc_id, "t", "u")
+
+
 def test_pipeline_of_empty_tables(spark):
     now = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
