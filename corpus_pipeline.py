@@ -43,22 +43,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that of least id.
 
-    Documents without an id are in no class and stay. Of rows with the same id and text one
-    stays.
+    Documents without an id are in no class and stay. Rows of one id are dropped each by its own
+    text. Of rows with the same id and text one stays.
     """
-    classes = staged(jaccard_join.jaccard_join(docs.select("doc_id", "text")), "classes")
+    apart = _apart(docs, "doc_id", "text").withColumn("_mark", F.xxhash64("text"))
+    classes = staged(
+        jaccard_join.jaccard_join(apart.select("doc_id", "text", "_mark"), keep=["_mark"]),
+        "classes",
+    )
     # Merge joins at every size: the texts are moved once, the ids never broadcast.
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct().hint("merge")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    key = ["doc_id", "_mark"]
+    gone = classes.where("doc_id <> class_id").select(*key).distinct().hint("merge")
+    kept = apart.join(gone, key, "left_anti")
     repeated = staged(
         classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
         .select("doc_id"),
         "repeated",
     )
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    if not repeated.isEmpty():
+        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return _together(kept, docs, "doc_id", "text")
 
 
 def drop_repeated_parts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,9 +85,19 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix with their copies and words, then their other columns."""
-    made = ["doc_id", "source", "size", "source_size", "target", "copies", "taken"]
-    keep = [c for c in docs.columns if c not in made]
+    """The documents of the mix with their copies and words, then their other columns.
+
+    A column named like a figure of the mix gets ``_document`` behind its name.
+    """
+    own, made = ["doc_id", "source"], ["size", "source_size", "target", "copies", "taken"]
+    names = {}
+    for c in docs.columns:
+        new = c
+        while new in made or (new != c and new in docs.columns):
+            new += "_document"
+        names[c] = new
+    docs = docs.withColumnsRenamed(names)
+    keep = [c for c in docs.columns if c not in own]
     return mixing.mix_sources(docs, keep=keep).where("copies > 0")
 
 
