@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 U64 = np.uint64
 
 _table = np.random.default_rng(2026)
@@ -129,7 +129,7 @@ def words_of(column: pa.Array) -> Words:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the texts of each come to a few megabytes, or to one long text."""
+    """Batches cut so that the texts of each come to a megabyte, or to one long text."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         total = np.cumsum(sizes)
