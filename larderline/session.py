@@ -8,17 +8,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings the jobs rely on. Adaptive execution turns joins into broadcasts only
-# after it has measured the side, merges small shuffle partitions and splits skewed ones.
-# The "force" flag keeps the skew split even where a later aggregate could have reused the
-# join's partitioning: one more exchange is cheaper than one task with a third of the rows.
+# Runtime settings that the jobs need. With adaptive execution a join becomes a broadcast only
+# after its side was measured, small shuffle partitions are joined and skewed ones are split.
+# The "force" flag splits them even where a later aggregate could have kept the join's
+# partitioning: better one more exchange than one task with a third of the rows.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # A filter of fixed size on the keys of the small side spares most of a large table the
-    # shuffle when a join keeps few of its rows.
+    # Where a join keeps few rows of a large table, a filter of fixed size on the keys of its
+    # small side takes out most of the others before the shuffle.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "16MB",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256MB",
@@ -26,7 +26,7 @@ RUNTIME_CONF = {
 
 
 def build_session(app: str = "larderline", master: str | None = None, **conf: str) -> SparkSession:
-    """Create a session with the settings above; keyword names use ``__`` for dots."""
+    """Create a session with the settings above; ``spark__ui__enabled`` sets ``spark.ui.enabled``."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -38,7 +38,7 @@ def build_session(app: str = "larderline", master: str | None = None, **conf: st
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else created."""
+    """Apply the runtime settings to a given session."""
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -66,23 +66,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; never reused, so nothing is overwritten.
+    """A new path in the shared folder, used once.
 
     What is written there belongs to the session and is removed when the driver's JVM ends.
     """
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4()}")
+    system, target = _located(spark, path)
     system.deleteOnExit(target)
     return path
 
 
+def _located(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write an intermediate result to the shared folder and read it back.
 
-    Later steps then start from a finished table: its plan is not run again for each of
+    Later steps then start from a table on disk: its plan is not run again for each of
     them, a lost executor costs nothing, and Spark knows its size when it picks a join.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of staged tables whose readers have all been written."""
+    for table in tables:
+        system, target = _located(table.sparkSession, table.staged_path)
+        system.delete(target, True)
