@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larderline.llm import near
 from larderline.llm import words as W
-from larderline.session import staged
+from larderline.session import discard, staged
 
 HASHES = 64
 STEPS = (16, 32, 64)
@@ -178,10 +179,11 @@ def repeated_parts(
     plan = near.matches_needed(threshold, 1e-6, STEPS)
     edges = near.pruned_edges(groups.join(first.select("node", "sketch"), "node"), plan)
     rows = near.components(edges).join(first.drop("sketch", "window"), "node")
-    rows = staged(rows.withColumn("copies", F.lit(1).cast("bigint")), "components")
-    rows = staged(rows.join(near.block_counts(rows), "component"), "blocks")
+    components = staged(rows.withColumn("copies", F.lit(1).cast("bigint")), "components")
+    blocks = components.join(near.block_counts(components), "component")
+    blocks = staged(blocks, "blocks")
     # Holds for all rows; see the Jaccard join.
-    rows = rows.where("_blocks >= 1")
+    rows = blocks.where("_blocks >= 1")
     texts = docs.select("doc_id", "mark", "text").join(rows, ["doc_id", "mark"])
     found = staged(near.verified(_paragraph_texts(texts), size, threshold), "links")
     classes = near.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -198,13 +200,14 @@ def repeated_parts(
         known, "node"
     )
     lines = staged(lines.drop("node", "copies"), "lines")
+    discard(nodes, first, groups, components, blocks, found)
     windows = parts.where("window is not null").select("window", "doc_id", "mark", "at")
     twice = windows.groupBy("window").agg(
         F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")
     )
     twice = staged(twice.where("_first < _last"), "windows").where("_first < _last")
     seeds = windows.join(twice.select("window"), "window")
-    runs = shared_runs(docs, seeds, lines, passage - WINDOW)
+    runs = shared_runs(docs, seeds, lines, passage - WINDOW, done=parts)
     columns = ["doc_id", "mark", "start", "stop", "keeper", "part"]
     return lines.select(*columns).unionByName(
         runs.select(
@@ -237,9 +240,12 @@ def _covered(held, words: int | None = None) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def shared_runs(docs: DataFrame, seeds: DataFrame, lines: DataFrame, around: int) -> DataFrame:
+def shared_runs(
+    docs: DataFrame, seeds: DataFrame, lines: DataFrame, around: int, done: DataFrame
+) -> DataFrame:
     """Runs of words that an earlier document has and keeps: ``doc_id``, ``mark``, ``at``, ``to``
-    (words) and ``keeper``.
+    (words) and ``keeper``. ``done`` is the staged table of the seeds; it goes when they are dealt
+    out by document.
 
     ``seeds`` are the windows that several documents have. Only stretches that no paragraph cut
     covers keep anything, so each cut word stands in an earlier document, and there, if it is
@@ -276,6 +282,7 @@ def shared_runs(docs: DataFrame, seeds: DataFrame, lines: DataFrame, around: int
         ),
         "seeds",
     )
+    discard(done)
     single = held.select(*by, "gone", F.explode("seeds").alias("s")).select(
         *by, "s.window", "s.at",
         (~F.exists("gone", lambda g: (g["at"] < F.col("s.at") + WINDOW) & (g["to"] > F.col("s.at"))))
@@ -320,24 +327,25 @@ def shared_runs(docs: DataFrame, seeds: DataFrame, lines: DataFrame, around: int
         F.collect_list(F.struct("window", "at", "sides")).alias("seeds"),
         F.count(F.lit(1)).alias("_n"),
     )
-    extended = staged(extended.join(held.select(*by, "gone"), by), "extended").where("_n >= 1")
-    texts = docs.select(*by, "text").join(extended, by)
+    extended = staged(extended.join(held.select(*by, "gone"), by), "extended")
+    # The condition holds for all rows; see the Jaccard join.
+    texts = docs.select(*by, "text").join(extended.where("_n >= 1"), by)
     near_by = staged(_surroundings(texts, around), "surroundings")
-    place = ["window", "side", *by, "at"]
     first = near_by.groupBy("window", "side").agg(
         F.min(F.when(F.col("whole"), F.struct(*by, "at", "words", "free"))).alias("first"),
         F.count(F.lit(1)).alias("places"),
     )
     pairs = near_by.join(first.where("first is not null"), ["window", "side"]).select(
-        *place, "words", "free", "whole", "places", F.col("first.doc_id").alias("keeper"),
+        *PLACE, "words", "free", "whole", "places", F.col("first.doc_id").alias("keeper"),
         F.col("first.words").alias("words_2"), F.col("first.free").alias("free_2"),
     )
     reach = staged(_reached(pairs), "reach")
-    longer = staged(_longer_runs(near_by, reach, around), "longer")
+    discard(near_by, extended)
+    longer = _longer_runs(reach)
     start = F.when(F.col("side") == LEFT, F.col("at") - F.col("n")).otherwise(F.col("at"))
     stop = F.when(F.col("side") == LEFT, F.lit(0)).otherwise(F.col("n"))
     runs = same.select(*by, "at", (F.col("at") + WINDOW).alias("to"), "keeper")
-    for part in (reach.where("keeper < doc_id"), longer):
+    for part in [reach.where("keeper < doc_id"), *([longer] if longer else [])]:
         runs = runs.unionByName(
             part.select(
                 *by, start.alias("at"), (F.col("at") + WINDOW + stop).alias("to"), "keeper"
@@ -346,29 +354,51 @@ def shared_runs(docs: DataFrame, seeds: DataFrame, lines: DataFrame, around: int
     return runs
 
 
-def _longer_runs(near_by: DataFrame, reach: DataFrame, around: int) -> DataFrame:
+PLACE = ["window", "side", "doc_id", "mark", "at"]
+
+
+def _longer_runs(reach: DataFrame) -> DataFrame | None:
     """Where a seed's run with its first keeper ends, the longest run that it shares with any other
-    earlier keeper: its place, ``n`` words and that ``keeper``.
+    earlier keeper: its place, ``n`` words and that ``keeper``. None if there is no such run.
 
     Whoever shares more words with a seed than the first keeper does, shares as many with the first
-    keeper as the seed. So one key for one more word tells which seeds of different documents go on
-    together, and only those are followed further.
+    keeper as the seed. So the key of one more word tells which seeds go on together. Of those the
+    first that keeps the word is the next keeper to compare with, which reaches at least one
+    word farther, and so on until no two documents go on.
     """
-    place = ["window", "side", "doc_id", "mark", "at"]
-    going = reach.where("key is not null")
-    together = going.groupBy("key").agg(
-        F.min(F.when(F.col("gives"), F.col("doc_id"))).alias("_giver"),
-        F.max("doc_id").alias("_last"),
-    )
-    together = staged(together.where("_giver < _last").select("key"), "together")
-    alive = staged(going.join(together, "key", "left_semi").select(*place, "n"), "alive")
-    steps = staged(_stretches(near_by.join(alive, place), around), "steps")
-    givers = steps.where("gives").groupBy("key").agg(F.min("doc_id").alias("keeper"))
-    found = steps.join(givers, "key").where("keeper < doc_id")
-    return (
-        found.groupBy(*place)
-        .agg(F.max(F.struct("n", "keeper")).alias("x"))
-        .select(*place, "x.n", "x.keeper")
+    found = []
+    while True:
+        going = reach.where("key is not null")
+        together = going.groupBy("key").agg(
+            F.min(F.when(F.col("gives"), F.col("doc_id"))).alias("_giver"),
+            F.max("doc_id").alias("_last"),
+        )
+        together = staged(together.where("_giver < _last").select("key"), "together")
+        if together.isEmpty():
+            break
+        mine = going.join(together, "key", "left_semi")
+        first = mine.where("gives").groupBy("key").agg(
+            F.min(F.struct("doc_id", "mark", "at", "words", "free")).alias("first")
+        )
+        pairs = mine.drop("keeper").join(first, "key").select(
+            *PLACE, "words", "free", "whole", F.lit(3).alias("places"),
+            F.col("first.doc_id").alias("keeper"), F.col("first.words").alias("words_2"),
+            F.col("first.free").alias("free_2"),
+        )
+        before, reach = reach, staged(_reached(pairs), "reach")
+        if found:
+            discard(before)
+        found.append(
+            staged(reach.where("keeper < doc_id").select(*PLACE, "n", "keeper"), "longer")
+        )
+    if not found:
+        return None
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    longest = F.max(F.struct("n", (-F.col("keeper")).alias("keeper"))).alias("x")
+    return every.groupBy(*PLACE).agg(longest).select(
+        *PLACE, "x.n", (-F.col("x.keeper")).alias("keeper")
     )
 
 
@@ -434,8 +464,9 @@ def _stretch_keys(batch: pa.RecordBatch, words: np.ndarray) -> Iterator[np.ndarr
 
 def _reached(pairs: DataFrame) -> DataFrame:
     """How many words each place shares with its first keeper (``n``) and, where it goes on, the
-    key of one more word, and whether its document keeps those (``gives``)."""
-    names = ["window", "side", "doc_id", "mark", "at", "n", "keeper", "key", "gives"]
+    key of one more word, whether its document keeps those (``gives``), and the place's own
+    columns for comparing it further."""
+    names = [*PLACE, "n", "keeper", "key", "gives", "words", "free", "whole"]
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -458,6 +489,9 @@ def _reached(pairs: DataFrame) -> DataFrame:
                     batch.column("keeper"),
                     pa.array(key.view(np.int64), mask=~goes_on),
                     pa.array(get("whole") & (get("free") > n)),
+                    pc.if_else(pa.array(goes_on), batch.column("words"), None),
+                    batch.column("free"),
+                    batch.column("whole"),
                 ],
                 names=names,
             )
@@ -465,36 +499,7 @@ def _reached(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(
         reach,
         "window bigint, side int, doc_id bigint, mark int, at int, n int, keeper bigint, "
-        "key bigint, gives boolean",
-    )
-
-
-def _stretches(places: DataFrame, around: int) -> DataFrame:
-    """All stretches of each place that are longer than ``n`` words, by key."""
-    names = ["window", "side", "doc_id", "mark", "at", "n", "key", "gives"]
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
-            one = near.matrix(pa.chunked_array([batch.column("words")]), np.uint64)
-            for j, value in enumerate(_stretch_keys(batch, one)):
-                pick = np.flatnonzero((get("n") <= j) & (one[:, j] > 0))
-                gives = get("whole")[pick] & (get("free")[pick] > j)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c).take(pa.array(pick)) for c in names[:5]),
-                        pa.array(np.full(len(pick), j + 1, dtype=np.int32)),
-                        pa.array(value[pick].view(np.int64)),
-                        pa.array(gives),
-                    ],
-                    names=names,
-                )
-
-    return places.mapInArrow(
-        extend,
-        "window bigint, side int, doc_id bigint, mark int, at int, n int, key bigint, gives boolean",
+        "key bigint, gives boolean, words binary, free int, whole boolean",
     )
 
 
