@@ -336,37 +336,34 @@ def shared_runs(
         F.count(F.lit(1)).alias("places"),
     )
     pairs = near_by.join(first.where("first is not null"), ["window", "side"]).select(
-        *PLACE, "words", "free", "whole", "places", F.col("first.doc_id").alias("keeper"),
+        *PLACE, "words", "free", "whole", "places",
+        F.lit(None).cast("int").alias("best_n"), F.lit(None).cast("bigint").alias("best_keeper"),
+        F.col("first.doc_id").alias("keeper"),
         F.col("first.words").alias("words_2"), F.col("first.free").alias("free_2"),
     )
     reach = staged(_reached(pairs), "reach")
     discard(near_by, extended)
-    longer = _longer_runs(reach)
+    longest = _longest_runs(reach)
     start = F.when(F.col("side") == LEFT, F.col("at") - F.col("n")).otherwise(F.col("at"))
     stop = F.when(F.col("side") == LEFT, F.lit(0)).otherwise(F.col("n"))
     runs = same.select(*by, "at", (F.col("at") + WINDOW).alias("to"), "keeper")
-    for part in [reach.where("keeper < doc_id"), *([longer] if longer else [])]:
-        runs = runs.unionByName(
-            part.select(
-                *by, start.alias("at"), (F.col("at") + WINDOW + stop).alias("to"), "keeper"
-            )
-        )
-    return runs
+    return runs.unionByName(
+        longest.select(*by, start.alias("at"), (F.col("at") + WINDOW + stop).alias("to"), "keeper")
+    )
 
 
 PLACE = ["window", "side", "doc_id", "mark", "at"]
 
 
-def _longer_runs(reach: DataFrame) -> DataFrame | None:
-    """Where a seed's run with its first keeper ends, the longest run that it shares with any other
-    earlier keeper: its place, ``n`` words and that ``keeper``. None if there is no such run.
+def _longest_runs(reach: DataFrame) -> DataFrame:
+    """The longest run of each seed and side: its place, ``n`` words and their ``keeper``.
 
     Whoever shares more words with a seed than the first keeper does, shares as many with the first
     keeper as the seed. So the key of one more word tells which seeds go on together. Of those the
     first that keeps the word is the next keeper to compare with, which reaches at least one
-    word farther, and so on until no two documents go on.
+    word farther, and so on until no two documents go on. A seed is written when it stops.
     """
-    found = []
+    runs = None
     while True:
         going = reach.where("key is not null")
         together = going.groupBy("key").agg(
@@ -374,32 +371,26 @@ def _longer_runs(reach: DataFrame) -> DataFrame | None:
             F.max("doc_id").alias("_last"),
         )
         together = staged(together.where("_giver < _last").select("key"), "together")
+        stopped = reach.where("key is null").unionByName(going.join(together, "key", "left_anti"))
+        stopped = stopped.where("best_keeper is not null").select(
+            *PLACE, F.col("best_n").alias("n"), F.col("best_keeper").alias("keeper")
+        )
+        stopped = staged(stopped, "runs")
+        runs = stopped if runs is None else runs.unionByName(stopped)
         if together.isEmpty():
-            break
+            discard(reach)
+            return runs
         mine = going.join(together, "key", "left_semi")
         first = mine.where("gives").groupBy("key").agg(
             F.min(F.struct("doc_id", "mark", "at", "words", "free")).alias("first")
         )
         pairs = mine.drop("keeper").join(first, "key").select(
-            *PLACE, "words", "free", "whole", F.lit(3).alias("places"),
+            *PLACE, "words", "free", "whole", F.lit(3).alias("places"), "best_n", "best_keeper",
             F.col("first.doc_id").alias("keeper"), F.col("first.words").alias("words_2"),
             F.col("first.free").alias("free_2"),
         )
         before, reach = reach, staged(_reached(pairs), "reach")
-        if found:
-            discard(before)
-        found.append(
-            staged(reach.where("keeper < doc_id").select(*PLACE, "n", "keeper"), "longer")
-        )
-    if not found:
-        return None
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    longest = F.max(F.struct("n", (-F.col("keeper")).alias("keeper"))).alias("x")
-    return every.groupBy(*PLACE).agg(longest).select(
-        *PLACE, "x.n", (-F.col("x.keeper")).alias("keeper")
-    )
+        discard(before)
 
 
 def _surroundings(texts: DataFrame, around: int) -> DataFrame:
@@ -464,9 +455,9 @@ def _stretch_keys(batch: pa.RecordBatch, words: np.ndarray) -> Iterator[np.ndarr
 
 def _reached(pairs: DataFrame) -> DataFrame:
     """How many words each place shares with its first keeper (``n``) and, where it goes on, the
-    key of one more word, whether its document keeps those (``gives``), and the place's own
-    columns for comparing it further."""
-    names = [*PLACE, "n", "keeper", "key", "gives", "words", "free", "whole"]
+    key of one more word, whether its document keeps those (``gives``), the longest run with an
+    earlier document so far, and the place's own columns for comparing it further."""
+    names = [*PLACE, "n", "keeper", "key", "gives", "best_n", "best_keeper", "words", "free", "whole"]
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -482,13 +473,17 @@ def _reached(pairs: DataFrame) -> DataFrame:
                 key = np.where(n == j, value, key)
                 goes_on |= (n == j) & (one[:, j] > 0)
             goes_on &= get("places") > 2
+            earlier = pa.array(get("keeper") < get("doc_id"))
+            length = pa.array(n.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c) for c in names[:5]),
-                    pa.array(n.astype(np.int32)),
+                    *(batch.column(c) for c in PLACE),
+                    length,
                     batch.column("keeper"),
                     pa.array(key.view(np.int64), mask=~goes_on),
                     pa.array(get("whole") & (get("free") > n)),
+                    pc.if_else(earlier, length, batch.column("best_n")),
+                    pc.if_else(earlier, batch.column("keeper"), batch.column("best_keeper")),
                     pc.if_else(pa.array(goes_on), batch.column("words"), None),
                     batch.column("free"),
                     batch.column("whole"),
@@ -499,7 +494,8 @@ def _reached(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(
         reach,
         "window bigint, side int, doc_id bigint, mark int, at int, n int, keeper bigint, "
-        "key bigint, gives boolean, words binary, free int, whole boolean",
+        "key bigint, gives boolean, best_n int, best_keeper bigint, words binary, free int, "
+        "whole boolean",
     )
 
 
