@@ -367,3 +367,58 @@ def test_odd_pages(spark):
     assert got[:6] == ["", "", "", "plain text", "only", ""] and got[7] == "a < b"
     assert got[9] == "deep" and got[10] == "" and got[11] == "é&lt;"
     assert html_text.extract_text(df.where("false")).count() == 0
+
+
+def plain(block):
+    return re.sub("<.*?>", "", block)
+
+
+REMARK = "<p>What a great post, thank you so much! I read it twice, and liked it, as ever.</p>" * 12
+
+
+@pytest.mark.parametrize("page", [
+    "<div class=post>%s</div><div id=comments>%s</div>",
+    "<div class=post>%s</div><section class=responses>%s</section>",
+    "<div class=post>%s</div><div class=discussion>%s</div>",
+    "<article>%s<div class='comment-list'>%s</div></article>",
+    "<article>%s</article><div class='sidebar'><div class=comments><article>%s</article></div></div>",
+])
+def test_long_comments_are_no_content(page):
+    got = html_text.main_text("<body>" + page % (P % 1 + P % 2, REMARK))
+    assert got.split("\n") == [plain(P % i) for i in (1, 2)]
+
+
+def test_subject_words_do_not_cost_article_text():
+    levels = (P % 2).replace("<p>", "<p class='alert-levels'>")
+    page = (
+        f"<body><nav>{P % 9}</nav><article><h1>T</h1>{P % 1}{levels}<div id='social'>{P % 3}</div>"
+        "<ul><li>short</li></ul><div class=buy>Buy now</div><div class=tags>Tags a b</div></article>"
+    )
+    want = ["T", *(plain(P % i) for i in (1, 2, 3)), "short"]
+    assert html_text.main_text(page).split("\n") == want
+
+
+def test_scores_decide(monkeypatch):
+    page = PAGE % ("<article>%s</article>" % BODY)
+    assert html_text.main_text(page) == WANT
+    scores = html_text.path_scores
+
+    def inverted(blocks):
+        found, least = scores(blocks)
+        return {k: max(found.values()) - v for k, v in found.items()}, least
+
+    monkeypatch.setattr(html_text, "path_scores", inverted)
+    assert "We use cookies" in html_text.main_text(page)
+
+
+def test_whole_page_in_a_form_and_only_set_apart_text():
+    page = f"<body><form>{P % 1}{P % 2}<label>Name</label></form><footer>{P % 3}</footer>"
+    assert html_text.main_text(page).split("\n") == [plain(P % i) for i in (1, 2)]
+    assert html_text.main_text("<footer>all rights</footer><div class=comments>Great.</div>") == ""
+    assert html_text.main_text(f"<div hidden>{P % 1}</div><p style='display: none'>no</p>") == ""
+
+
+def test_many_open_elements_take_time_and_paths_by_page_length():
+    paths = {n.path for n, _ in html_text.blocks_of("<div>x" * 20_000)}
+    assert len(paths) == 20_000 and max(paths) <= 20_000
+    assert html_text.main_text("<div>" * 200_000 + "deep").endswith("deep")
