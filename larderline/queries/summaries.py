@@ -14,11 +14,26 @@ from larderline.operators.aggregates import (
     summarise_numeric,
     two_level,
 )
+from larderline.operators.cohort_index import indexed_cohort_means
 from larderline.operators.cohorts import Band, CohortRule, cohort_means, rules_from
 from larderline.operators.missing import blank_sentinels
-from larderline.operators.quantiles import box_stats, category_order, exact_quantiles, outliers
+from larderline.operators.quantiles import (
+    QUARTILES,
+    box_stats,
+    category_order,
+    exact_quantiles,
+    outliers,
+)
+from larderline.operators.sketches import (
+    merged_sketches,
+    quantile_sketches,
+    rank_error,
+    rank_gaps,
+    sketch_quantiles,
+)
 from larderline.queries.joining import LINE_CLASS_SQL, line_class, person_class
 from larderline.queries.registry import query, rounded, table
+from larderline.session import staged
 
 
 def _measured_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -365,3 +380,59 @@ def weights_by_cohort(spark: SparkSession, sf: str) -> DataFrame:
     measured = blank_sentinels(people, "weight", [-1])
     means = cohort_means(measured, rules, "c_mktsegment", "c_nationkey", None, ["weight"])
     return rounded(means, ["mean_weight"])
+
+
+@query(
+    "sketched_quartiles",
+    """select l_returnflag, count(l_extendedprice) as n, true as q1_near, true as median_near,
+              true as q3_near
+       from lineitem group by l_returnflag""",
+)
+def quartiles_from_stored_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    # Sketches per flag, status and year are stored; quartiles per flag come from merging them, and
+    # their exact ranks must lie within the stated error.
+    lines = table(spark, sf, "lineitem").select(
+        "l_returnflag",
+        "l_linestatus",
+        F.year("l_shipdate").alias("year"),
+        "l_extendedprice",
+    )
+    finest = ["l_returnflag", "l_linestatus", "year"]
+    stored = staged(quantile_sketches(lines, finest, "l_extendedprice"), "sketches")
+    by = ["l_returnflag"]
+    answers = staged(sketch_quantiles(merged_sketches(stored, by), by), "answers")
+    gaps = rank_gaps(lines, by, "l_extendedprice", answers)
+    near = [(F.col(q) <= 2 * rank_error()).alias(f"{q}_near") for q in QUARTILES]
+    return gaps.select(*by, "n", *near)
+
+
+@query(
+    "cohorts_by_rule_table",
+    """select 's' || s_suppkey as cohort, round(avg(c_acctbal) + 1e-7, 4) as mean_c_acctbal,
+              round(avg(c_nationkey) + 1e-7, 4) as mean_c_nationkey
+       from supplier join customer
+         on (s_suppkey % 5 = 0 or s_nationkey = c_nationkey)
+            and (s_suppkey % 11 = 0 or c_acctbal > s_acctbal
+                 or (s_suppkey % 2 = 0 and c_acctbal = s_acctbal))
+            and c_acctbal < s_acctbal + 400 and c_custkey > s_suppkey
+       group by s_suppkey""",
+)
+def means_by_rule_table(spark: SparkSession, sf: str) -> DataFrame:
+    """One rule for each supplier: customers of its nation, or of all, with a like balance."""
+    key, low = F.col("s_suppkey"), F.col("s_acctbal")
+    rules = table(spark, sf, "supplier").select(
+        F.concat(F.lit("s"), key).alias("cohort"),
+        F.when(key % 5 != 0, F.col("s_nationkey")).alias("sex"),
+        F.when(key % 11 != 0, low).alias("age_lo"),
+        (key % 2 == 0).alias("age_lo_incl"),
+        (low + 400).alias("age_hi"),
+        F.lit(False).alias("age_hi_incl"),
+        key.alias("e_lo"),
+        F.lit(False).alias("e_lo_incl"),
+        F.lit(None).cast("bigint").alias("e_hi"),
+        F.lit(False).alias("e_hi_incl"),
+    )
+    people = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    measures = ["c_acctbal", "c_nationkey"]
+    means = indexed_cohort_means(people, rules, "c_nationkey", "c_acctbal", "c_custkey", measures)
+    return rounded(means, ["mean_c_acctbal", "mean_c_nationkey"])
