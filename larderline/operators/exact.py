@@ -23,6 +23,28 @@ TOP, MIDDLE, LOWEST = 44, -18, -80
 LIMIT = 2.0**75
 
 
+def _col(name: str, c: str) -> Column:
+    return F.col(f"`_{name}_{c}`")
+
+
+def _named(name: str, c: str, made: Column) -> Column:
+    return made.alias(f"_{name}_{c}")
+
+
+def _kept(df: DataFrame, columns: Sequence[str], old: Sequence[str], make) -> DataFrame:
+    """All columns but ``old`` parts, with new ones.
+
+    Each step is a projection of its own: as one expression a sum would hold thousands of terms.
+    """
+    gone = {f"_{name}_{c}" for name in old for c in columns}
+    rest = [F.col(f"`{name}`") for name in df.columns if name not in gone]
+    return df.select(*rest, *[made for c in columns for made in make(c)])
+
+
+# What a state holds of each column: count, sum of what is beyond the parts, and the parts.
+STATE = ["n", "beyond", "p0", "p1", "p2", "p3", "p4"]
+
+
 def exact_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -34,85 +56,91 @@ def exact_totals(
     The sum is missing if all values are; NaN counts as missing. Digits below 2**-80 (8e-25) are
     left out. Numbers of 2**75 or more and infinities are beyond the parts; they are added
     as usual. ``also`` are further aggregates of the same grouping.
-
-    Each step is a projection of its own: as one expression a sum would hold thousands of terms.
     """
+    return totals_of_states(exact_states(df, keys, columns, also), columns)
 
-    def each(make) -> list[Column]:
-        return [made for c in columns for made in make(c)]
-
-    def col(name: str, c: str) -> Column:
-        return F.col(f"`_{name}_{c}`")
 
-    def kept(df: DataFrame, old: Sequence[str], make) -> DataFrame:
-        """All columns but ``old`` parts, with new ones."""
-        gone = {f"_{name}_{c}" for name in old for c in columns}
-        rest = [F.col(f"`{name}`") for name in df.columns if name not in gone]
-        return df.select(*rest, *each(make))
-
-    def named(name: str, c: str, made: Column) -> Column:
-        return made.alias(f"_{name}_{c}")
-
-    inside = {c: F.abs(col("x", c)) < F.lit(LIMIT) for c in columns}
+def exact_states(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    also: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """The parts of the sums per key: whole numbers that can be stored, and added up later."""
+    inside = {c: F.abs(_col("x", c)) < F.lit(LIMIT) for c in columns}
     df = df.withColumns({f"_x_{c}": present(df, c).cast("double") for c in columns})
-    df = kept(df, [], lambda c: [
-        named("in", c, F.when(inside[c], col("x", c))), named("beyond", c, F.when(~inside[c], col("x", c))),
+    df = _kept(df, columns, [], lambda c: [
+        _named("in", c, F.when(inside[c], _col("x", c))), _named("beyond", c, F.when(~inside[c], _col("x", c))),
     ])
-    df = kept(df, [], lambda c: [
-        named("top", c, (col("in", c) * F.lit(2.0**-TOP)).cast("bigint")),
+    df = _kept(df, columns, [], lambda c: [
+        _named("top", c, (_col("in", c) * F.lit(2.0**-TOP)).cast("bigint")),
     ])
-    df = kept(df, ["in"], lambda c: [
-        named("below", c, col("in", c) - col("top", c) * F.lit(2.0**TOP)),
+    df = _kept(df, columns, ["in"], lambda c: [
+        _named("below", c, _col("in", c) - _col("top", c) * F.lit(2.0**TOP)),
     ])
-    df = kept(df, [], lambda c: [
-        named("mid", c, (col("below", c) * F.lit(2.0**-MIDDLE)).cast("bigint")),
+    df = _kept(df, columns, [], lambda c: [
+        _named("mid", c, (_col("below", c) * F.lit(2.0**-MIDDLE)).cast("bigint")),
     ])
-    df = kept(df, ["below"], lambda c: [
-        named("low", c, ((col("below", c) - col("mid", c) * F.lit(2.0**MIDDLE))
+    df = _kept(df, columns, ["below"], lambda c: [
+        _named("low", c, ((_col("below", c) - _col("mid", c) * F.lit(2.0**MIDDLE))
                          * F.lit(2.0**-LOWEST)).cast("bigint")),
     ])
-    sums = df.groupBy(*keys).agg(
+    return df.groupBy(*keys).agg(
         *[made.alias(name) for name, made in (also or {}).items()],
-        *each(lambda c: [
-            named("n", c, F.count(col("x", c))),
-            named("beyond", c, F.sum(col("beyond", c))),
-            named("p0", c, F.sum(col("low", c).bitwiseAND(F.lit(MASK)))),
-            named("p1", c, F.sum(F.shiftright(col("low", c), BITS))),
-            named("p2", c, F.sum(col("mid", c).bitwiseAND(F.lit(MASK)))),
-            named("p3", c, F.sum(F.shiftright(col("mid", c), BITS))),
-            named("p4", c, F.sum(col("top", c))),
-        ]),
+        *[made for c in columns for made in [
+            _named("n", c, F.count(_col("x", c))),
+            _named("beyond", c, F.sum(_col("beyond", c))),
+            _named("p0", c, F.sum(_col("low", c).bitwiseAND(F.lit(MASK)))),
+            _named("p1", c, F.sum(F.shiftright(_col("low", c), BITS))),
+            _named("p2", c, F.sum(_col("mid", c).bitwiseAND(F.lit(MASK)))),
+            _named("p3", c, F.sum(F.shiftright(_col("mid", c), BITS))),
+            _named("p4", c, F.sum(_col("top", c))),
+        ]],
     )
+
+
+def state_sums(columns: Sequence[str]) -> list[Column]:
+    """Aggregates that add up states of finer groups, or of several stored tables."""
+    return [F.sum(_col(name, c)).alias(f"_{name}_{c}") for c in columns for name in STATE]
+
+
+def merged_states(states: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """States of coarser groups: the same as from the rows, for up to 2**32 rows a group."""
+    return states.groupBy(*keys).agg(*state_sums(columns))
+
+
+def totals_of_states(sums: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Sums and counts out of states, as :func:`exact_totals` names them."""
     # Carry, so that equal sums have equal parts whatever rows they come from.
     for i in range(4):
         this, following = f"p{i}", f"p{i + 1}"
-        sums = kept(sums, [this, following], lambda c: [
-            named(this, c, col(this, c).bitwiseAND(F.lit(MASK))),
-            named(following, c, col(following, c) + F.shiftright(col(this, c), BITS)),
+        sums = _kept(sums, columns, [this, following], lambda c: [
+            _named(this, c, _col(this, c).bitwiseAND(F.lit(MASK))),
+            _named(following, c, _col(following, c) + F.shiftright(_col(this, c), BITS)),
         ])
-    sums = kept(sums, ["p0", "p1", "p2", "p3"], lambda c: [
-        named("low", c, col("p1", c) * F.lit(2**BITS) + col("p0", c)),
-        named("mid", c, col("p3", c) * F.lit(2**BITS) + col("p2", c)),
+    sums = _kept(sums, columns, ["p0", "p1", "p2", "p3"], lambda c: [
+        _named("low", c, _col("p1", c) * F.lit(2**BITS) + _col("p0", c)),
+        _named("mid", c, _col("p3", c) * F.lit(2**BITS) + _col("p2", c)),
     ])
     # Below zero the opposite number is rounded: the parts of -1 are -2**44 and nearly 2**44.
-    borrowed = {c: (col("low", c) > 0).cast("bigint") for c in columns}
-    sums = kept(sums, ["low", "mid", "p4"], lambda c: [
-        named("sign", c, F.when(col("p4", c) < 0, -1.0).otherwise(1.0)),
-        named("top", c, F.when(col("p4", c) < 0, -col("p4", c) - (col("mid", c) + borrowed[c] > 0).cast("bigint"))
-              .otherwise(col("p4", c))),
-        named("mid", c, F.when(col("p4", c) < 0, (F.lit(PAIR + 1) - col("mid", c) - borrowed[c])
-                               .bitwiseAND(F.lit(PAIR))).otherwise(col("mid", c))),
-        named("low", c, F.when(col("p4", c) < 0, (F.lit(PAIR + 1) - col("low", c)).bitwiseAND(F.lit(PAIR)))
-              .otherwise(col("low", c))),
+    borrowed = {c: (_col("low", c) > 0).cast("bigint") for c in columns}
+    sums = _kept(sums, columns, ["low", "mid", "p4"], lambda c: [
+        _named("sign", c, F.when(_col("p4", c) < 0, -1.0).otherwise(1.0)),
+        _named("top", c, F.when(_col("p4", c) < 0, -_col("p4", c) - (_col("mid", c) + borrowed[c] > 0).cast("bigint"))
+              .otherwise(_col("p4", c))),
+        _named("mid", c, F.when(_col("p4", c) < 0, (F.lit(PAIR + 1) - _col("mid", c) - borrowed[c])
+                               .bitwiseAND(F.lit(PAIR))).otherwise(_col("mid", c))),
+        _named("low", c, F.when(_col("p4", c) < 0, (F.lit(PAIR + 1) - _col("low", c)).bitwiseAND(F.lit(PAIR)))
+              .otherwise(_col("low", c))),
     ])
 
     def total(c: str) -> list[Column]:
-        rounded = col("sign", c) * (
-            (col("top", c) * F.lit(2.0**TOP) + col("mid", c) * F.lit(2.0**MIDDLE))
-            + col("low", c) * F.lit(2.0**LOWEST)
+        rounded = _col("sign", c) * (
+            (_col("top", c) * F.lit(2.0**TOP) + _col("mid", c) * F.lit(2.0**MIDDLE))
+            + _col("low", c) * F.lit(2.0**LOWEST)
         )
-        beyond = col("beyond", c)
+        beyond = _col("beyond", c)
         both = F.when(beyond.isNull(), rounded).otherwise(F.coalesce(rounded, F.lit(0.0)) + beyond)
-        return [named("sum", c, both)]
+        return [_named("sum", c, both)]
 
-    return kept(sums, ["sign", "top", "mid", "low", "beyond"], total)
+    return _kept(sums, columns, ["sign", "top", "mid", "low", "beyond"], total)
