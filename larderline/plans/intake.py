@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larderline.operators.aggregates import class_means, mean_and_sd, named_sums
 from larderline.operators.cohorts import CohortRule, assign_cohorts, cohort_means
 from larderline.operators.joins import left_join
+from larderline.operators.lattice import level_means
 from larderline.operators.missing import blank_sentinels
 from larderline.plans import fixed_values as fixed
 from larderline.plans.schema import DIARY, Diary
@@ -66,6 +67,22 @@ def intake_report(
     return cohort_means(totals, rules, cols.sex, cols.age, energy, measures, classes)
 
 
+def intake_levels(
+    totals: DataFrame,
+    rules: Sequence[CohortRule] = tuple(fixed.INTAKE_COHORTS),
+    measures: Sequence[str] = tuple(m for m in DAY_TOTALS if m != "sum_energy"),
+    energy: str = "sum_energy",
+    cols: Diary = DIARY,
+) -> DataFrame:
+    """Means per cohort and diet class (``level`` "class") and per cohort ("cohort") together.
+
+    The day totals are read once; a cohort's mean is over its person-days, not over its classes.
+    """
+    members = assign_cohorts(totals, rules, cols.sex, cols.age, energy)
+    levels = {"class": ["cohort", cols.diet], "cohort": ["cohort"]}
+    return level_means(members, levels, measures)
+
+
 def energy_spread(
     totals: DataFrame,
     rules: Sequence[CohortRule] = tuple(fixed.PROTEIN_CHECKS),

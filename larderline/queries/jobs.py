@@ -28,14 +28,16 @@ from larderline.plans.intake import (
     day_totals,
     demographics,
     energy_spread,
+    intake_levels,
     intake_report,
     raw_day_totals,
     weight_report,
 )
 from larderline.plans.lookups import filled_codes
 from larderline.plans.products import nutrition_products, product_labels, product_means
+from larderline.plans.waves import add_waves, wave_figures
 from larderline.queries import standin
-from larderline.queries.registry import query, rounded
+from larderline.queries.registry import query, rounded, table
 from larderline.session import scratch_path, staged
 from larderline.sources import read_csv, write_csv
 
@@ -593,3 +595,42 @@ def filled_code_list(spark: SparkSession, sf: str) -> DataFrame:
 )
 def ages_in_diary(spark: SparkSession, sf: str) -> DataFrame:
     return distinct_values(standin.diary(spark, sf), ["AgeR"])
+
+
+@query(
+    "intake_by_cohort_and_class",
+    f"""with {TOTALS_SQL}, {_INTAKE_RULES_SQL}
+        select case when grouping(Overall_Diet) = 1 then 'cohort' else 'class' end as level,
+               cohort, Overall_Diet,
+               {", ".join(f"round(avg({m}) + 1e-7, 4) as mean_{m}" for m in INTAKE)}
+        from members group by grouping sets ((cohort, Overall_Diet), (cohort))""",
+)
+def intake_with_and_without_class(spark: SparkSession, sf: str) -> DataFrame:
+    means = intake_levels(_totals(spark, sf))
+    return rounded(means, ["mean_" + m for m in INTAKE])
+
+
+@query(
+    "waves_from_states",
+    """select 'mean' as figure, l_returnflag, year, round(avg(l_quantity) + 1e-7, 4) as l_quantity,
+              round(avg(l_discount) + 1e-7, 4) as l_discount
+       from (select *, year(l_shipdate) as year from lineitem) group by l_returnflag, year
+       union all
+       select 'sum', l_returnflag, null, round(sum(l_quantity) + 1e-7, 4),
+              round(sum(l_discount) + 1e-7, 4)
+       from lineitem group by l_returnflag""",
+)
+def waves_from_states(spark: SparkSession, sf: str) -> DataFrame:
+    """States of the years to 1996 and of the later ones are stored apart, then read together."""
+    lines = table(spark, sf, "lineitem").select(
+        "l_returnflag", F.year("l_shipdate").alias("year"), "l_quantity", "l_discount"
+    )
+    path, measures = scratch_path(spark, "waves"), ["l_quantity", "l_discount"]
+    for waves in (F.col("year") <= 1996, F.col("year") > 1996):
+        add_waves(lines.where(waves), path, ["l_returnflag"], measures, "year")
+    means = wave_figures(spark, path, ["l_returnflag", "year"], measures)
+    sums = wave_figures(spark, path, ["l_returnflag"], measures, "sum")
+    both = means.withColumn("figure", F.lit("mean")).unionByName(
+        sums.withColumns({"figure": F.lit("sum"), "year": F.lit(None).cast("int")})
+    )
+    return rounded(both, measures)

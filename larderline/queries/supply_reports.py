@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larderline.plans.supply import REPORTS, SupplyReport, reported_servings
+from larderline.plans.together import rankings_together
 from larderline.queries import standin
 from larderline.queries.registry import exact_mean_sql, exact_sum_sql, query, rounded, significant_sql
 
@@ -116,3 +117,38 @@ for _name, _report in REPORTS.items():
 )
 def reported_vegetarian_servings(spark: SparkSession, sf: str) -> DataFrame:
     return reported_servings(standin.reported(spark, sf))
+
+
+def _of_source(source: str) -> dict[str, SupplyReport]:
+    return {n: r for n, r in REPORTS.items() if r.source == source and r.entity}
+
+
+def _together_sql(reports: dict[str, SupplyReport]) -> str:
+    """The single rankings one below the other."""
+    measures = list(dict.fromkeys(m for r in reports.values() for m in _measures(r)))
+    items = {n: [*([DIET] if r.by_class else []), *r.item] for n, r in reports.items()}
+    keys = list(dict.fromkeys(k for of in items.values() for k in of))
+
+    def one(name: str, report: SupplyReport) -> str:
+        columns = [k if k in items[name] else f"null::varchar as {k}" for k in keys]
+        columns += [
+            f"round({m} + 1e-7, 4) as {m}" if m in _measures(report) else f"null::double as {m}"
+            for m in measures
+        ]
+        return f"({_ranked_sql(report)} select '{name}' as report, {', '.join(columns)} from top)"
+
+    return " union all ".join(one(n, r) for n, r in reports.items())
+
+
+def _register_together(source: str) -> None:
+    reports = _of_source(source)
+    frame, _, _ = standin.SOURCES[source]
+    measures = list(dict.fromkeys(m for r in reports.values() for m in _measures(r)))
+
+    @query(f"supply_together_{source}", _together_sql(reports))
+    def together(spark: SparkSession, sf: str) -> DataFrame:
+        return rounded(rankings_together(frame(spark, sf), reports), measures)
+
+
+for _source in ("classified", "matched", "enriched"):
+    _register_together(_source)

@@ -6,6 +6,9 @@ from conftest import rows
 from larderline.operators.aggregates import summarise_numeric
 from larderline.operators.exact import exact_states, merged_states, totals_of_states
 from larderline.operators.lattice import level_means
+from larderline.plans.schema import DIARY
+from larderline.plans.supply import REPORTS
+from larderline.plans.together import rankings_together
 from larderline.plans.waves import add_waves, wave_figures
 
 LEVELS = {"fine": ["a", "b"], "a only": ["a"], "all": []}
@@ -65,3 +68,26 @@ def test_a_further_wave_reads_only_itself(spark, df, tmp_path):
     assert rows(wave_figures(spark, path, ["a"], ["x"], "sum")) == rows(whole)
     with pytest.raises(ValueError):
         wave_figures(spark, path, ["a"], ["x"], "strict_sum")
+
+
+def test_rankings_together_equal_single_ones(spark):
+    diary = spark.range(4_000).selectExpr(
+        "concat('p', id % 40) as seriali", "cast(id % 4 as string) as DayNo",
+        "concat('f', id % 29) as FoodNumber", "concat('f', id % 29) as FoodName",
+        *[f"concat('{c}', id % 29 % {n}) as {c}" for c, n in zip(DIARY.groups, (5, 5, 11, 11))],
+        "case when id % 40 % 3 = 0 then 'Vegan' when id % 40 > 30 then null else 'Neither' end"
+        " as Overall_Diet",
+        "case when id % 13 > 0 then (id * 31 % 997) / 7.0d end as Proteing", "id % 53 / 3.0d as TotalGrams",
+    )
+    chosen = {n: r for n, r in REPORTS.items() if r.source == "classified" and r.entity}
+    together = rankings_together(diary, chosen)
+    for name, report in chosen.items():
+        alone = report.table({"classified": diary})
+        # Bit by bit in what ranks; the grams beside it are plain sums in the single report.
+        columns = [c for c in alone.columns if c in together.columns and c != "TotalGrams"]
+        got = together.where(together.report == name)
+        assert rows(got.select(*columns)) == rows(alone.select(*columns))
+        grams = sorted(r.TotalGrams for r in got.collect())
+        assert grams == pytest.approx(sorted(r.TotalGrams for r in alone.collect()))
+    with pytest.raises(ValueError):
+        rankings_together(diary, {"plain": REPORTS["protein_serving_by_diet"]})
