@@ -72,8 +72,29 @@ def sweep(probes: DataFrame, rules: DataFrame, groups: list[str], levels: list[i
     return swept.select(*groups, "key", "_probe.*", stack.alias("stack"))
 
 
+def nesting(rules: DataFrame) -> DataFrame:
+    """Adds ``level`` to rules of ``node`` and ``key``: how many others of the node open the key.
+
+    Each rule is looked up under its own beginnings, of the lengths that rules of its node have.
+    """
+    lengths = rules.groupBy("node").agg(F.collect_set(F.length("key")).alias("_lengths"))
+    shorter = F.filter("_lengths", lambda n: n < F.length("key"))
+    heads = (
+        rules.join(lengths, "node")
+        .select("node", "key", F.explode(shorter).alias("_n"))
+        .select("node", "key", F.expr("left(key, _n)").alias("_head"))
+    )
+    opening = rules.select("node", F.col("key").alias("_head"))
+    depth = (
+        heads.join(opening, ["node", "_head"], "left_semi")
+        .groupBy("node", "key")
+        .agg(F.count(F.lit(1)).cast("int").alias("level"))
+    )
+    return rules.join(depth, ["node", "key"], "left").fillna(0, ["level"])
+
+
 def levels_of(rules: DataFrame) -> list[int]:
-    """Nesting levels that occur; no more than a host has labels or a path has characters."""
+    """Nesting levels that occur: labels of a host, or how deep path rules lie in each other."""
     return [r[0] for r in rules.select("level").distinct().orderBy("level").collect()]
 
 
@@ -132,11 +153,12 @@ def judge_urls(
         ),
         "url-probes",
     )
-    paths = rules.select("node", F.col("path").alias("key"), F.length("path").alias("level"))
+    paths = staged(nesting(rules.select("node", F.col("path").alias("key"))), "url-paths")
+    levels = levels_of(paths)
     sent = paths.join(probes.select("node", "salt").distinct(), "node")
-    fitting = sweep(probes, sent, ["node", "salt"], levels_of(paths)).select(
+    fitting = sweep(probes, sent, ["node", "salt"], levels).select(
         "host", F.col("key").alias("path"), "node", F.try_element_at("stack", F.lit(-1)).alias("_prefix")
-    ) if levels_of(paths) else probes.select(
+    ) if levels else probes.select(
         "host", F.col("key").alias("path"), "node", F.lit(None).cast("string").alias("_prefix")
     )
     fitting = fitting.where(F.col("_prefix").isNotNull())

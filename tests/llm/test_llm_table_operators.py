@@ -56,6 +56,23 @@ def plain_verdict(url, rules, default="allow"):
     return host, path, best[0] + best[1], best[2]
 
 
+def test_many_path_lengths_need_slots_for_their_nesting_only(spark):
+    paths = ["/" + "x" * (n % 7) + str(n) * (n // 2) for n in range(300)]
+    given = [("a.com", p, "block") for p in set(paths)] + [("a.com", "", "allow"), ("com", "/x", "block")]
+    rules = spark.createDataFrame(given, "host string, path string, verdict string")
+    nodes = rules.selectExpr("host as node", "path as key")
+    levels = {(r.node, r.key): r.level for r in url_rules.nesting(nodes).collect()}
+    for host, path, _ in given:
+        inside = sum(h == host and p != path and path.startswith(p) for h, p, _ in given)
+        assert levels[host, path] == inside
+    assert max(levels.values()) < 10
+    urls = [f"http://w.a.com{p}{t}" for p in paths[::9] for t in ("", "/more", "?q")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    for r in url_rules.judge_urls(pages, rules).collect():
+        fits = [h + p for h, p, _ in given if r.path.startswith(p)]
+        assert r.rule == max(fits, key=len)
+
+
 def test_url_rules_equal_brute_force(spark):
     rng = random.Random(2)
     labels = ["com", "net", "a", "b", "example"]
