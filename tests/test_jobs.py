@@ -1,5 +1,7 @@
 """The jobs on a small hand-made diary with the expected rows written out."""
 
+import re
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -26,6 +28,7 @@ from larderline.plans.intake import (
     raw_day_totals,
 )
 from larderline.plans.products import nutrition_products, product_labels, product_means
+from larderline.queries import standin
 from larderline.session import scratch_path
 from larderline.sources import read_csv, write_csv
 
@@ -214,3 +217,15 @@ def test_classified_diary_and_demographics_as_files(spark, raw, people):
         path = scratch_path(spark, "report")
         write_csv(frame, path)
         assert rows(read_csv(spark, path, frame.schema)) == rows(frame)
+
+
+def test_the_diary_is_deduplicated_where_the_last_join_left_it(spark):
+    # Large people: the rows move by person for the join, and not again by all twelve keys.
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = standin.diary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    assert "hashpartitioning(seriali#" in plan
+    assert not re.search(r"hashpartitioning\(seriali#\d+L?, SurveyYear", plan)
