@@ -219,12 +219,21 @@ def test_classified_diary_and_demographics_as_files(spark, raw, people):
         assert rows(read_csv(spark, path, frame.schema)) == rows(frame)
 
 
-def test_the_diary_is_deduplicated_where_the_last_join_left_it(spark):
+def test_the_diary_is_deduplicated_where_the_last_join_left_it(spark, tmp_path):
+    tables = {
+        "lineitem": "l_orderkey bigint, l_partkey bigint, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double",
+        "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp",
+        "customer": "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string",
+        "part": "p_partkey bigint, p_name string, p_brand string, p_type string",
+    }
+    for name, columns in tables.items():
+        spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
     # Large people: the rows move by person for the join, and not again by all twelve keys.
     known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = standin.diary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        plan = standin.diary(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
     assert "hashpartitioning(seriali#" in plan
