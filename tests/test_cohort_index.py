@@ -3,6 +3,7 @@ import random
 import pytest
 from conftest import rows
 
+from larderline.operators.aggregates import class_means
 from larderline.operators.cohort_index import RULE, assign_by_index, indexed_cohort_means
 from larderline.operators.cohorts import assign_cohorts, rules_from
 
@@ -84,3 +85,48 @@ def test_ten_thousand_rules_keep_the_plan_and_the_pairs_small(spark):
             for a in (k / 2 for k in range(max(first, 0), min(first + 4, 2_000)))
         )
     assert got == want
+
+
+@pytest.mark.parametrize("energy,classes", [("e", []), ("e", ["k"]), (None, ["k"])])
+def test_means_equal_those_of_the_pairs(spark, energy, classes):
+    rnd = random.Random(7)
+    halves = [None, *(x / 2 for x in range(-2, 26)), float("inf"), float("nan"), -0.0]
+    odd = [None, 1e300, float("inf"), float("nan"), -0.25, 1e-9]
+    data = [
+        (rnd.choice([None, 1, 2, 3]), rnd.choice(halves), rnd.choice(halves), rnd.choice([None, "x", "y"]),
+         rnd.randrange(-1000, 1000) / 7, rnd.choice(odd), i)
+        for i in range(200)
+    ]
+    df = spark.createDataFrame(data, "s int, a double, e double, k string, m double, o double, n bigint")
+    rules = some_rules(40, 5)
+    rules += [("r1", *rules[0][1:]), (None, None, *[None] * 8)]
+    table = spark.createDataFrame(rules, RULES)
+    got = indexed_cohort_means(df, table, "s", "a", energy, ["m", "o", "n"], classes)
+    pairs = assign_by_index(df, table, "s", "a", energy)
+    want = class_means(pairs, ["cohort", *classes], ["m", "o", "n"])
+    assert got.columns == want.columns
+    got, want = rows(got), rows(want)
+    assert len(got) == len(want) > 10
+    by = 1 + len(classes)
+    for g, w in zip(got, want):
+        assert g[:by] == w[:by]
+        for a, b in zip(g[by:], w[by:]):
+            assert a == b if None in (a, b) else a == pytest.approx(b, rel=1e-12, abs=1e-12, nan_ok=True)
+
+
+def test_means_of_many_wide_rules_make_no_pairs(spark):
+    # 3000 rows and 3000 rules that all hold for half of the rows: 4.5 million pairs.
+    df = spark.range(3000).selectExpr("1 as s", "id as a", "id as e", "cast(id as double) as x")
+    table = spark.range(3000).selectExpr(
+        "concat('r', id) as cohort", "1 as sex", "id / 2 as age_lo", "true as age_lo_incl",
+        "id / 2 + 1500 as age_hi", "false as age_hi_incl",
+        *[f"cast(null as {'boolean' if c.endswith('incl') else 'double'}) as {c}" for c in RULE[6:]],
+    )
+    means = indexed_cohort_means(df, table, "s", "a", "e", ["x"])
+    plan = means._jdf.queryExecution().executedPlan().toString()
+    assert "_r_e_lo" not in plan and "_points" not in plan
+    found = {int(r.cohort[1:]): r.mean_x for r in means.collect()}
+    assert len(found) == 3000
+    for i, mean in found.items():
+        first, last = -(-i // 2), -(-(i + 3000) // 2) - 1
+        assert mean == (first + last) / 2
