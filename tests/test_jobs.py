@@ -17,6 +17,7 @@ from larderline.plans.diary import (
     reported_and_actual,
     row_diet,
     type_diary,
+    with_diet,
     with_person,
 )
 from larderline.plans.enrichment import CONTENT, composition, digestibility, enrich, food_matches
@@ -238,3 +239,42 @@ def test_the_diary_is_deduplicated_where_the_last_join_left_it(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
     assert "hashpartitioning(seriali#" in plan
     assert not re.search(r"hashpartitioning\(seriali#\d+L?, SurveyYear", plan)
+
+
+def test_classes_and_answers_leave_the_rows_by_person(spark):
+    diary = spark.createDataFrame([("1", "egg", 1.0)], "seriali string, FoodName string, x double")
+    diets = spark.createDataFrame([("1", "Vegan")], "seriali string, Overall_Diet string")
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for join in (with_diet, with_person):
+            joined = join(diary, diets).groupBy("seriali", "FoodName", "Overall_Diet").sum("x")
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "coalesce(seriali" not in plan
+            # One exchange for each side, none for the grouping.
+            assert plan.count("hashpartitioning(") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+
+
+def test_a_missing_person_still_gets_a_class_and_answers(spark):
+    diary = spark.createDataFrame([("1", "a"), (None, "b"), ("2", "c")], "seriali string, FoodName string")
+    who = "seriali string, Overall_Diet string"
+    diets = spark.createDataFrame([("1", "Vegan"), (None, "Neither")], who)
+    want = [("1", "a", "Vegan"), ("2", "c", None), (None, "b", "Neither")]
+    columns = ["seriali", "FoodName", "Overall_Diet"]
+    assert rows(with_diet(diary, diets).select(columns)) == sorted(want, key=repr)
+    assert rows(with_person(diary, diets).select(columns)) == sorted(want, key=repr)
+
+
+def test_only_wanted_columns_of_the_diary_are_written(spark, monkeypatch):
+    empty = {c: "string" for c in standin.KEYS} | {m: "double" for m in standin.MEASURES}
+    made = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in empty.items()))
+    monkeypatch.setattr(standin, "diary", lambda spark, sf: made)
+    written = []
+    monkeypatch.setattr(standin, "staged", lambda df, name: written.append(df.columns) or df)
+    standin.classified(spark, "", ["Fatg"])
+    standin.classified(spark, "")
+    gone = {"SurveyYear", "FoodNumber", "AgeR", "Waterg"}
+    assert "Fatg" in written[0] and not gone & set(written[0])
+    assert set(written[1]) == set(empty)
