@@ -157,3 +157,12 @@ def test_named_files_are_read_by_one_scan(spark, tmp_path):
         (tmp_path / f"{name}.tab").write_text(f"id\tgrams\n{i}\t5\n")
     found = read_named(spark, str(tmp_path), r"yr(9|10|11)(?!\d)", glob="*food*")
     assert rows(found) == [("1", "5"), ("2", "5")]
+
+
+def test_compressed_files_read_back_alike(spark, tmp_path):
+    df = spark.range(2000).selectExpr("cast(id % 7 as string) as a", "concat('café ', id % 3) as b")
+    for kind in ("none", "gzip"):
+        write_csv(df, f"{tmp_path}/{kind}", sep="\t", encoding="ISO-8859-1", compression=kind)
+        assert rows(read_delimited(spark, f"{tmp_path}/{kind}")) == rows(df)
+    size = {k: sum(f.stat().st_size for f in (tmp_path / k).glob("*.csv*")) for k in ("none", "gzip")}
+    assert size["gzip"] < size["none"] / 3
