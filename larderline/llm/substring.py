@@ -332,18 +332,17 @@ def shared_runs(
     texts = docs.select(*by, "text").join(extended.where("_n >= 1"), by)
     near_by = staged(_surroundings(texts, around), "surroundings")
     first = near_by.groupBy("window", "side").agg(
-        F.min(F.when(F.col("whole"), F.struct(*by, "at", "words", "free"))).alias("first"),
-        F.count(F.lit(1)).alias("places"),
+        F.min(F.when(F.col("whole"), F.struct(*by, F.col("places")[0], "words", "free")))
+        .alias("first"),
+        F.count(F.lit(1)).alias("others"),
     )
     pairs = near_by.join(first.where("first is not null"), ["window", "side"]).select(
-        *PLACE, "words", "free", "whole", "places",
-        F.lit(None).cast("int").alias("best_n"), F.lit(None).cast("bigint").alias("best_keeper"),
-        F.col("first.doc_id").alias("keeper"),
+        *PLACES, "words", "free", "whole", "others", F.col("first.doc_id").alias("keeper"),
         F.col("first.words").alias("words_2"), F.col("first.free").alias("free_2"),
     )
     reach = staged(_reached(pairs), "reach")
     discard(near_by, extended)
-    longest = _longest_runs(reach)
+    longest = _longest_runs(reach).withColumn("at", F.explode("places"))
     start = F.when(F.col("side") == LEFT, F.col("at") - F.col("n")).otherwise(F.col("at"))
     stop = F.when(F.col("side") == LEFT, F.lit(0)).otherwise(F.col("n"))
     runs = same.select(*by, "at", (F.col("at") + WINDOW).alias("to"), "keeper")
@@ -352,50 +351,84 @@ def shared_runs(
     )
 
 
-PLACE = ["window", "side", "doc_id", "mark", "at"]
+# Places of one document that are alike: same window, side, words and limits.
+PLACES = ["window", "side", "doc_id", "mark", "places"]
 
 
 def _longest_runs(reach: DataFrame) -> DataFrame:
-    """The longest run of each seed and side: its place, ``n`` words and their ``keeper``.
+    """The longest run of each row of ``reach``: its places, ``n`` words and their ``keeper``.
 
     Whoever shares more words with a seed than the first keeper does, shares as many with the first
-    keeper as the seed. So the key of one more word tells which seeds go on together. Of those the
-    first that keeps the word is the next keeper to compare with, which reaches at least one
-    word farther, and so on until no two documents go on. A seed is written when it stops.
+    keeper as the seed. So the key of one more word tells which seeds go on together. Those
+    have a key for each further word; of all who keep the words of a key the first is their
+    keeper, and the longest key with an earlier one is the run.
     """
-    runs = None
-    while True:
-        going = reach.where("key is not null")
-        together = going.groupBy("key").agg(
-            F.min(F.when(F.col("gives"), F.col("doc_id"))).alias("_giver"),
-            F.max("doc_id").alias("_last"),
-        )
-        together = staged(together.where("_giver < _last").select("key"), "together")
-        stopped = reach.where("key is null").unionByName(going.join(together, "key", "left_anti"))
-        stopped = stopped.where("best_keeper is not null").select(
-            *PLACE, F.col("best_n").alias("n"), F.col("best_keeper").alias("keeper")
-        )
-        stopped = staged(stopped, "runs")
-        runs = stopped if runs is None else runs.unionByName(stopped)
-        if together.isEmpty():
-            discard(reach)
-            return runs
-        mine = going.join(together, "key", "left_semi")
-        first = mine.where("gives").groupBy("key").agg(
-            F.min(F.struct("doc_id", "mark", "at", "words", "free")).alias("first")
-        )
-        pairs = mine.drop("keeper").join(first, "key").select(
-            *PLACE, "words", "free", "whole", F.lit(3).alias("places"), "best_n", "best_keeper",
-            F.col("first.doc_id").alias("keeper"), F.col("first.words").alias("words_2"),
-            F.col("first.free").alias("free_2"),
-        )
-        before, reach = reach, staged(_reached(pairs), "reach")
-        discard(before)
+    going = reach.where("key is not null")
+    together = going.groupBy("key").agg(
+        F.min(F.when(F.col("gives"), F.col("doc_id"))).alias("_giver"),
+        F.max("doc_id").alias("_last"),
+    )
+    mine = going.join(together.where("_giver < _last").select("key"), "key", "left_semi")
+    mine = staged(_further_keys(mine), "further")
+    row = ["window", "side", "doc_id", "mark", "place"]
+    keys = mine.select(*row, "n", "kept", F.posexplode("keys").alias("_more", "key"))
+    keys = keys.withColumn("n", F.col("n") + F.col("_more") + 1)
+    givers = keys.groupBy("key").agg(
+        F.min(F.when(F.col("n") <= F.col("kept"), F.col("doc_id"))).alias("giver"),
+        F.max("doc_id").alias("_last"),
+    )
+    givers = staged(givers.where("giver < _last").select("key", "giver"), "givers")
+    farther = keys.select(*row, "n", "key").join(givers, "key").where("giver < doc_id")
+    farther = farther.groupBy(*row).agg(F.max(F.struct("n", "giver")).alias("far"))
+    reach = reach.withColumn("place", F.col("places")[0])
+    found = reach.join(farther, row, "left").select(
+        *PLACES,
+        F.coalesce("far.n", "best_n").alias("n"),
+        F.coalesce("far.giver", "best_keeper").alias("keeper"),
+    )
+    return found.where("keeper is not null")
+
+
+def _further_keys(going: DataFrame) -> DataFrame:
+    """The keys of more than ``n`` words, one word more each, and how many words the row's
+    document ``kept`` (0 if it gives none)."""
+
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = near.matrix(pa.chunked_array([batch.column("words")]), np.uint64)
+            n = batch.column("n").to_numpy()
+            there = np.logical_and.accumulate(words > 0, axis=1)
+            there &= np.arange(words.shape[1]) >= n[:, None]
+            keys = np.stack(list(_stretch_keys(batch, words)), axis=1)
+            offsets = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(
+                pa.array(offsets), pa.array(keys[there].view(np.int64))
+            )
+            gives = batch.column("gives").to_numpy(zero_copy_only=False)
+            kept = np.where(gives, batch.column("free").to_numpy(), 0).astype(np.int32)
+            names = ["window", "side", "doc_id", "mark", "place", "n"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array(kept), lists],
+                names=[*names, "kept", "keys"],
+            )
+
+    rows = going.select(
+        "window", "side", "doc_id", "mark", F.col("places")[0].alias("place"), "n", "words",
+        "gives", "free",
+    )
+    return rows.mapInArrow(
+        further,
+        "window bigint, side int, doc_id bigint, mark int, place int, n int, kept int, "
+        "keys array<bigint>",
+    )
 
 
 def _surroundings(texts: DataFrame, around: int) -> DataFrame:
     """Each seed and wanted side with the hashes of the words there, outwards (0: no word), how many
-    of them no paragraph cut covers, and whether it covers the seed itself."""
+    of them no paragraph cut covers, and whether it covers the seed itself. Places of a document
+    that are alike in all this are one row."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.pieces(batches, "text"):
@@ -423,24 +456,38 @@ def _surroundings(texts: DataFrame, around: int) -> DataFrame:
             spot = np.where(there, places, 0)
             hashes = np.where(there, np.maximum(words.hash[spot], np.uint64(1)), np.uint64(0))
             free = np.logical_and.accumulate(there & ~cut[spot], axis=1).sum(axis=1)
+            window = np.array(window, dtype=np.int64)
+            alike = W.mixed(window.view(np.uint64) + sides.astype(np.uint64))
+            for j in range(around):
+                alike = W.mixed(alike * W.STEPS[0] + hashes[:, j])
+            alike = W.mixed(alike * W.STEPS[0] + (2 * free + whole).astype(np.uint64))
+            order = np.lexsort((at, alike, own))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = np.diff(own[order]) != 0
+            new[1:] |= alike[order][1:] != alike[order][:-1]
+            begin = np.flatnonzero(new)
+            one = order[begin]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(window, pa.int64()),
-                    pa.array(sides),
-                    batch.column("doc_id").take(pa.array(own)),
-                    batch.column("mark").take(pa.array(own)),
-                    pa.array(at.astype(np.int32)),
-                    near.binary_column(hashes),
-                    pa.array(free.astype(np.int32)),
-                    pa.array(whole),
+                    pa.array(window[one]),
+                    pa.array(sides[one]),
+                    batch.column("doc_id").take(pa.array(own[one])),
+                    batch.column("mark").take(pa.array(own[one])),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.append(begin, len(order)).astype(np.int32)),
+                        pa.array(at[order].astype(np.int32)),
+                    ),
+                    near.binary_column(hashes[one]),
+                    pa.array(free[one].astype(np.int32)),
+                    pa.array(whole[one]),
                 ],
-                names=["window", "side", "doc_id", "mark", "at", "words", "free", "whole"],
+                names=[*PLACES, "words", "free", "whole"],
             )
 
     return texts.mapInArrow(
         look,
-        "window bigint, side int, doc_id bigint, mark int, at int, words binary, free int, "
-        "whole boolean",
+        "window bigint, side int, doc_id bigint, mark int, places array<int>, words binary, "
+        "free int, whole boolean",
     )
 
 
@@ -454,10 +501,10 @@ def _stretch_keys(batch: pa.RecordBatch, words: np.ndarray) -> Iterator[np.ndarr
 
 
 def _reached(pairs: DataFrame) -> DataFrame:
-    """How many words each place shares with its first keeper (``n``) and, where it goes on, the
-    key of one more word, whether its document keeps those (``gives``), the longest run with an
-    earlier document so far, and the place's own columns for comparing it further."""
-    names = [*PLACE, "n", "keeper", "key", "gives", "best_n", "best_keeper", "words", "free", "whole"]
+    """How many words each row shares with its first keeper (``n``; ``best_n`` and ``best_keeper``
+    if that is an earlier document) and, where it goes on, the key of one more word, whether its
+    document keeps those (``gives``), and the row's words for comparing it further."""
+    names = [*PLACES, "n", "key", "gives", "best_n", "best_keeper", "words", "free"]
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -472,30 +519,27 @@ def _reached(pairs: DataFrame) -> DataFrame:
             for j, value in enumerate(_stretch_keys(batch, one)):
                 key = np.where(n == j, value, key)
                 goes_on |= (n == j) & (one[:, j] > 0)
-            goes_on &= get("places") > 2
+            goes_on &= get("others") > 2
             earlier = pa.array(get("keeper") < get("doc_id"))
             length = pa.array(n.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c) for c in PLACE),
+                    *(batch.column(c) for c in PLACES),
                     length,
-                    batch.column("keeper"),
                     pa.array(key.view(np.int64), mask=~goes_on),
                     pa.array(get("whole") & (get("free") > n)),
-                    pc.if_else(earlier, length, batch.column("best_n")),
-                    pc.if_else(earlier, batch.column("keeper"), batch.column("best_keeper")),
+                    pc.if_else(earlier, length, None),
+                    pc.if_else(earlier, batch.column("keeper"), None),
                     pc.if_else(pa.array(goes_on), batch.column("words"), None),
                     batch.column("free"),
-                    batch.column("whole"),
                 ],
                 names=names,
             )
 
     return pairs.mapInArrow(
         reach,
-        "window bigint, side int, doc_id bigint, mark int, at int, n int, keeper bigint, "
-        "key bigint, gives boolean, best_n int, best_keeper bigint, words binary, free int, "
-        "whole boolean",
+        "window bigint, side int, doc_id bigint, mark int, places array<int>, n int, key bigint, "
+        "gives boolean, best_n int, best_keeper bigint, words binary, free int",
     )
 
 

@@ -322,6 +322,36 @@ def test_last_copy_of_a_passage_stays(spark):
     assert got[4].text == docs[4].replace(inserted, "") and got[4].kept_in == [3]
 
 
+def test_runs_of_many_keepers_take_no_rounds(spark, monkeypatch):
+    """Each document goes on a word farther than the one before: no step is repeated per word."""
+    steps, staged = [], substring.staged
+    monkeypatch.setattr(
+        substring, "staged", lambda df, name="stage": steps.append(name) or staged(df, name)
+    )
+    counts = []
+    for last in (2, 7):
+        make = random_words(13)
+        run, further, low, high = make(50), make(24).split(), make(30), make(30)
+        docs = {k: f"{make(30)} {run} {' '.join(further[:k])} {make(30)}" for k in range(1, last)}
+        docs[100] = f"{low} {run} {' '.join(further)} {high}"
+        steps.clear()
+        got = dedup(spark, docs)
+        counts.append(len(steps))
+        assert got[100].text.split() == f"{low} {' '.join(further[last - 1:])} {high}".split()
+        assert got[100].kept_in == sorted({1, last - 1})
+    assert counts[0] == counts[1]
+
+
+def test_alike_places_of_a_document_are_all_cut(spark):
+    make = random_words(14)
+    line, tail, gaps = make(30), make(30), [make(35) for _ in range(4)]
+    docs = {1: f"{make(30)} {line} {tail} {make(30)}"}
+    docs[2] = " ".join(f"{gap} {line} {tail}" for gap in gaps)
+    got = dedup(spark, docs)
+    assert got[1].text == docs[1]
+    assert got[2].text.split() == " ".join(gaps).split() and got[2].n_removed == 4
+
+
 def test_bands_are_tuned():
     for hashes, t in ((64, 0.8), (128, 0.7), (128, 0.9)):
         b, r = substring.tuned_bands(hashes, t)
