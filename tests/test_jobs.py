@@ -241,6 +241,37 @@ def test_the_diary_is_deduplicated_where_the_last_join_left_it(spark, tmp_path):
     assert not re.search(r"hashpartitioning\(seriali#\d+L?, SurveyYear", plan)
 
 
+def test_the_diary_moves_once_by_person_where_people_are_broadcast(spark, tmp_path):
+    when = "timestamp '1997-05-01 00:00:00'"
+    tables = {
+        "lineitem": "1L l_orderkey, 7L l_partkey, 50D l_quantity, 900D l_extendedprice, 0D l_discount, 0D l_tax",
+        "orders": f"1L o_orderkey, 3L o_custkey, {when} o_orderdate",
+        "customer": "3L c_custkey, 1 c_nationkey, 10D c_acctbal, 'BUILDING' c_mktsegment",
+        "part": "7L p_partkey, 'hot gizmo' p_name, 'Brand#1' p_brand, 'LARGE' p_type",
+    }
+    for name, columns in tables.items():
+        spark.sql(f"select {columns}").write.parquet(f"{tmp_path}/{name}.parquet")
+    diary = standin.diary(spark, str(tmp_path))
+    for made in (diary, raw_day_totals(diary), deduplicate(standin.raw_diary(spark, str(tmp_path), True), how="sum")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan
+        assert re.findall(r"hashpartitioning\((.*?)#\d+L?, ", plan) == ["seriali"]
+    assert [(r.seriali, r.FoodName, r.Waterg) for r in diary.collect()] == [("3", "hot gizmo beef stew", 9.0)]
+
+
+def test_person_days_are_added_up_where_their_rows_are(spark, monkeypatch):
+    kinds = ", ".join([*[f"{c} string" for c in standin.KEYS], *[f"{m} double" for m in standin.MEASURES]])
+    made = spark.createDataFrame([("a",) * len(standin.KEYS) + (1.0,) * len(standin.MEASURES)], kinds)
+    part = "7L p_partkey, 'hot gizmo' p_name, 'Brand#1' p_brand, 'LARGE' p_type, 5 p_size, 2D p_retailprice"
+    monkeypatch.setattr(standin, "table", lambda spark, sf, name: spark.sql(f"select {part}"))
+    monkeypatch.setattr(standin, "_staged_diary", lambda spark, sf, columns: made)
+    monkeypatch.setattr(standin, "enrich", lambda rows, top, contents, coefficients: top)
+    monkeypatch.setattr(standin, "classify", lambda rows, diary: diary)
+    plan = standin.enriched(spark, "")._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"hashpartitioning\((\w+)#\d+L?, (\w+)", plan)[-1][0] == "seriali"
+    assert not re.search(r"hashpartitioning\(seriali#\d+, DayNo", plan)
+
+
 def test_classes_and_answers_leave_the_rows_by_person(spark):
     diary = spark.createDataFrame([("1", "egg", 1.0)], "seriali string, FoodName string, x double")
     diets = spark.createDataFrame([("1", "Vegan")], "seriali string, Overall_Diet string")
